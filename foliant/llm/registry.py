@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+from .lattice import op6_lattice_dedup
+from .mixing import OP4_SQL, op4_source_mixing
+from .packing import op9_bestfit_packing
 from .simhash import op3_simhash_dedup
+from .substring import op2_substring_dedup
+from .topk import OP5_SQL, op5_exact_topk
 
-QUERIES = {f.__name__: f for f in (op3_simhash_dedup,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_substring_dedup, op3_simhash_dedup, op4_source_mixing, op5_exact_topk, op6_lattice_dedup, op9_bestfit_packing)
+}
+ORACLES: dict[str, str] = {"op4_source_mixing": OP4_SQL, "op5_exact_topk": OP5_SQL}
