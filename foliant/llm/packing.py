@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,41 +18,72 @@ LENGTH = 2048
 PATTERNS, ROUNDS, SEED = 40_000, 200, 5
 #: Pieces that one task ranks, about.
 RANKED = 200_000
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
+#: Words whose ids a Python worker remembers (about 120 bytes each).
+REMEMBERED = 800_000
 
 _words: dict[bytes, bytes] = {}
 _tokenizer: list = []
+#: A stop or comma that ends a word of letters: the tokenizer parts it from the word, so looking both up apart is the same.
+_STOP = re.compile(rb"([,.])(?<=[a-z].)(?=\s)")
 
 
 def word_ids(path: str):
-    """The tokenizer at ``path``, loaded once per Python worker."""
+    """The tokenizer at ``path`` and which of its ids end a word, loaded once per Python worker."""
     if not _tokenizer or _tokenizer[0] != path:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizer[:] = [path, Tokenizer.from_file(path)]
+        tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+        ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        _tokenizer[:] = [path, tokenizer, ends]
         _words.clear()
-    return _tokenizer[1]
+    return _tokenizer[1], _tokenizer[2]
+
+
+def split_words(text: bytes) -> list[bytes]:
+    """Pieces of ``text`` whose ids one after the other are the text's: the tokenizer lowers letters and drops white
+    space. A text that may hold one of the tokenizer's special strings is left as it is."""
+    if b"<|" in text:
+        return text.split()
+    return _STOP.sub(rb" \1", text.lower()).split()
+
+
+def remember(words: set[bytes], path: str) -> None:
+    """Tokenize ``words`` into the memory. Words of letters alone go in lines: each has one id that ends a word, its last."""
+    tokenizer, ends = word_ids(path)
+    plain, odd = [], []
+    for w in words:
+        (plain if w.decode().isalpha() else odd).append(w)
+    for at in range(0, len(plain), 1000):
+        some = plain[at : at + 1000]
+        ids = np.array(tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, dtype="<u4")
+        stop = np.flatnonzero(ends[ids]) + 1
+        if len(stop) != len(some):
+            odd += some
+            continue
+        raw = ids.tobytes()
+        edges = [0, *(4 * stop).tolist()]
+        _words.update(zip(some, [raw[a:b] for a, b in zip(edges, edges[1:])]))
+    for at in range(0, len(odd), 20_000):
+        some = odd[at : at + 20_000]
+        for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+            _words[w] = np.array(e.ids, dtype="<u4").tobytes()
 
 
 def ids_of(texts: list[bytes], path: str) -> list[bytes]:
     """The ids of each text as little-endian 32-bit bytes, without the end id.
 
-    The tokenizer drops white space and never joins across it, so ids are looked up word by word (bytes.split
-    cuts at ASCII white space) and only unseen words are tokenized. The memory is cleared when it is full.
+    The tokenizer never joins across white space, so ids are looked up word by word and only unseen words are
+    tokenized. The memory is cleared when it is full.
     """
-    tokenizer = word_ids(path)
-    split = [t.split() for t in texts]
+    word_ids(path)
+    split = [split_words(t) for t in texts]
     new = set().union(*split).difference(_words)
-    if new:
-        if len(_words) + len(new) > REMEMBERED:
-            _words.clear()
-            new = set().union(*split)
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                _words[w] = np.array(e.ids, dtype="<u4").tobytes()
+    if new and len(_words) + len(new) > REMEMBERED:
+        _words.clear()
+        new = set().union(*split)
+    remember(new, path)
     look = _words.__getitem__
     return [b"".join(map(look, words)) for words in split]
 
@@ -68,12 +102,8 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
     name = path or tokenizer_path()
 
     def run(batches: Iterator) -> Iterator:
-        import os
-        import zlib
-
         import pyarrow as pa
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for batch in batches:
             for b in slices(batch, "text"):
                 doc, piece, start, size, crc = [], [], [], [], []
