@@ -15,20 +15,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and return the reread, lineage-free frame.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    The folder comes from spark.checkpoint.dir. Only a local master may fall back to a temporary
-    folder: on a cluster that folder would not be shared, so a missing setting is an error.
+    Only a local master may fall back to a temporary folder: on a cluster that folder would not be shared, so a missing
+    setting is an error.
     """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="foliant-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's checkpoint folder and return the reread, lineage-free frame."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="foliant-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
