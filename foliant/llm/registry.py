@@ -6,6 +6,7 @@ from .lattice import op6_lattice_dedup
 from .mixing import OP4_SQL, op4_source_mixing
 from .packing import op9_bestfit_packing
 from .pii import op10_contextual_pii
+from .scoring import op1_lm_scoring
 from .simhash import op3_simhash_dedup
 from .substring import op2_substring_dedup
 from .topk import OP5_SQL, op5_exact_topk
@@ -15,8 +16,8 @@ from .wrappers import op7_html_extraction
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_substring_dedup, op3_simhash_dedup, op4_source_mixing, op5_exact_topk, op6_lattice_dedup,
-        op7_html_extraction, op8_toxicity_chain, op9_bestfit_packing, op10_contextual_pii,
+        op1_lm_scoring, op2_substring_dedup, op3_simhash_dedup, op4_source_mixing, op5_exact_topk,
+        op6_lattice_dedup, op7_html_extraction, op8_toxicity_chain, op9_bestfit_packing, op10_contextual_pii,
     )
 }
 ORACLES: dict[str, str] = {"op4_source_mixing": OP4_SQL, "op5_exact_topk": OP5_SQL}
