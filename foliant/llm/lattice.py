@@ -16,7 +16,7 @@ THRESHOLD = 0.98
 #: Tables, neighbouring cells probed in each, and the lattice's scale against unit vectors of 64 dimensions.
 TABLES, PROBES, SCALE, SEED = 3, 6, 2.2, 17
 #: Largest block of a cell that one task compares, and rows that one task gets in about.
-BLOCK_ROWS, BLOCK_COLS, TASK_ROWS = 1024, 4096, 8192
+BLOCK_ROWS, BLOCK_COLS, TASK_ROWS = 1024, 4096, 512
 
 
 def nearest_e8(x: np.ndarray) -> np.ndarray:

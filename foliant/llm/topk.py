@@ -13,6 +13,8 @@ from .common import cut, table
 K, EVERY = 5, 50
 #: Rows of a document-range block, blocks that one task holds, queries that one task holds.
 BLOCK, BLOCKS_A_GROUP, QUERIES_A_BLOCK = 1024, 64, 8192
+#: The score of no candidate; its negative is a number too.
+NONE = -(1 << 62)
 
 
 def valid(vector: Column) -> Column:
@@ -71,7 +73,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, blocks: list[tuple]
     query. A query is done when that bound falls below its kth score; equal bounds are still scored, for ties.
     """
     n = len(queries)
-    low = np.iinfo(np.int64).min
+    low = NONE
     scores = np.full((n, k), low)
     ids = np.full((n, k), np.iinfo(np.int64).max)
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
@@ -145,7 +147,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 s, i = search_block(q[at : at + 512], ids[at : at + 512], parts, k)
                 out.append(pd.DataFrame({"query_id": np.repeat(ids[at : at + 512], k), "vec_id": i.ravel(), "score": s.ravel()}))
         found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        return found[found["score"] > np.iinfo(np.int64).min]
+        return found[found["score"] > NONE]
 
     found = left.groupBy("group", "query_block").cogroup(right.groupBy("group", "query_block")).applyInPandas(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
