@@ -68,3 +68,25 @@ def markup_to_text(markup: Column) -> Column:
     for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(name), F.lit(sign))
     return F.trim(F.regexp_replace(bare, r"[ \t\r\n\x0B\f]+", " "))
+
+
+def error_rate(text: Column) -> Column:
+    """A bit error rate written as 1e-12, 3x10^-6 or 10^-9."""
+    plain = F.regexp_extract(text, r"([0-9.]+[eE]-[0-9]+)", 1).try_cast("double")
+    times = F.regexp_extract(text, r"([0-9.]+)\s*[x×*]\s*10\^?\s*-\s*[0-9]+", 1).try_cast("double")
+    power = F.regexp_extract(text, r"10\^?\s*-\s*([0-9]+)", 1).try_cast("int")
+    return F.coalesce(plain, F.coalesce(times, F.lit(1.0)) * F.pow(F.lit(10.0), -power))
+
+
+def in_unit(value: Column, unit: Column, factors: dict[str, float]) -> Column:
+    """``value`` in the base unit; null for a unit that ``factors`` lacks."""
+    out = F
+    for name, factor in factors.items():
+        out = out.when(unit == name, value * factor)
+    return out
+
+
+def one_label(text: Column, rules: Sequence[tuple[str, str]], other: str) -> Column:
+    """The label if exactly one pattern matches."""
+    found = labels(text, rules)
+    return F.when(F.size(found) == 1, found[0]).otherwise(other)

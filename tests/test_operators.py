@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import semantics as S
-from foliant.operators import extract, graph, ingest, measure, ranking, relate, resolve, state, text
+from foliant.operators import extract, graph, ingest, measure, ranking, references, relate, resolve, select, state, text
 from foliant.sources import tables
 from foliant.streaming import sessions
 
@@ -184,3 +184,35 @@ def test_exports_are_safe(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).first()["t"] == "'=1+1"
     record = df.select(tables.ris(F.lit("T"), F.lit("Kim; Lee"), F.lit(2024), F.lit(""), F.lit("10.1/x"))).first()[0]
     assert record == "TY  - JOUR\nTI  - T\nAU  - Kim\nAU  - Lee\nPY  - 2024\nDO  - 10.1/x\nER  - "
+
+
+def test_diverse_selection_spreads(spark):
+    rows = [(1, 90.0, "a", "v", ["x", "y"]), (2, 89.0, "a", "v", ["x", "y"]), (3, 70.0, "b", "w", ["z"]), (4, 69.0, "a", "w", ["q"])]
+    for own in (rows, rows[::-1]):
+        found = select.diverse(spark.createDataFrame(own, "id long, score double, topic string, venue string, terms array<string>"), 3)
+        # 2 loses 12 + 4 + 25 to 1 and is at 48 then; 4 loses 12, and 4 more to 3
+        assert [(r["id"], r["value"]) for r in found.orderBy("place").collect()] == [(1, 90.0), (3, 70.0), (4, 53.0)]
+
+
+def test_batches_hold_few_rows_and_little_text(spark):
+    rows = [("g", i, s) for i, s in enumerate([10, 10, 10, 90, 200, 5, 5, 5, 5, 5, 5])] + [("h", 99, 1)]
+    found = select.bounded_batches(spark.createDataFrame(rows, "g string, i long, s int"), "g", ["i"], "i", "s", most=5, room=100)
+    assert [r["batch"] for r in found.orderBy("g", "i").collect()] == [1, 1, 1, 2, 3, 4, 4, 4, 4, 4, 5, 1]
+
+
+def test_reference_lists_need_whole_labels(spark):
+    pages = [(1, "Body [3].\nReferences\n[1] A. Kim, \"A title,\" 2021, doi 10.1109/X.1.\n[2] B\n  two\nAppendix\n[3] no"), (2, "References\n[1] A\n[3] C"), (3, "no list [1] here"), (4, None)]
+    found = references.segments(spark.createDataFrame(pages, "id int, t string"), "id", "t")
+    assert values(found, "id", "number", "entry") == [(1, 1, 'A. Kim, "A title," 2021, doi 10.1109/X.1.'), (1, 2, "B two")]
+    one = found.where("number = 1").select(*[c.alias(n) for n, c in references.fields(F.col("entry")).items()]).first()
+    assert (one["title"], one["year"], one["authors"]) == ("A title", 2021, "A. Kim")
+
+
+def test_rebuilt_index_rejects_gaps(spark):
+    df = spark.createDataFrame([({"a": [0, 2], "b": [1]},), ({"a": [0], "b": [2]},), ({"a": [0], "b": [0]},)], "m map<string,array<int>>")
+    assert [r[0] for r in df.select(references.rebuilt(F.col("m"))).collect()] == ["a b a", None, None]
+
+
+def test_error_rates(spark):
+    df = spark.createDataFrame([("BER < 1e-12",), ("3×10^-6",), ("10-9",), ("none",)], "t string")
+    assert [r[0] if r[0] is None else float(f"{r[0]:.3g}") for r in df.select(extract.error_rate(F.col("t"))).collect()] == [1e-12, 3e-6, 1e-9, None]
