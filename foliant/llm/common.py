@@ -39,6 +39,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle and checkpoint files that no frame needs any more; drop your references first.
+
+    Spark's cleaner follows the driver's garbage collections, which may be half an hour apart.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import cut, release, slices, table
 
 WINDOW = 50
 #: Odd multipliers of the two rolling hashes.
@@ -206,6 +206,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = hits.unionByName(marks.where("copy").select("doc_id", "seq", F.array().cast("array<long>").alias("anchors"), "copy").distinct())
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "copy", "anchors")).alias("found"))
     state = cut(_candidates(docs.join(found, "doc_id", "left"), window))
+    del marks, sequences, copied, each, repeated, hits, found
+    release(docs.sparkSession)
     each = state.where("key is not null").select("doc_id", "seq", F.explode(F.arrays_zip("places", "key", "key2")).alias("w")).select("doc_id", "seq", "w.*")
     first = cut(each.groupBy("key", "key2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
     hit = each.join(first, ["key", "key2"]).where("doc_id > first").groupBy("doc_id", "seq").agg(F.collect_list("places").alias("hit"))
