@@ -45,9 +45,12 @@ def release(spark: SparkSession) -> None:
     Spark's cleaner follows the driver's garbage collections, which may be half an hour apart.
     """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # dropped references reach the JVM after the first collection, which then finds them in use
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def ascii_lower(text: Column) -> Column:
