@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that SimHash fingerprints link, the document with the smallest id stays."""
+    """Of each group that pairs of a similarity of 0.8 or more link, the document with the smallest id stays."""
     return simhash.keep_one(docs)
 
 

@@ -186,9 +186,12 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one whose doc_id is the smallest.
 
-    Rows without a doc_id are kept: they name no document that could stand for them. Repeated rows of one
-    doc_id count as copies, so one of them stays.
+    Groups are what pairs of a similarity of 0.8 or more connect (see ``similar.linked``). Rows without a doc_id are
+    kept: they name no document that could stand for them. Repeated rows of one doc_id count as copies, so one of them
+    stays.
     """
-    ids = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    from .similar import linked
+
+    ids = linked(docs).where("rep = component").select(F.col("rep").alias("_kept")).distinct()
     kept = docs.where("doc_id is not null").join(ids, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

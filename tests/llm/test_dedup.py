@@ -169,3 +169,39 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     assert substring.remove_repeats(docs).count() == simhash.near_duplicates(docs).count() == simhash.keep_one(docs).count() == 0
     assert lattice.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def planted():
+    """Texts with copies at similarities around 0.8, a large group around one text, and a passage that many share."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+
+    def changed(words, n):
+        words = list(words)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = word()
+        return words
+
+    texts = []
+    for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 12):
+        base = [word() for _ in range(300)]
+        texts += [base, changed(base, n)]
+    base, common = [word() for _ in range(200)], [word() for _ in range(60)]
+    texts += [changed(base, 2) for _ in range(40)] + [common + [word() for _ in range(30)] for _ in range(30)] + [common + [word() for _ in range(3)] for _ in range(30)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    return rows + [(1000, rows[3][1].upper()), (1001, None), (1002, ""), (None, rows[0][1]), (1003, "a b"), (1003, "a c")]
+
+
+@pytest.mark.parametrize("bounds", [{}, {"SMALL": 2, "BLOCK_ROWS": 8, "BLOCK_COLS": 16}, {"ORDER_SAMPLE": 0, "BROADCAST_IDS": 0}])
+def test_kept_equal_brute_force_at_similarity(spark, monkeypatch, bounds):
+    from foliant.llm import similar
+
+    for name, value in bounds.items():
+        monkeypatch.setattr(similar, name, value)
+    rows = planted()
+    own = [r for r in rows if r[0] is not None]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t in own)]
+    link = [[a == b or 5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets]
+    want = {i for (i, _), c in zip(own, reach([i for i, _ in own], link)) if i == c} | {None}
+    assert sorted(r["doc_id"] or -1 for r in simhash.keep_one(frame(spark, rows)).collect()) == sorted(i or -1 for i in want)
+    assert 1 not in want and any(i in want for i in range(1, 20, 2))
