@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, components, cut, slices
+from .common import block_pairs, components, cut, release, slices
 from .simhash import SEED, links
 
 WIDTH = 5
@@ -110,8 +110,9 @@ def _classes(docs: DataFrame) -> DataFrame:
     return cut(found.select(F.col("c.doc_id").alias("rep"), F.col("c.fp").alias("fp"), "n", F.col("c.prefix").alias("prefix")))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows ``rep, h`` with the sorted shingle hashes of the documents ``wanted(rep)``."""
+def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows ``rep, h`` with the sorted shingle hashes of the documents in ``pairs(a, b)``."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     rows = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
 
@@ -127,8 +128,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(run, "rep long, h array<long>"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets have a similarity of 0.8 or more. Pairs of a hub are spread over SALTS tasks."""
+    sets = _sets(docs, pairs)
     pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     one = pairs.select("a", "part").distinct().join(sets.select(F.col("rep").alias("a"), F.col("h").alias("ha")), "a")
     two = pairs.join(sets.select(F.col("rep").alias("b"), F.col("h").alias("hb")), "b")
@@ -169,22 +171,22 @@ def linked(docs: DataFrame) -> DataFrame:
     by_print = cut(classes.groupBy("fp").agg(F.min("rep").alias("rep")))
     equal = classes.join(by_print.withColumnRenamed("rep", "a"), "fp").select("a", F.col("rep").alias("b"))
     keys = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "key"))
-    hubs = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("by"), F.col("rep").alias("a"), F.col("n").alias("na"))).alias(f"h{k}") for k in range(HUBS)]
+    hubs = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("by"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))).alias(f"h{k}") for k in range(HUBS)]
     sizes = keys.groupBy("key").agg(F.count("*").alias("size"), *hubs).where("size > 1")
     shared = cut(keys.join(sizes.select("key", "size", F.array(*[f"h{k}" for k in range(HUBS)]).alias("hubs")), "key"))
     one, two = (shared.where(F.col("size") <= SMALL).select("key", F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("pos").alias("p" + x)) for x in "ab")
     small = one.join(two, "key").where("a < b").where(_LONG_ENOUGH).where(_MAY_REACH).select("a", "b")
     large = shared.where(F.col("size") > SMALL)
-    first = large.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.explode("hubs").alias("h")).select("b", "nb", "h.a", "h.na").where(_LONG_ENOUGH).select("a", "b")
+    first = large.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.explode("hubs").alias("h")).select("b", "nb", "pb", "h.a", "h.na", "h.pa").where(_LONG_ENOUGH).where(_MAY_REACH).select("a", "b")
     pairs = cut(links(by_print).unionByName(equal).unionByName(small).unionByName(first).where("a <> b").distinct())
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(large.select("rep")).distinct())
-    sets = _sets(docs, wanted)
-    edges = _verified(pairs, sets)
+    release(docs.sparkSession)
+    edges = _verified(pairs, docs)
+    release(docs.sparkSession)
     found = cut(components(edges))
     own = large.select("key", "rep", "n", "pos").join(found, large.rep == found.node, "left").select("key", "rep", "n", "pos", F.coalesce("component", "rep").alias("component"), F.lit(True).alias("resident"))
     open_keys = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     blocks = block_pairs(own.join(open_keys, "key", "left_semi"), ["key"], "rep", BLOCK_ROWS, BLOCK_COLS)
     rest = cut(blocks.groupBy("key", "block_r", "block_c").applyInPandas(_across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        found = cut(components(edges.unionByName(_verified(rest, sets))))
+        found = cut(components(edges.unionByName(_verified(rest, docs))))
     return classes.join(found, classes.rep == found.node, "left").select("rep", F.coalesce("component", "rep").alias("component"))
