@@ -287,3 +287,10 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     last = c.STAGES[-1][1](spark, own, FOLDER)
     found = c.run(spark, FOLDER)
     assert sorted(map(tuple, found.drop("sequence_id", "offset").collect())) == sorted(map(tuple, last.drop("sequence_id", "offset").collect()))
+
+
+@pytest.mark.parametrize("marks", ["block clearfix col-4 sidebar", "box card clearfix comments", "a b c d share-box"])
+def test_aside_is_decided_by_all_class_words(marks):
+    page = f"<html><body><article><p>First words.</p><div class='{marks}'><p>Not this.</p></div><p>Last words.</p></article></body></html>"
+    assert wrappers.extract(page, None) == wrappers.extract(page, json.dumps(wrappers.infer([page]))) == "First words. Last words."
+    assert wrappers.extract(page.replace(marks, "a b c d e"), None) == "First words. Not this. Last words."
