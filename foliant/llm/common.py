@@ -39,18 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle and checkpoint files that no frame needs any more; drop your references first.
+#: Rows of ids, hashes or other small keys (32 bytes each at most) up to which a frame is broadcast.
+BROADCAST_ROWS = 1_000_000
 
-    Spark's cleaner follows the driver's garbage collections, which may be half an hour apart.
-    """
-    import gc
-    import time
 
-    for _ in range(2):  # dropped references reach the JVM after the first collection, which then finds them in use
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+def bounded(keys: DataFrame) -> DataFrame:
+    """``keys`` (few small columns) to be broadcast if they are counted to be at most BROADCAST_ROWS, to be shuffled otherwise."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
 def ascii_lower(text: Column) -> Column:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, block_pairs, components, cut, table
+from .common import Forest, block_pairs, bounded, components, cut, slices, table
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Residents of a leaf that the depth of a tree aims at; sampled fingerprints a leaf; deepest tree.
@@ -46,9 +46,10 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        for batch in batches:
+            for b in slices(batch, "text"):
+                fps = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), dtype=np.uint64, count=b.num_rows)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
@@ -188,10 +189,21 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Groups are what pairs of a similarity of 0.8 or more connect (see ``similar.linked``). Rows without a doc_id are
     kept: they name no document that could stand for them. Repeated rows of one doc_id count as copies, so one of them
-    stays.
+    stays, which is picked by a hash of the text. Columns of any name go along.
     """
     from .similar import linked
 
-    ids = linked(docs).where("rep = component").select(F.col("rep").alias("_kept")).distinct()
-    kept = docs.where("doc_id is not null").join(ids, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    found = linked(docs)
+    ids = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("gone")).agg(F.count("*").alias("rows"))
+    # losers are few, so their ids are broadcast if that is measured to be so, and texts are shuffled only beyond it
+    gone = bounded(ids.join(found.where("rep = component").select(F.col("rep").alias("gone")), "gone", "left_anti").select("gone"))
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+    again = cut(ids.where("rows > 1").select(F.col("gone").alias("again")))
+    if again.isEmpty():
+        return kept
+    again = bounded(again)
+    same = kept["doc_id"].cast("long") == again["again"]
+    twice = kept.join(again, same, "left_semi")
+    row = F.struct(*[twice[c] for c in twice.columns])
+    one = twice.groupBy(twice["doc_id"]).agg(F.min_by(row, F.struct(F.xxhash64("text"), F.col("text"))).alias("row")).select("row.*")
+    return kept.join(again, same, "left_anti").unionByName(one)

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, components, cut, release, slices
+from .common import block_pairs, bounded, components, cut, slices
 from .simhash import SEED, links
 
 WIDTH = 5
@@ -23,8 +23,8 @@ ORDER_SAMPLE, ORDER_LAST = 5_000, 65_536
 SMALL, HUBS = 16, 4
 #: Largest block of a bucket that one task compares.
 BLOCK_ROWS, BLOCK_COLS = 4096, 8192
-#: Ids of documents to verify that are broadcast (8 bytes each); tasks that a document's pairs are spread over.
-BROADCAST_IDS, SALTS = 2_000_000, 64
+#: Pairs from which on those of one document are spread, and over so many tasks.
+HUB_PAIRS, SALTS = 1024, 64
 #: The similarity as integers: |a & b| / |a | b| >= 4/5 is 9 |a & b| >= 4 (|a| + |b|).
 _LONG_ENOUGH = "least(na, nb) * 5 >= greatest(na, nb) * 4"
 _MAY_REACH = "9 * least(na - pa, nb - pb) >= 4 * (na + nb)"
@@ -58,7 +58,7 @@ def folded(h: np.ndarray) -> int:
 def _last(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) of shingles frequent in a bounded sample, and their places at the end of the order."""
     share = int(min(1.0, 1.2 * ORDER_SAMPLE / max(1, docs.count())) * 1_000_000)
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < share).limit(ORDER_SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < share)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -83,8 +83,8 @@ def prefix(h: np.ndarray, last: np.ndarray, places: np.ndarray) -> np.ndarray:
     return h[np.lexsort((h, place))][: len(h) - (4 * len(h) + 4) // 5 + 1]
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """One row ``rep, fp, n, prefix`` per different shingle set; rep is the smallest doc_id that has it."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """One row ``doc_id, fp, sig, n, prefix`` per row of ``docs``; sig names the set of n shingles."""
     order = docs.sparkSession.sparkContext.broadcast(_last(docs))
 
     def run(batches: Iterator) -> Iterator:
@@ -105,15 +105,12 @@ def _classes(docs: DataFrame) -> DataFrame:
                 columns = [b.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))], names=["doc_id", "fp", "sig", "n", "prefix"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, sig binary, n int, prefix array<long>")
-    found = rows.groupBy("sig", "n").agg(F.min(F.struct("doc_id", "fp", "prefix")).alias("c"))
-    return cut(found.select(F.col("c.doc_id").alias("rep"), F.col("c.fp").alias("fp"), "n", F.col("c.prefix").alias("prefix")))
+    return cut(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, sig binary, n int, prefix array<long>"))
 
 
 def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows ``rep, h`` with the sorted shingle hashes of the documents in ``pairs(a, b)``."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    wanted = bounded(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
     rows = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
 
     def run(batches: Iterator) -> Iterator:
@@ -128,10 +125,13 @@ def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(run, "rep long, h array<long>"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets have a similarity of 0.8 or more. Pairs of a hub are spread over SALTS tasks."""
-    sets = _sets(docs, pairs)
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose ``sets(rep, h)`` have a similarity of 0.8 or more.
+
+    The set of ``a`` travels once for all its pairs; those of an ``a`` with more than HUB_PAIRS are spread over SALTS tasks.
+    """
+    hubs = pairs.groupBy("a").count().where(F.col("count") > HUB_PAIRS).select("a", F.lit(SALTS).alias("salts"))
+    pairs = pairs.join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("part"))
     one = pairs.select("a", "part").distinct().join(sets.select(F.col("rep").alias("a"), F.col("h").alias("ha")), "a")
     two = pairs.join(sets.select(F.col("rep").alias("b"), F.col("h").alias("hb")), "b")
     both = two.join(one, ["a", "part"])
@@ -157,36 +157,60 @@ def _across(group):
     return pd.DataFrame({"a": np.concatenate([*a, np.zeros(0, dtype=np.int64)]), "b": np.concatenate([*b, np.zeros(0, dtype=np.int64)])}, dtype="int64")
 
 
+def _counted(small: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` that share a bucket of ``small(key, rep, n, pos, big)`` and may reach the similarity.
+
+    What two sets share is at most the prefix keys counted here, those in large buckets (``big`` of a set) and what lies
+    behind the last shared place of both. Sets that have only a passage in common share too few of their prefix keys.
+    """
+    one, two = (small.select("key", *(F.col(c).alias(c[0] + x) for c in ("rep", "n", "pos", "big"))).withColumnRenamed("r" + x, x) for x in "ab")
+    met = one.join(two, "key").where("a < b").where(_LONG_ENOUGH).groupBy("a", "b").agg(
+        F.count("*").alias("m"), *(F.max(c + x).alias(c + x) for c in "npb" for x in "ab"))
+    return met.where("9 * (m + least(ba, bb) + least(na - pa - 1, nb - pb - 1)) >= 4 * (na + nb)").select("a", "b")
+
+
+def _apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose ends ``edges(a, b)`` (one per b) don't join directly or through one ``a``."""
+    for x in "ab":
+        pairs = pairs.join(edges.select(F.col("b").alias(x), F.col("a").alias("c" + x)), x, "left")
+    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """Rows ``rep, component``, one per different shingle set of ``docs(doc_id, text, ...)``; rep is the smallest doc_id
     that has the set, component the smallest reachable over pairs whose similarity is 0.8 or more.
 
     Null and empty texts have the empty set; rows without a doc_id are left out. Two sets of that similarity share a
     shingle among the first fifth of both in any one order, so buckets of these shingles meet all pairs; the order puts
-    frequent shingles last to keep buckets small. Small buckets give all pairs. Large ones give pairs with few hubs, and
-    then the pairs that those and the fingerprints haven't joined.
+    frequent shingles last to keep buckets small. Small buckets give all pairs that their counts allow. Large ones give
+    pairs with few hubs, and then the pairs that those and the fingerprints haven't joined. Every document's pair with
+    its smallest partner is verified first, other pairs only where that has not joined their ends already.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = _classes(docs)
+    rows = _rows(docs)
+    classes = cut(rows.groupBy("sig", "n").agg(F.min(F.struct("doc_id", "fp")).alias("c")).select("sig", "n", F.col("c.doc_id").alias("rep"), F.col("c.fp").alias("fp")))
     by_print = cut(classes.groupBy("fp").agg(F.min("rep").alias("rep")))
     equal = classes.join(by_print.withColumnRenamed("rep", "a"), "fp").select("a", F.col("rep").alias("b"))
-    keys = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "key"))
-    hubs = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("by"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))).alias(f"h{k}") for k in range(HUBS)]
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size"), *hubs).where("size > 1")
-    shared = cut(keys.join(sizes.select("key", "size", F.array(*[f"h{k}" for k in range(HUBS)]).alias("hubs")), "key"))
-    one, two = (shared.where(F.col("size") <= SMALL).select("key", F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("pos").alias("p" + x)) for x in "ab")
-    small = one.join(two, "key").where("a < b").where(_LONG_ENOUGH).where(_MAY_REACH).select("a", "b")
+    own = bounded(classes.select(F.col("rep").alias("doc_id"), "sig"))
+    keys = rows.join(own, ["doc_id", "sig"], "left_semi").select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "key"))
+    shared = cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"))
     large = shared.where(F.col("size") > SMALL)
-    first = large.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.explode("hubs").alias("h")).select("b", "nb", "pb", "h.a", "h.na", "h.pa").where(_LONG_ENOUGH).where(_MAY_REACH).select("a", "b")
-    pairs = cut(links(by_print).unionByName(equal).unionByName(small).unionByName(first).where("a <> b").distinct())
-    release(docs.sparkSession)
-    edges = _verified(pairs, docs)
-    release(docs.sparkSession)
+    small = shared.where(F.col("size") <= SMALL).join(bounded(large.groupBy("rep").agg(F.count("*").alias("big"))), "rep", "left")
+    by = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("by"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))).alias(f"h{k}") for k in range(HUBS)]
+    hubs = large.groupBy("key").agg(*by).select("key", F.explode(F.array(*[f"h{k}" for k in range(HUBS)])).alias("h")).select("key", "h.a", "h.na", "h.pa")
+    first = large.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(hubs, "key").where(_LONG_ENOUGH).where(_MAY_REACH).select("a", "b")
+    pairs = links(by_print).unionByName(equal).unionByName(_counted(small.fillna(0, "big"))).unionByName(first).where("a <> b")
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sets = _sets(docs, pairs)
+    least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    edges = _verified(least, sets)
+    more = _apart(pairs.join(least, ["a", "b"], "left_anti"), edges)
+    edges = cut(edges.unionByName(_verified(more, sets)))
     found = cut(components(edges))
-    own = large.select("key", "rep", "n", "pos").join(found, large.rep == found.node, "left").select("key", "rep", "n", "pos", F.coalesce("component", "rep").alias("component"), F.lit(True).alias("resident"))
-    open_keys = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    blocks = block_pairs(own.join(open_keys, "key", "left_semi"), ["key"], "rep", BLOCK_ROWS, BLOCK_COLS)
+    placed = large.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "pos", F.coalesce("component", "rep").alias("component"), F.lit(True).alias("resident"))
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    blocks = block_pairs(placed.join(open_keys, "key", "left_semi"), ["key"], "rep", BLOCK_ROWS, BLOCK_COLS)
     rest = cut(blocks.groupBy("key", "block_r", "block_c").applyInPandas(_across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        found = cut(components(edges.unionByName(_verified(rest, docs))))
+        found = cut(components(edges.unionByName(_verified(rest, _sets(docs, rest)))))
     return classes.join(found, classes.rep == found.node, "left").select("rep", F.coalesce("component", "rep").alias("component"))

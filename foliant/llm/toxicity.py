@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import bounded, cut, slices, table
 
 #: Labelled rows that the models are fitted on at most (the ones whose id hashes lowest), hash buckets, folds.
 SAMPLE, BUCKETS, FOLDS = 8000, 1 << 20, 3
@@ -30,7 +30,7 @@ def features(token: bytes) -> list[int]:
     names = ["w:" + core] + [f"{n}:{core[:n]}" for n in (4, 5) if len(core) > n] if core else []
     signs = text if not core else "".join(c for c in text if c not in core)
     if signs:
-        names.append("x:" + re.sub(r"\d+", "0", signs)[:8])
+        names.append("x:" + re.sub(r"\d+", "0", signs))
     return [zlib.crc32(n.encode()) % BUCKETS for n in names]
 
 
@@ -169,26 +169,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """Fit the chain on at most ``sample`` labelled documents.
 
     ``labels`` has doc_id, quality and toxic (0 or 1). Rows with a null in any of these are left out, and rows of one
-    doc_id count once, as toxic or poor if any says so. The sample is the ids that hash lowest, so it is bounded and
+    doc_id count once, as toxic or poor if any says so; documents of one doc_id count once, with the least text. The sample is the ids that hash lowest, so it is bounded and
     hangs on no order; it is broadcast, the documents are scanned once and only their features reach the driver.
     Without labels of both kinds the chain rejects nothing.
     """
     picked = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     picked = picked.agg((1 - F.min("quality")).cast("double").alias("low_quality"), F.max("toxic").cast("double").alias("toxic"))
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    picked = cut(picked.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))))
+    # the lowest hashes lie below this place, so no task sorts or sends on more than about the sample
+    below = int((1 << 40) * min(1.0, (1.2 * sample + 100) / max(1, picked.count())))
+    picked = picked.where(F.col("place") <= below).orderBy("place", "doc_id").limit(sample).drop("place")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            idx = []
-            for t in batch.column("text"):
-                found = {f for w in set(tokens(t.as_py())) for f in features(w)}
-                idx.append(np.array(sorted(found), dtype="<i4").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("low_quality"), batch.column("toxic"), pa.array(idx, pa.binary())], names=["doc_id", "low_quality", "toxic", "idx"])
-
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                idx = []
+                for t in batch.column("text"):
+                    found = {f for w in set(tokens(t.as_py())) for f in features(w)}
+                    idx.append(np.array(sorted(found), dtype="<i4").tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("low_quality"), batch.column("toxic"), pa.array(idx, pa.binary())], names=["doc_id", "low_quality", "toxic", "idx"])
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    found = found.groupBy("doc_id", *CHAIN).agg(F.min("text").alias("text"))
     found = found.select("doc_id", "text", *CHAIN).mapInArrow(run, "doc_id long, low_quality double, toxic double, idx binary").toPandas().sort_values("doc_id")
     y = found[list(CHAIN)].to_numpy()
     if len(y) < 2 * FOLDS or (y[:, -1].min() == y[:, -1].max()):
@@ -256,7 +261,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that the chain does not call toxic, with all their columns."""
+    """The rows of ``docs`` that the chain does not call toxic, with all their columns, whatever their names.
+
+    Only texts go to Python, and only the 128-bit names of rejected texts come back; rows are dropped by an anti join,
+    a broadcast one if the names are few enough. A null text is judged as an empty one.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
 
     def run(batches: Iterator) -> Iterator:
@@ -265,9 +274,14 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
         score = scorer(model.value)
         for batch in batches:
             for b in slices(batch, "text"):
-                yield b.filter(pa.array(np.round(score(b.column("text").to_pylist())[:, -1], 6) < model.value["cutoff"]))
-
-    return docs.mapInArrow(run, docs.schema)
+                bad = np.round(score(b.column("text").to_pylist())[:, -1], 6) >= model.value["cutoff"]
+                yield b.select(["one", "two"]).filter(pa.array(bad))
+
+    text = F.coalesce(docs["text"], F.lit(""))
+    name = [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
+    bad = docs.select(name[0].alias("one"), name[1].alias("two"), text.alias("text")).mapInArrow(run, "one long, two long")
+    bad = bounded(bad.distinct())
+    return docs.join(bad, (name[0] == bad["one"]) & (name[1] == bad["two"]), "left_anti")
 
 
 def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,7 +192,7 @@ def planted():
     return rows + [(1000, rows[3][1].upper()), (1001, None), (1002, ""), (None, rows[0][1]), (1003, "a b"), (1003, "a c")]
 
 
-@pytest.mark.parametrize("bounds", [{}, {"SMALL": 2, "BLOCK_ROWS": 8, "BLOCK_COLS": 16}, {"ORDER_SAMPLE": 0, "BROADCAST_IDS": 0}])
+@pytest.mark.parametrize("bounds", [{}, {"SMALL": 2, "BLOCK_ROWS": 8, "BLOCK_COLS": 16, "ORDER_SAMPLE": 0, "HUB_PAIRS": 1}])
 def test_kept_equal_brute_force_at_similarity(spark, monkeypatch, bounds):
     from foliant.llm import similar
 
