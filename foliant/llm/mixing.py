@@ -52,42 +52,50 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, rows: flo
     return n.select("source", "n", (F.lit(float(rows if rows is not None else total or 0)) * F.col("weight") / F.lit(weight or 1.0) / F.col("n")).alias("rate"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, rows: float | None = None, power: float = 0.5) -> DataFrame:
-    """``docs`` with every row repeated by a Poisson draw of its source's rate, in random global order.
-
-    Adds ``_copy`` (from 0), ``_rate`` and ``_order`` (a number in (0, 1); tasks hold random rows, in this order).
-    The draw hangs on doc_id, source and text length alone: a rerun repeats it, repeated rows share it, and a row
-    without a doc_id draws like any other. Rows whose draw is 0 are left out, which is the method. An empty table
-    gives no rows. Only (source, rate) meets the documents, by broadcast when there are few sources; beyond that
-    rows are joined on (source, salt), so a hot source is spread.
+def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, rows: float | None = None, power: float = 0.5) -> DataFrame:
+    """Rows ``row, copy, rate``: every row of ``docs`` (as a struct) repeated by a Poisson draw of its source's rate, in
+    random global order; ``copy`` counts from 0.
+
+    The draw hangs on doc_id and source; for a row without a doc_id on its source and whole text instead. A rerun
+    repeats it, and repeated rows share it. Rows whose draw is 0 are left out, which is the method. An empty table
+    gives no rows. Columns of any name may come along, as they stay inside ``row``. Only (source, rate) meets the
+    documents, by broadcast when there are few sources; beyond that rows are joined on (source, salt), so a hot source
+    is spread.
     """
-    r = rates(docs, weights, rows, power).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
+    text = F.coalesce(F.col("text"), F.lit("")) if "text" in docs.columns else F.lit("")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(text)))
+    own = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), name.alias("name"))
+    r = rates(own, weights, rows, power).select(F.col("source").alias("of"), "rate")
     if r.count() <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(r), docs["source"].eqNullSafe(F.col("_source")), "inner")
+        joined = own.join(F.broadcast(r), F.col("source").eqNullSafe(F.col("of")))
     else:
         salts = 64
-        r = r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-        joined = salted.join(r, salted["source"].eqNullSafe(r["_source"]) & (salted["_salt"] == r["_salt"]), "inner").drop(salted["_salt"]).drop(r["_salt"])
-    ident = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source"), F.lit(""))]
-    whole = F.floor(F.col("_rate") / RATE_STEP).cast("int")
-    rest = F.col("_rate") - whole * RATE_STEP
+        r = r.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = own.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(salts)).cast("int")).join(r, F.col("source").eqNullSafe(F.col("of")) & (F.col("salt") == F.col("part")))
+    ident = [F.col("name"), F.coalesce(F.col("source"), F.lit(""))]
+    whole = F.floor(F.col("rate") / RATE_STEP).cast("int")
+    rest = F.col("rate") - whole * RATE_STEP
     # a sum of Poisson draws is a Poisson draw of the summed rate
     steps = F.when(whole > 0, F.sequence(F.lit(1), whole)).otherwise(F.array().cast("array<int>"))
     k = poisson(uniform(F.lit("n"), *ident), rest) + F.aggregate(
         steps, F.lit(0), lambda s, i: s + poisson(uniform(F.concat(F.lit("n"), i.cast("string")), *ident), F.lit(RATE_STEP)))
-    repeated = joined.withColumn("_n", k).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    ordered = repeated.withColumn("_order", uniform(F.lit("o"), *ident, F.col("_copy")))
-    return ordered.drop("_source", "_n").repartition("_order").sortWithinPartitions("_order")
+    repeated = joined.withColumn("n", k).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    ordered = repeated.select("row", "copy", "rate", uniform(F.lit("o"), *ident, F.col("copy")).alias("order"))
+    return ordered.repartition("order").sortWithinPartitions("order").drop("order")
+
+
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, rows: float | None = None, power: float = 0.5) -> DataFrame:
+    """``docs`` with its rows repeated (see ``mixed``), same columns."""
+    return mixed(docs, weights, rows, power).select("row.*")
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as often as the draw says: its columns, copy, rate (6 places) and the text's md5.
+    """Every document as often as the draw says: its columns, copy and rate (6 places).
 
     Sources are weighted by the square root of their documents; the output is as large as the input.
     """
-    found = mix(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "source", "lang", "n_chars", "text", F.col("_copy").alias("copy"), F.round("_rate", 6).alias("rate"))
+    found = mixed(table(spark, sf_dir, "documents"))
+    return found.select(*(F.col(f"row.{c}").alias(c) for c in ("doc_id", "source", "lang", "n_chars", "text")), "copy", F.round("rate", 6).alias("rate"))
 
 
 OP4_SQL = f"""
@@ -99,7 +107,7 @@ d AS (
 ),
 draws AS (
   SELECT d.*, i, CASE WHEN i = 0 THEN rest ELSE {RATE_STEP} END AS lam,
-    (('0x' || substr(md5('{SEED}:n' || CASE WHEN i = 0 THEN '' ELSE i::VARCHAR END || ':' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(source, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+    (('0x' || substr(md5('{SEED}:n' || CASE WHEN i = 0 THEN '' ELSE i::VARCHAR END || ':' || coalesce(doc_id::VARCHAR, 't' || md5(coalesce(text, ''))) || ':' || coalesce(source, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM d, unnest(range(0, whole + 1)) AS x(i)
 ),
 k AS (

@@ -54,21 +54,35 @@ def is_valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+#: Matches of a block whose places are summed up together.
+PLACES = 64
+
+
 def occurrences(text: Column, pattern: str) -> Column:
     """All matches in order as structs ``gap, match, start, end``: code points, end exclusive; gap is the text before.
 
-    Splitting at the pattern gives the texts between matches, so lengths add up to places.
+    Splitting at the pattern gives the texts between matches, so lengths add up to places: those of whole blocks of
+    PLACES matches first, then those within the own block, so that work grows with the matches and not their square.
     """
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<gap:string,match:string,start:int,end:int>>").alias("all"))
+    add = lambda s, x: s + x
+    total = lambda xs: F.aggregate(xs, F.lit(0), add)
+    one = F.struct(F.filter(pairs, lambda p: p["match"].isNotNull()).alias("all"))
+    sized = F.transform(F.array(one), lambda x: F.struct(x["all"].alias("all"), F.transform(x["all"], lambda p: F.length(p["gap"]) + F.length(p["match"])).alias("size")))
+    blocks = lambda x: F.sequence(F.lit(0), F.floor(F.size(x["all"]) / PLACES).cast("int"))
+    summed = F.transform(sized, lambda x: F.struct(x["all"].alias("all"), x["size"].alias("size"), F.transform(blocks(x), lambda c: total(F.slice(x["size"], c * PLACES + 1, F.lit(PLACES)))).alias("sums")))
+
+    def placed(x: Column, c: Column) -> Column:
+        before = total(F.slice(x["sums"], F.lit(1), c))
+        own = F.slice(x["size"], c * PLACES + 1, F.lit(PLACES))
+
+        def at(p: Column, i: Column) -> Column:
+            start = before + total(F.slice(own, F.lit(1), i)) + F.length(p["gap"])
+            return F.struct(p["gap"].alias("gap"), p["match"].alias("match"), start.alias("start"), (start + F.length(p["match"])).alias("end"))
 
-    def step(s: Column, p: Column) -> Column:
-        a = s["at"] + F.length(p["gap"])
-        b = a + F.length(p["match"])
-        found = F.struct(p["gap"].alias("gap"), p["match"].alias("match"), a.alias("start"), b.alias("end"))
-        return F.when(p["match"].isNull(), s).otherwise(F.struct(b.alias("at"), F.concat(s["all"], F.array(found)).alias("all")))
+        return F.transform(F.slice(x["all"], c * PLACES + 1, F.lit(PLACES)), at)
 
-    return F.aggregate(pairs, start, step, lambda s: s["all"])
+    return F.flatten(F.flatten(F.transform(summed, lambda x: F.transform(blocks(x), lambda c: placed(x, c)))))
 
 
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -82,19 +96,21 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Tokens with a digit or @ as structs ``core, context, start, end``; context: the two words before, in lower case.
+    """Tokens with a digit or @ as structs ``core, context, start, end``; context: the two words before, in lower case,
+    wherever they stand; a word that is itself such a token counts as ``#``.
 
-    The core is the token without quotes, brackets and stops around it. A token within 80 signs of no two words, such as
-    the first of a text, has no context and is left out.
+    The core is the token without quotes, brackets and stops around it. A token without two words before it, such as the
+    first of a text, has no context and is left out.
     """
-    def shaped(o: Column) -> Column:
+    def shaped(found: Column, o: Column, i: Column) -> Column:
         core = F.regexp_extract(o["match"], r"^[\"'(\[<{]*(.*?)[\"')\]>},;:.!?]*$", 1)
         lead = F.length(F.regexp_extract(o["match"], r"^([\"'(\[<{]*)", 1))
-        near = F.substring(o["gap"], -80, 80)
-        context = F.lower(F.regexp_extract(near, r"(\S+\s+\S+)\s+$", 1))
+        earlier = F.when(i > 0, F.concat(F.when(i > 1, F.lit("#")).otherwise(F.lit("")), F.get(found, i - 1)["gap"], F.lit("#"))).otherwise(F.lit(""))
+        context = F.lower(F.regexp_extract(F.concat(earlier, o["gap"]), r"(?<!\S)(\S++\s++\S++)\s++$", 1))
         return F.struct(core.alias("core"), F.regexp_replace(context, r"\s+", " ").alias("context"), (o["start"] + lead).alias("start"), (o["start"] + lead + F.length(core)).alias("end"))
 
-    found = F.filter(F.transform(occurrences(text, TOKEN), shaped), lambda c: (F.length(c["core"]) >= 5) & (c["context"] != ""))
+    bound = F.transform(F.array(F.struct(occurrences(text, TOKEN).alias("all"))), lambda x: F.transform(x["all"], lambda o, i: shaped(x["all"], o, i)))
+    found = F.filter(F.flatten(bound), lambda c: (c["core"] != "") & (c["context"] != ""))
     return F.when(text.rlike("[0-9@]"), found).otherwise(F.array().cast("array<struct<core:string,context:string,start:int,end:int>>"))
 
 
@@ -135,10 +151,10 @@ BROADCAST_FINDS = 20_000
 
 
 def _with_finds(scanned: DataFrame, finds: DataFrame) -> DataFrame:
-    finds = cut(finds).withColumnRenamed("doc_id", "_doc").withColumnRenamed("_key", "_text")
+    finds = cut(finds).select(F.col("doc_id").alias("of"), F.col("_key").alias("of_key"), "_found")
     if finds.count() <= BROADCAST_FINDS:
         finds = F.broadcast(finds)
-    joined = scanned.join(finds, scanned["doc_id"].eqNullSafe(finds["_doc"]) & (scanned["_key"] == finds["_text"]), "left").drop("_doc", "_text")
+    joined = scanned.join(finds, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("_key") == F.col("of_key")), "left").drop("of", "of_key")
     return joined.withColumn("_found", F.coalesce("_found", F.array().cast(_SPANS)))
 
 
@@ -154,23 +170,48 @@ def find(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.col("_base").alias("base"), F.array_sort("_found").alias("found"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of personal data in ``text`` replaced by its kind in brackets, e.g. [EMAIL]; same columns.
+#: Code points of the pieces that a text with finds is cut into.
+PIECE = 1024
+
 
-    Overlapping spans become one tag each for the part not yet replaced. Null texts stay null.
+def replaced(text: Column, spans: Column) -> Column:
+    """``text`` with each span (sorted structs ``start, end, kind``) as its kind in brackets; overlapping spans give one tag
+    each for the part not yet replaced.
+
+    The text is cut into pieces first, each with its own few spans, so that work doesn't grow with text times spans.
     """
-    rows = cut(scan(docs.select("doc_id", "text")).withColumn("_cand", candidates(F.coalesce("text", F.lit("")))).where(F.size("_cand") > 0).drop("text"))
-    joined = _with_finds(scan(docs), discover(rows))
-    spans = F.array_sort(F.transform(F.concat("_base", "_found"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("all"))
+    # spans that begin before an earlier one ends start where that ends; those within one go
+    clear = F.aggregate(spans, none, lambda s, p: F.when(p["end"] <= s["end"], s).otherwise(F.struct(
+        p["end"].alias("end"), F.concat(s["all"], F.array(F.struct(F.greatest(p["start"], s["end"]).alias("start"), p["end"].alias("end"), p["kind"].alias("kind")))).alias("all"))), lambda s: s["all"])
 
-    def step(s: Column, p: Column) -> Column:
-        before = F.substring(F.col("text"), s["at"] + 1, F.greatest(p["start"] - s["at"], F.lit(0)))
-        new = F.struct(F.concat(s["out"], before, F.lit("["), F.upper(p["kind"]), F.lit("]")).alias("out"), p["end"].alias("at"))
-        return F.when(p["end"] <= s["at"], s).otherwise(new)
+    def piece(x: Column, i: Column, own: Column) -> Column:
+        base = i * PIECE
+        here = F.filter(own, lambda p: (p["start"] < base + F.length(x)) & (p["end"] > base))
+        begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    redone = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length(F.col("text")))))
-    return joined.withColumn("text", F.when(F.size(spans) > 0, redone).otherwise(F.col("text"))).select(*docs.columns)
+        def step(s: Column, p: Column) -> Column:
+            before = F.substring(x, s["at"] + 1, F.greatest(p["start"] - base - s["at"], F.lit(0)))
+            tag = F.when(p["start"] >= base, F.concat(F.lit("["), F.upper(p["kind"]), F.lit("]"))).otherwise(F.lit(""))
+            return F.struct(F.concat(s["out"], before, tag).alias("out"), (p["end"] - base).alias("at"))
+
+        return F.aggregate(here, begin, step, lambda s: F.concat(s["out"], F.substring(x, s["at"] + 1, F.lit(PIECE))))
+
+    bound = F.transform(F.array(F.struct(clear.alias("own"), pieces.alias("pieces"))), lambda b: F.transform(b["pieces"], lambda x, i: piece(x, i, b["own"])))
+    return F.array_join(F.flatten(bound), "")
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span of personal data in ``text`` replaced by its kind in brackets, e.g. [EMAIL]; same columns,
+    whatever their names. Null texts stay null.
+    """
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+    rows = cut(scan(own.select("doc_id", "text")).withColumn("_cand", candidates(F.coalesce("text", F.lit("")))).where(F.size("_cand") > 0).drop("text"))
+    joined = _with_finds(scan(own), discover(rows))
+    spans = F.array_sort(F.transform(F.concat("_base", "_found"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    text = F.when(F.size(spans) > 0, replaced(F.col("text"), spans)).otherwise(F.col("text"))
+    return joined.select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
 def _joined(spans: Column) -> Column:

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from foliant.llm import attention, mixing, packing, pii, registry, scoring, topk, toxicity, wrappers
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank int, key string"
+#: Columns beside those of documents carry names that the operators use inside.
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank int, key string, _key string, _base int, name int, rate int, row int, gone int, again int, one int"
 FOLDER = "/root/testdata/sf0.001"
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, "en", s, 0, 1, "clash") for i, t, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", s, 0, 1, "clash", "clash", *range(7)) for i, t, s in rows], DOCS)
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
@@ -50,9 +51,9 @@ def test_poisson_draws_at_high_rates(spark):
 
 def test_many_sources_are_joined_by_salt(spark, monkeypatch):
     rows = [(i, "t", f"s{i % 7}" if i % 7 else None) for i in range(300)]
-    one = sorted(map(tuple, mixing.mix(docs(spark, rows)).select("doc_id", "_copy").collect()))
+    one = sorted(map(tuple, mixing.mixed(docs(spark, rows)).select("row.doc_id", "copy").collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
-    assert sorted(map(tuple, mixing.mix(docs(spark, rows)).select("doc_id", "_copy").collect())) == one
+    assert sorted(map(tuple, mixing.mixed(docs(spark, rows)).select("row.doc_id", "copy").collect())) == one
 
 
 def test_packing_round_trip(spark):
@@ -153,6 +154,27 @@ def test_contexts_discover_identifiers_and_leave_others(spark):
     assert pii.find(docs(spark, [])).count() == 0
 
 
+def test_identifiers_side_by_side_and_many_in_a_long_text(spark):
+    lead = "please write to user"
+    rows = [(i, f"some words {lead} a{i}@b.com and more", "s") for i in range(9)]
+    rows += [(i, f"ask for number {i}77 b{i}@c.org", "s") for i in range(10, 19)]
+    rows += [(20, "ask for number 12345 agent_7731x and", "s"), (21, f"{lead}{' ' * 300}agent_7731x", "s"), (22, f"{lead} agent_7731x", "s")]
+    text = " ".join(f"x{i} m{i}@y.org" for i in range(3000))
+    rows.append((23, text, "s"))
+    by = {r["doc_id"]: r for r in pii.find(docs(spark, rows)).collect()}
+    own = lambda i: [rows[[r[0] for r in rows].index(i)][1][s["start"] : s["end"]] for s in by[i]["found"]]
+    assert "agent_7731x" in own(20) and own(21) == own(22) == ["agent_7731x"]
+    assert [(s["start"], s["end"]) for s in by[23]["base"]] == [m.span() for m in re.finditer(r"m\S+", text)]
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs(spark, rows)).collect()}
+    assert out[23].split()[1::2] == ["[EMAIL]"] * 3000 and len(out[23].split()) == 6000
+
+
+def test_rows_without_an_id_draw_each(spark):
+    rows = [(None, f"t{i}", "s") for i in range(2000)]
+    n = mixing.mix(docs(spark, rows)).groupBy("text").count().count()
+    assert 1150 < n < 1380  # 1 - 1/e of them
+
+
 PAGE = "<html><head><title>t</title><script>if (a<b) x('</p>')</script></head><body><nav><ul>{menu}</ul></nav><div class='ad'>buy</div><article><h1>{h}</h1>{p}{c}</article><footer>f</footer></body></html>"
 
 
