@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_pairs, bounded, components, cut, slices
+from .common import Forest, block_pairs, bounded, components, cut, slices
 from .simhash import SEED, links
 
 WIDTH = 5
@@ -22,7 +22,7 @@ ORDER_SAMPLE, ORDER_LAST = 5_000, 65_536
 #: Buckets of up to this many documents give all their pairs at once; larger ones are linked through HUBS documents first.
 SMALL, HUBS = 16, 4
 #: Largest block of a bucket that one task compares.
-BLOCK_ROWS, BLOCK_COLS = 4096, 8192
+BLOCK_ROWS, BLOCK_COLS = 1024, 2048
 #: Pairs from which on those of one document are spread, and over so many tasks.
 HUB_PAIRS, SALTS = 1024, 64
 #: The similarity as integers: |a & b| / |a | b| >= 4/5 is 9 |a & b| >= 4 (|a| + |b|).
@@ -139,22 +139,39 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(group):
-    """Pairs of a block that no link joins yet and whose lengths and places allow a similarity of 0.8."""
+    """A spanning forest of what a block's pairs of a similarity of 0.8 or more join beyond the components known so far."""
     import pandas as pd
 
     g = {k: group[k].to_numpy() for k in ("rep", "n", "pos", "component", "is_row", "is_col")}
-    rows, cols = np.flatnonzero(g["is_row"]), np.flatnonzero(g["is_col"])
-    left, n, pos = g["n"] - g["pos"], g["n"].astype(np.int64), g["component"]
-    a, b = [], []
-    step = max(1, 1_000_000 // max(1, len(cols)))
-    for at in range(0, len(rows), step):
-        r = rows[at : at + step, None]
-        near = (pos[r] != pos[cols]) & (5 * np.minimum(n[r], n[cols]) >= 4 * np.maximum(n[r], n[cols])) & (g["rep"][r] < g["rep"][cols])
-        near &= 9 * np.minimum(left[r], left[cols]) >= 4 * (n[r] + n[cols])
-        i, j = np.nonzero(near)
-        a.append(g["rep"][r[i, 0]])
-        b.append(g["rep"][cols[j]])
-    return pd.DataFrame({"a": np.concatenate([*a, np.zeros(0, dtype=np.int64)]), "b": np.concatenate([*b, np.zeros(0, dtype=np.int64)])}, dtype="int64")
+    sets, n, left = group["h"].to_list(), g["n"].astype(np.int64), (g["n"] - g["pos"]).astype(np.int64)
+    forest, cols = Forest(len(n)), np.flatnonzero(g["is_col"])
+    forest.label = np.unique(g["component"], return_inverse=True)[1].ravel()
+    for i in np.flatnonzero(g["is_row"]).tolist():
+        near = (forest.label[i] != forest.label[cols]) & (5 * np.minimum(n[i], n[cols]) >= 4 * np.maximum(n[i], n[cols]))
+        near &= 9 * np.minimum(left[i], left[cols]) >= 4 * (n[i] + n[cols])
+        some = cols[near]
+        for at in range(0, len(some), 256):
+            j = some[at : at + 256]
+            j = j[n[j] > 0] if n[i] else j[:0]
+            if len(j):
+                other = np.concatenate([sets[x] for x in j.tolist()])
+                place = np.minimum(np.searchsorted(sets[i], other), len(sets[i]) - 1)
+                both = np.add.reduceat((sets[i][place] == other).astype(np.int64), np.cumsum(n[j]) - n[j])
+                if len(hit := j[9 * both >= 4 * (n[i] + n[j])]):
+                    forest.link(i, hit)
+    return pd.DataFrame({"a": [g["rep"][i] for i, _ in forest.edges], "b": [g["rep"][j] for _, j in forest.edges]}, dtype="int64")
+
+
+def _telling(large: DataFrame) -> DataFrame:
+    """The buckets of ``large`` that bring pairs together which no bucket earlier in the order does.
+
+    If all documents of a bucket have the same bucket before it, as those of a passage's shingles have, their pairs meet
+    there already. A document's own buckets are few, so they are put in order per document.
+    """
+    before = F.lag("key").over(Window.partitionBy("rep").orderBy("pos"))
+    own = large.withColumn("before", before)
+    same = own.groupBy("key").agg(F.min("before").alias("x"), F.max("before").alias("y"), F.count_if(F.col("before").isNull()).alias("none"))
+    return large.join(same.where("none > 0 or x <> y").select("key"), "key", "left_semi")
 
 
 def _counted(small: DataFrame) -> DataFrame:
@@ -183,7 +200,8 @@ def linked(docs: DataFrame) -> DataFrame:
     Null and empty texts have the empty set; rows without a doc_id are left out. Two sets of that similarity share a
     shingle among the first fifth of both in any one order, so buckets of these shingles meet all pairs; the order puts
     frequent shingles last to keep buckets small. Small buckets give all pairs that their counts allow. Large ones give
-    pairs with few hubs, and then the pairs that those and the fingerprints haven't joined. Every document's pair with
+    pairs with few hubs; documents of those whose components still differ are then compared in blocks that return a
+    spanning forest, so no bucket gives all its pairs. Every document's pair with
     its smallest partner is verified first, other pairs only where that has not joined their ends already.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -195,10 +213,11 @@ def linked(docs: DataFrame) -> DataFrame:
     keys = rows.join(own, ["doc_id", "sig"], "left_semi").select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "key"))
     shared = cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"))
     large = shared.where(F.col("size") > SMALL)
+    wide = cut(_telling(large))
     small = shared.where(F.col("size") <= SMALL).join(bounded(large.groupBy("rep").agg(F.count("*").alias("big"))), "rep", "left")
     by = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("by"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))).alias(f"h{k}") for k in range(HUBS)]
-    hubs = large.groupBy("key").agg(*by).select("key", F.explode(F.array(*[f"h{k}" for k in range(HUBS)])).alias("h")).select("key", "h.a", "h.na", "h.pa")
-    first = large.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(hubs, "key").where(_LONG_ENOUGH).where(_MAY_REACH).select("a", "b")
+    hubs = wide.groupBy("key").agg(*by).select("key", F.explode(F.array(*[f"h{k}" for k in range(HUBS)])).alias("h")).select("key", "h.a", "h.na", "h.pa")
+    first = wide.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(hubs, "key").where(_LONG_ENOUGH).where(_MAY_REACH).select("a", "b")
     pairs = links(by_print).unionByName(equal).unionByName(_counted(small.fillna(0, "big"))).unionByName(first).where("a <> b")
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     sets = _sets(docs, pairs)
@@ -207,10 +226,12 @@ def linked(docs: DataFrame) -> DataFrame:
     more = _apart(pairs.join(least, ["a", "b"], "left_anti"), edges)
     edges = cut(edges.unionByName(_verified(more, sets)))
     found = cut(components(edges))
-    placed = large.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "pos", F.coalesce("component", "rep").alias("component"), F.lit(True).alias("resident"))
+    placed = wide.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "pos", F.coalesce("component", "rep").alias("component"), F.lit(True).alias("resident"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     blocks = block_pairs(placed.join(open_keys, "key", "left_semi"), ["key"], "rep", BLOCK_ROWS, BLOCK_COLS)
-    rest = cut(blocks.groupBy("key", "block_r", "block_c").applyInPandas(_across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        found = cut(components(edges.unionByName(_verified(rest, _sets(docs, rest)))))
+    blocks = cut(blocks)
+    if not blocks.isEmpty():
+        sets = _sets(docs, blocks.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+        more = blocks.join(sets, "rep").groupBy("key", "block_r", "block_c").applyInPandas(_across, "a long, b long")
+        found = cut(components(edges.unionByName(more)))
     return classes.join(found, classes.rep == found.node, "left").select("rep", F.coalesce("component", "rep").alias("component"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator, Sequence
@@ -47,12 +48,13 @@ class Linear:
     def fit(self, rows: tuple[np.ndarray, np.ndarray], extra: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> Linear:
         start, idx = rows
         n = len(y)
-        row = np.repeat(np.arange(n), np.diff(start))
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(start))
         buckets = len(self.w) - extra.shape[1] - 1
         used = telling(row, idx, y, buckets)
-        place = np.full(buckets, -1, dtype=np.int64)
+        place = np.full(buckets, -1, dtype=np.int32)
         place[used] = np.arange(len(used))
-        row, idx = row[place[idx] >= 0], place[idx][place[idx] >= 0]
+        idx = place[idx]
+        row, idx = row[idx >= 0], idx[idx >= 0]
         m = len(used) + extra.shape[1] + 1
         weight = np.where(y > 0, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean())) ** 0.5
 
@@ -74,7 +76,9 @@ class Linear:
     def predict(self, rows: tuple, extra: np.ndarray) -> np.ndarray:
         start, idx = rows
         n, buckets = len(start) - 1, len(self.w) - extra.shape[1] - 1
-        row = np.repeat(np.arange(n), np.diff(start))
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(start))
+        live = self.w[:buckets] != 0
+        row, idx = row[live[idx]], idx[live[idx]]
         return _sigmoid(np.bincount(row, self.w[idx], n) + extra @ self.w[buckets:-1] + self.w[-1])
 
 
@@ -83,7 +87,7 @@ def telling(row: np.ndarray, idx: np.ndarray, y: np.ndarray, buckets: int) -> np
     n1 = max(1.0, y.sum())
     n0 = max(1.0, len(y) - y.sum())
     df = np.bincount(idx, minlength=buckets)
-    pos = np.bincount(idx, y[row], minlength=buckets)
+    pos = np.bincount(idx[(y > 0)[row]], minlength=buckets)
     gap = np.abs(pos / n1 - (df - pos) / n0) / np.sqrt((df + 2.0) / len(y))
     gap[df < LEAST_DOCS] = -1
     best = np.argsort(-gap, kind="stable")[:KEPT]
@@ -170,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
     ``labels`` has doc_id, quality and toxic (0 or 1). Rows with a null in any of these are left out, and rows of one
     doc_id count once, as toxic or poor if any says so; documents of one doc_id count once, with the least text. The sample is the ids that hash lowest, so it is bounded and
-    hangs on no order; it is broadcast, the documents are scanned once and only their features reach the driver.
+    hangs on no order; its ids are broadcast, the documents are scanned once, one task fits their features, and only the model reaches the driver.
     Without labels of both kinds the chain rejects nothing.
     """
     picked = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -194,13 +198,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
     found = found.groupBy("doc_id", *CHAIN).agg(F.min("text").alias("text"))
-    found = found.select("doc_id", "text", *CHAIN).mapInArrow(run, "doc_id long, low_quality double, toxic double, idx binary").toPandas().sort_values("doc_id")
-    y = found[list(CHAIN)].to_numpy()
+    found = cut(found.select("doc_id", "text", *CHAIN).mapInArrow(run, "doc_id long, low_quality double, toxic double, idx binary"))
+
+    def fit(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        own = [b.to_pydict() for b in batches]
+        column = lambda c: [x for b in own for x in b[c]]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_model(column("doc_id"), np.array([column(c) for c in CHAIN]).T, column("idx")))], pa.binary())], names=["model"])
+
+    # one task fits the bounded sample, away from the driver; without a labelled row there is none to run
+    made = found.repartition(1).mapInArrow(fit, "model binary").first()
+    return pickle.loads(made["model"]) if made else _model([], np.zeros((0, len(CHAIN))), [])
+
+
+def _model(ids: list[int], y: np.ndarray, idx: list[bytes]) -> dict:
+    order = np.argsort(np.array(ids, dtype=np.int64), kind="stable")
+    ids, y, idx = [ids[i] for i in order], y[order], [np.frombuffer(idx[i], dtype="<i4") for i in order]
     if len(y) < 2 * FOLDS or (y[:, -1].min() == y[:, -1].max()):
         return {"buckets": np.zeros(0, dtype=np.int64), "weights": np.zeros((0, len(CHAIN))), "extra": np.zeros((len(CHAIN), len(CHAIN))), "bias": np.full(len(CHAIN), -30.0), "cutoff": 1.1}
-    idx = [np.frombuffer(x, dtype="<i4") for x in found["idx"]]
     rows = (np.concatenate([[0], np.cumsum([len(x) for x in idx])]), np.concatenate(idx))
-    fold = np.array([zlib.crc32(str(d).encode()) % FOLDS for d in found["doc_id"]])
+    fold = np.array([zlib.crc32(str(d).encode()) % FOLDS for d in ids])
     models, out = fit_chain(rows, y, fold)
     extra = np.zeros((len(CHAIN), len(CHAIN)))
     for c, m in enumerate(models):
