@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, block_pairs, bounded, components, cut, slices
+from .common import Forest, block_pairs, bounded, components, cut, remove, slices, written
 from .simhash import SEED, links
 
 WIDTH = 5
@@ -211,7 +211,7 @@ def linked(docs: DataFrame) -> DataFrame:
     equal = classes.join(by_print.withColumnRenamed("rep", "a"), "fp").select("a", F.col("rep").alias("b"))
     own = bounded(classes.select(F.col("rep").alias("doc_id"), "sig"))
     keys = rows.join(own, ["doc_id", "sig"], "left_semi").select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "key"))
-    shared = cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"))
+    shared, path = written(keys.join(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"))
     large = shared.where(F.col("size") > SMALL)
     wide = cut(_telling(large))
     small = shared.where(F.col("size") <= SMALL).join(bounded(large.groupBy("rep").agg(F.count("*").alias("big"))), "rep", "left")
@@ -234,4 +234,5 @@ def linked(docs: DataFrame) -> DataFrame:
         sets = _sets(docs, blocks.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
         more = blocks.join(sets, "rep").groupBy("key", "block_r", "block_c").applyInPandas(_across, "a long, b long")
         found = cut(components(edges.unionByName(more)))
+    remove(docs.sparkSession, path)
     return classes.join(found, classes.rep == found.node, "left").select("rep", F.coalesce("component", "rep").alias("component"))

@@ -240,7 +240,7 @@ def test_scoring_base_and_each_id_once(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["The", "the", "cat", "sat,", "on", "mat.", "é", "x y"]) for _ in range(rng.randint(0, 40))), "s") for i in range(60)]
     rows += [(70, None, "s"), (71, "", "s"), (None, "the cat", "s"), (3, rows[3][1], "s"), (72, "unseenword " * 500, "s")]
-    found = scoring.score_texts(docs(spark, rows), sample=40, steps=20).collect()
+    found = scoring.score_texts(docs(spark, rows), rounds=1).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     words = lambda t: (t or "").encode().lower().split() + [None]
     c = collections.Counter(w for i, t, _ in rows if i is not None and not held(i) for w in words(t))
@@ -248,21 +248,51 @@ def test_scoring_base_and_each_id_once(spark):
     want = collections.Counter((i, held(i), len(words(t)), sum(c[w] > 0 for w in words(t)), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words(t)), 6)) for i, t, _ in rows)
     got = collections.Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found)
     assert got == want and all(r["score"] < 0 for r in found)
-    assert scoring.score_texts(docs(spark, []), steps=2).count() == 0
+    assert scoring.score_texts(docs(spark, []), rounds=1).count() == 0
 
 
-def test_rare_words_are_joined(spark, monkeypatch):
-    rows = [(i, f"common w{i % 13} w{i % 7}", "s") for i in range(40)]
-    one = sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in scoring.score_texts(docs(spark, rows), steps=2).collect())
+def test_score_is_the_same_whichever_way_counts_come_and_equals_a_plain_pass(spark, monkeypatch):
+    rows = [(i, f"common w{i % 13} w{i % 7} " + "more " * (i % 30), "s") for i in range(40)]
+    kept = []
+    monkeypatch.setattr(attention, "closed", lambda m, real=attention.closed: kept.append(real(m)) or kept[-1])
+    own = lambda: sorted((r["doc_id"], r["n_known"], round(r["base_score"], 5), round(r["score"], 3)) for r in scoring.score_texts(docs(spark, rows), rounds=1).collect())
+    one = own()
     monkeypatch.setattr(scoring, "HEAD", 2)
-    assert sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in scoring.score_texts(docs(spark, rows), steps=2).collect()) == one
+    assert own() == one
+    # the plain pass: every word by itself, every id from a forward pass over its own window
+    path = scoring.tokenizer_path("byte_bpe_50k.tiktoken")
+    end, model = len(scoring.encoder(path)[1]), kept[0]
+    net = attention.Attention.__new__(attention.Attention)
+    net.p = model["p"]
+    counts = collections.Counter(w for i, t, _ in rows if zlib.crc32(str(i).encode()) % 10 for w in t.split() + [None])
+    for i, t, _ in rows[:6]:
+        words = t.encode().split()
+        ids = [scoring._word_ids({w}, path)[w] for w in words]
+        ids = [np.frombuffer(x, dtype="<u4").astype(int).tolist() for x in ids] + [[end]]
+        flat, logs = [x for w in ids for x in w], []
+        for at in range(len(flat)):
+            first = at // attention.SCORED * attention.SCORED
+            places = range(first - attention.BEFORE - 1, first + attention.SCORED - 1)
+            x = np.array([[model["row"][flat[k]] if 0 <= k < len(flat) else model["rows"] for k in places]])
+            z = net.forward(x, np.array([[k >= -1 for k in places]]))["logits"][0, at - first].astype(float)
+            logs.append(z[model["group"][flat[at]]] - np.log(np.exp(z).sum()) + model["share"][flat[at]])
+        total, at = 0.0, 0
+        for w, some in zip(words + [None], ids):
+            p = np.exp(sum(logs[at : at + len(some)]))
+            at += len(some)
+            total += np.log10((1 - scoring.OWN) * p + scoring.OWN * counts[w.decode() if w else None] / sum(counts.values()))
+        assert abs(total - dict((r[0], r[3]) for r in one)[i]) < 0.02
 
 
 def test_attention_is_a_distribution_and_learns():
     rng = np.random.default_rng(1)
     texts = [np.array([(s + k) % 7 for k in range(rng.integers(1, 60))] + [7]) for s in rng.integers(0, 7, 80)]
     counts = np.bincount(np.concatenate(texts), minlength=8).astype(float)
-    model = attention.train(counts, texts, 150)
+    windows = np.concatenate([attention.windows_of(t, i, 1) for i, t in enumerate(texts)])
+    model = attention.start(counts, windows)
+    for turn in range(40):
+        model["p"] = attention.fit(model, np.tile(windows, (4, 1)), turn, 40)
+    model = attention.closed(model)
     lengths = np.array([len(t) for t in texts])
     each = attention.log_probabilities(model, np.concatenate(texts), lengths)
     unigram = np.log(counts / counts.sum())[np.concatenate(texts)]
