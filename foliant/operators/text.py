@@ -58,20 +58,63 @@ def channels(found: DataFrame, query: str, ident: str, recency: Column, nearest:
     return near.unionByName(side).unionByName(late)
 
 
+def _nfkc(column: Column) -> Column:
+    """Compatibility form of a text with its character references decoded: the one step that no built-in function has."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        import html
+        import unicodedata
+
+        return pd.Series([None if t is None else unicodedata.normalize("NFKC", html.unescape(t)).casefold() for t in texts])
+
+    return run(column)
+
+
+#: Length of the signs' runs that candidate titles share. Titles of up to 8 signs can only be equal at a ratio of 0.94.
+GRAM = 4
+
+
 def same_titles(docs: DataFrame, ident: str, title: str, ratio: float = 0.94) -> DataFrame:
-    """Pairs of titles with the same numbers and a sequence ratio of ``ratio`` or more; equal titles are folded first.
+    """Rows ``a, b, ratio`` of titles that name the same work: identities with equal numbers and part marks whose sequence
+    ratio is ``ratio`` or more. Titles of one identity are a class: pairs are between the smallest ids of classes, and
+    every other member has a row (smallest id, its own, 1.0). Titles without an identity are left out.
 
-    Titles are blocked by their numbers and their first and last letters' runs; the ratio is a pandas function over pairs.
+    A pair at that ratio differs by (1 - ratio) of all signs at most, and each of these spoils GRAM runs of signs at most.
+    So two such titles share many runs, and one among the rarest of each; only titles that meet there are compared.
     """
     @F.pandas_udf("double")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])
-
-    keyed = docs.select(F.col(ident), F.regexp_replace(F.lower(F.col(title)), "[^a-z0-9. ]", "").alias("_t"))
-    keyed = keyed.groupBy("_t").agg(F.min(ident).alias(ident)).withColumn("_numbers", F.concat_ws(",", F.regexp_extract_all("_t", F.lit("[0-9]+"), F.lit(0)))).withColumn("_lead", F.substring("_t", 1, 6))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, (F.col("a._numbers") == F.col("b._numbers")) & (F.col("a._lead") == F.col("b._lead")) & (F.col(f"a.{ident}") < F.col(f"b.{ident}")))
-    pairs = pairs.where(F.abs(F.length("a._t") - F.length("b._t")) <= 0.2 * F.greatest(F.length("a._t"), F.length("b._t")))
-    return pairs.select(F.col(f"a.{ident}").alias("a"), F.col(f"b.{ident}").alias("b"), near(F.col("a._t"), F.col("b._t")).alias("ratio")).where(F.col("ratio") >= ratio)
+        out = []
+        for x, y in zip(a, b):
+            m = SequenceMatcher(None, x, y, autojunk=False)
+            out.append(m.ratio() if m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio else 0.0)
+        return pd.Series(out)
+
+    t = F.regexp_replace(F.regexp_replace(_nfkc(F.col(title)), r"^\s*\d+\.\d+\s+", ""), r"\s*:\s*publisher['\u2019]s note\s*$", "")
+    t = F.regexp_replace(F.replace(F.replace(t, F.lit("\\mu"), F.lit("u")), F.lit("\u03bc"), F.lit("u")), "[^a-z0-9.]", "")
+    part = F.concat_ws(",", F.regexp_extract_all(F.lower(title), F.lit(r"\bpart\s+([ivx]+|\d+)\b"), F.lit(1)))
+    rows = docs.select(F.col(ident).alias("id"), t.alias("t"), part.alias("part")).where("t <> ''")
+    rows = rows.withColumn("numbers", F.concat_ws(",", F.regexp_extract_all("t", F.lit(r"\d+(?:\.\d+)?"), F.lit(0))))
+    classes = rows.groupBy("t").agg(F.min(F.struct("id", "part", "numbers")).alias("c")).select("t", F.col("c.id").alias("rep"), "c.part", "c.numbers")
+    members = rows.join(classes.select("t", "rep"), "t").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("ratio"))
+    size = F.length("t")
+    # with s signs, a partner has s / c signs at most (c the shorter's share of the longer at this ratio)
+    room = (1 - ratio) * (1 + (2 - ratio) / ratio)
+    grams = classes.where(size > 8).select("rep", "t", "part", "numbers", F.explode(F.expr(f"transform(sequence(1, length(t) - {GRAM - 1}), i -> substring(t, i, {GRAM}))")).alias("gram"))
+    grams = grams.groupBy("rep", "part", "numbers", "gram").agg(F.count("*").alias("times"), F.first(size).alias("size"))
+    grams = grams.select("rep", "part", "numbers", "size", "gram", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("turn"))
+    often = grams.groupBy("gram", "turn").agg(F.count("*").alias("often"))
+    rare = F.row_number().over(Window.partitionBy("rep").orderBy("often", "gram", "turn"))
+    # runs of a title less those that must be shared, and one more
+    head = F.ceil(F.col("size") * (GRAM * room)) + 1
+    keys = grams.join(often, ["gram", "turn"]).where("often > 1").withColumn("n", rare)
+    keys = keys.where(F.col("n") <= head).select("rep", "part", "numbers", "size", "gram", "turn")
+    a, b = (keys.select("part", "numbers", "gram", "turn", F.col("rep").alias(x), F.col("size").alias("s" + x)) for x in "ab")
+    near_size = F.least("sa", "sb") * (2 - ratio) >= F.greatest("sa", "sb") * ratio
+    met = a.join(b, ["part", "numbers", "gram", "turn"]).where("a < b").where(near_size).select("a", "b").distinct()
+    text = lambda x: classes.select(F.col("rep").alias(x), F.col("t").alias("t" + x))
+    pairs = met.join(text("a"), "a").join(text("b"), "b").select("a", "b", near(F.col("ta"), F.col("tb")).alias("ratio")).where(F.col("ratio") >= ratio)
+    return pairs.unionByName(members)

@@ -36,12 +36,12 @@ def rate_denominator(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(*LINE, basis.alias("basis"))
 
 
-@query("""WITH inc AS (SELECT o_orderkey AS key, 'd' || (o_custkey % 300) AS doi, o_orderpriority = '1-URGENT' AS uri FROM orders), ex AS (SELECT c_custkey AS key, 'D' || (c_custkey % 400) AS doi FROM customer WHERE c_custkey < 400),
+@query("""WITH inc AS (SELECT o_orderkey AS key, 'd' || o_custkey AS doi, o_orderpriority = '1-URGENT' AS uri FROM orders), ex AS (SELECT c_custkey AS key, 'D' || (c_custkey * 2) AS doi FROM customer),
 b AS (SELECT doi, key, row_number() OVER (PARTITION BY doi ORDER BY uri DESC, key) AS n FROM inc) SELECT b.doi, coalesce(ex.key, b.key) AS key, ex.key IS NOT NULL AS reused FROM b LEFT JOIN ex ON lower(ex.doi) = b.doi WHERE n = 1""")
 def doi_key_reconcile(spark: SparkSession, d: str) -> DataFrame:
     """The key of each DOI: the one it has already, else the publisher's before a fallback."""
-    new = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.concat(F.lit("d"), (F.col("o_custkey") % 300).cast("string")).alias("doi"), (F.col("o_orderpriority") == "1-URGENT").alias("uri"))
-    old = table(spark, d, "customer").where("c_custkey < 400").select(F.col("c_custkey").alias("_key"), F.lower(F.concat(F.lit("D"), (F.col("c_custkey") % 400).cast("string"))).alias("doi"))
+    new = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.concat(F.lit("d"), F.col("o_custkey").cast("string")).alias("doi"), (F.col("o_orderpriority") == "1-URGENT").alias("uri"))
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("_key"), F.lower(F.concat(F.lit("D"), (F.col("c_custkey") * 2).cast("string"))).alias("doi"))
     first = relate.first_by(new, ["doi"], F.struct((~F.col("uri")).alias("a"), F.col("key").alias("b")), key="key")
     return first.join(old, "doi", "left").select("doi", F.coalesce("_key", "key").alias("key"), F.col("_key").isNotNull().alias("reused"))
 
@@ -92,12 +92,12 @@ def corpus_inventory(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("lang").agg(F.sum("n").alias("rows"), F.count("m").alias("contents"), (F.sum("n") - F.count("m")).alias("copies"))
 
 
-@query("""WITH a AS (SELECT l_orderkey AS k, bool_or(l_discount > 0.09) AS e FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey AS k, bool_or(l_tax > 0.07) AS e FROM lineitem WHERE l_linenumber < 6 GROUP BY 1)
+@query("""WITH a AS (SELECT l_orderkey AS k, bool_or(l_discount > 0.09) AS e FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey AS k, bool_or(l_tax > 0.07) AS e FROM lineitem GROUP BY 1)
 SELECT CASE WHEN coalesce(a.e, false) AND coalesce(b.e, false) THEN 'remaining' WHEN coalesce(a.e, false) THEN 'fixed' WHEN coalesce(b.e, false) THEN 'new' ELSE 'clean' END AS change, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
 def backtest_report(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     a = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.bool_or(F.col("l_discount") > 0.09).alias("a"))
-    b = li.where("l_linenumber < 6").groupBy(F.col("l_orderkey").alias("k")).agg(F.bool_or(F.col("l_tax") > 0.07).alias("b"))
+    b = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.bool_or(F.col("l_tax") > 0.07).alias("b"))
     x, y = F.coalesce("a", F.lit(False)), F.coalesce("b", F.lit(False))
     return a.join(b, "k", "full_outer").groupBy(F.when(x & y, "remaining").when(x, "fixed").when(y, "new").otherwise("clean").alias("change")).agg(F.count("*").alias("n"))
 

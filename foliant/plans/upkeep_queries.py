@@ -12,18 +12,18 @@ from .register import registry
 
 QUERIES, ORACLES, query = registry()
 
-_OLD_SQL = "SELECT o_orderkey AS k, o_orderpriority AS doi, o_orderstatus AS title, o_totalprice AS pdf FROM orders WHERE o_orderkey % 3 <> 0"
-_NEW_SQL = "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'n' || o_orderkey END AS doi, CASE WHEN o_orderkey % 7 = 0 THEN 'N/A' ELSE upper(o_orderpriority) END AS title, o_totalprice / 2 AS pdf FROM orders WHERE o_orderkey % 4 <> 0"
+_OLD_SQL = "SELECT c_custkey AS k, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_name END AS doi, c_mktsegment AS title, c_acctbal AS pdf FROM customer"
+_NEW_SQL = "SELECT o_custkey AS k, min(o_orderpriority) AS doi, CASE max(o_orderstatus) WHEN 'O' THEN 'N/A' ELSE max(o_orderstatus) END AS title, max(o_totalprice) AS pdf FROM orders GROUP BY 1"
 
 
 def _old(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("doi"), F.col("o_orderstatus").alias("title"), F.col("o_totalprice").alias("pdf"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") >= 0, F.col("c_name")).alias("doi"), F.col("c_mktsegment").alias("title"), F.col("c_acctbal").alias("pdf"))
 
 
 def _new(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    return table(spark, d, "orders").where("o_orderkey % 4 <> 0").select(
-        k.alias("k"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("n"), k)).alias("doi"), F.when(k % 7 == 0, "N/A").otherwise(F.upper("o_orderpriority")).alias("title"), (F.col("o_totalprice") / 2).alias("pdf"))
+    status = F.max("o_orderstatus")
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(
+        F.min("o_orderpriority").alias("doi"), F.when(status == "O", "N/A").otherwise(status).alias("title"), F.max("o_totalprice").alias("pdf"))
 
 
 @query(f"""SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.title IS NULL OR b.title IN ('', 'N/A') THEN a.title ELSE b.title END AS title,
@@ -62,7 +62,7 @@ def unique_target_map(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'd' || c_custkey END AS doi FROM customer),
 p AS (SELECT o_custkey * 2 AS k, CASE WHEN o_orderkey % 6 = 0 THEN 'd' || (o_custkey * 2) WHEN o_orderkey % 6 = 1 THEN NULL ELSE CASE WHEN (o_custkey * 2) % 4 = 0 THEN NULL ELSE 'd' || (o_custkey * 2) END END AS expected,
-CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'd' || (o_custkey * 2) ELSE 'x' || (o_orderkey % 5000) END AS proposed FROM orders WHERE o_orderkey % 10 = 0),
+CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'd' || (o_custkey * 2) ELSE 'x' || (o_orderkey % 5000) END AS proposed FROM orders),
 s AS (SELECT proposed FROM p GROUP BY 1 HAVING count(DISTINCT k) > 1), t AS (SELECT doi AS proposed, min(k) AS o1, max(k) AS o2 FROM c WHERE doi IS NOT NULL GROUP BY 1)
 SELECT p.k, p.expected, p.proposed, CASE WHEN c.k IS NULL THEN 'missing_row' WHEN c.doi IS NOT DISTINCT FROM p.proposed THEN 'already_applied' WHEN c.doi IS DISTINCT FROM p.expected THEN 'stale'
 WHEN p.proposed IS NULL THEN 'preserved' WHEN p.proposed IN (SELECT proposed FROM s WHERE proposed IS NOT NULL) OR (t.o1 IS NOT NULL AND (t.o1 <> p.k OR t.o2 <> p.k)) THEN 'collision' ELSE 'accept' END AS verdict
@@ -71,7 +71,7 @@ def plan_changes(spark: SparkSession, d: str) -> DataFrame:
     k, o = F.col("o_custkey") * 2, F.col("o_orderkey")
     own = F.concat(F.lit("d"), k.cast("string"))
     current = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("d"), F.col("c_custkey").cast("string"))).alias("doi"))
-    proposals = table(spark, d, "orders").where("o_orderkey % 10 = 0").select(
+    proposals = table(spark, d, "orders").select(
         k.alias("k"), F.when(o % 6 == 0, own).when(o % 6 == 1, F.lit(None)).when(k % 4 != 0, own).alias("expected"),
         F.when(o % 11 == 0, F.lit(None)).when(o % 3 == 0, own).otherwise(F.concat(F.lit("x"), (o % 5000).cast("string"))).alias("proposed"))
     return ingest.plan_changes(proposals, current, "k", "doi")
@@ -83,10 +83,10 @@ def integrity_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'orphan' ELSE 'present' END AS status
-FROM (SELECT DISTINCT doc_id AS k FROM labels) a FULL JOIN (SELECT doc_id AS k FROM documents WHERE doc_id % 3 = 0) b ON a.k = b.k""")
+FROM (SELECT DISTINCT doc_id AS k FROM labels) a FULL JOIN (SELECT doc_id AS k FROM documents) b ON a.k = b.k""")
 def inventory_join(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "labels").select(F.col("doc_id").alias("k")).distinct()
-    return inventory_check(records, table(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("k")), "k")
+    return inventory_check(records, table(spark, d, "documents").select(F.col("doc_id").alias("k")), "k")
 
 
 @query("""SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'no_title' WHEN n_chars < 20 THEN 'short' WHEN regexp_matches(lower(text), 'correction|erratum|publisher') THEN 'low_quality' ELSE 'kept' END AS reason FROM documents""")
@@ -126,12 +126,11 @@ def ttl_live_entries(spark: SparkSession, d: str) -> DataFrame:
     return state.live(rows, "expires", F.lit("2024-01-30 12:00:00").cast("timestamp")).select("event_id", "user_id")
 
 
-@query("""SELECT event_id, user_id % 400 AS k, (event_id % 3)::INT AS version, CASE WHEN c.k IS NULL THEN 'missing' WHEN c.version = event_id % 3 THEN 'applied' ELSE 'conflict' END AS outcome
-FROM events LEFT JOIN (SELECT c_custkey AS k, c_custkey % 3 AS version FROM customer WHERE c_custkey < 100) c ON c.k = user_id % 400""")
+@query("""SELECT event_id, user_id AS k, (event_id % 3)::INT AS version, CASE WHEN c.k IS NULL THEN 'missing' WHEN c.version = event_id % 3 THEN 'applied' ELSE 'conflict' END AS outcome
+FROM events LEFT JOIN (SELECT c_custkey AS k, c_custkey % 3 AS version FROM customer) c ON c.k = user_id""")
 def optimistic_versions(spark: SparkSession, d: str) -> DataFrame:
-    current = table(spark, d, "customer").where("c_custkey < 100").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 3).alias("version"))
-    updates = table(spark, d, "events").select("event_id", (F.col("user_id") % 400).alias("k"), (F.col("event_id") % 3).cast("int").alias("version"))
-    now = current.select("k", F.col("version").alias("_v"))
+    current = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 3).alias("version"))
+    updates = table(spark, d, "events").select("event_id", F.col("user_id").alias("k"), (F.col("event_id") % 3).cast("int").alias("version"))
     outcome = state.versioned_update(current, updates.select("k", "version").distinct(), "k")
     return updates.join(outcome, ["k", "version"]).select("event_id", "k", "version", "outcome")
 
