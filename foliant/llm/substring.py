@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, slices, table
+from .common import bounded, cut, remove, slices, table, written
 
 WINDOW = 50
 #: Odd multipliers of the two rolling hashes.
@@ -196,7 +196,7 @@ def _full(docs: DataFrame, spots: DataFrame, window: int) -> DataFrame:
         at = np.flatnonzero(np.cumsum(edge)[: len(w) - window + 1] > 0)
         return (at.astype(np.int32), *(windows(w, window, x)[at].view(np.int64) for x in BASES))
 
-    rows = cut(_own(_with_texts(docs, spots), work, "doc_id long, seq long, places array<int>, key array<long>, key2 array<long>"))
+    rows = _own(_with_texts(docs, spots), work, "doc_id long, seq long, places array<int>, key array<long>, key2 array<long>")
     return rows.select("doc_id", "seq", F.explode(F.arrays_zip("places", "key", "key2")).alias("w")).select("doc_id", "seq", "w.*")
 
 
@@ -239,7 +239,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     each = able.join(copied, ["seq", "seq2"], "left").where(~copy).select("doc_id", "seq", F.explode("anchors").alias("key"))
     hits = _repeated(each).groupBy("doc_id", "seq").agg(F.collect_list("key").alias("own"))
-    grown = cut(_extended(docs, hits, window))
+    grown, grown_at = written(_extended(docs, hits, window))
     alive = grown.where("level = 0").select("doc_id", "seq", "place")
     for k in range(1, len(levels)):
         reach = alive.select("doc_id", "seq", F.explode(F.array(F.col("place"), F.col("place") - levels[k - 1])).alias("place")).distinct()
@@ -247,10 +247,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if alive.isEmpty():
             break
     spots = alive.groupBy("doc_id", "seq").agg(F.collect_list(F.col("place").cast("long")).alias("own"))
-    each = _full(docs, spots, window)
+    each, each_at = written(_full(docs, spots, window))
     first = each.groupBy("key", "key2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     hit = each.join(cut(first), ["key", "key2"]).where("doc_id > first").groupBy("doc_id", "seq").agg(F.collect_list(F.col("places").cast("long")).alias("own"))
     removed = cut(_remove(docs, hit, window))
+    for path in (grown_at, each_at):
+        remove(docs.sparkSession, path)
     done = bounded(removed.select("doc_id", "seq").distinct())
     rest = marks.join(done, ["doc_id", "seq"], "left_anti").join(copied, ["seq", "seq2"], "left").withColumn("copy", copy & (F.col("n_words") >= window))
     rest = rest.select("doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(0).alias("n_removed"), F.when(F.col("copy"), F.lit(digest([]))).otherwise(F.col("whole")).alias("kept_sha256"))
