@@ -288,7 +288,7 @@ def test_attention_is_a_distribution_and_learns():
     rng = np.random.default_rng(1)
     texts = [np.array([(s + k) % 7 for k in range(rng.integers(1, 60))] + [7]) for s in rng.integers(0, 7, 80)]
     counts = np.bincount(np.concatenate(texts), minlength=8).astype(float)
-    windows = np.concatenate([attention.windows_of(t, i, 1) for i, t in enumerate(texts)])
+    windows = np.stack([attention.window(t[at:], at == 0) for i, t in enumerate(texts) for at in attention.starts_of(len(t), i, 8)]).astype(np.int64)
     model = attention.start(counts, windows)
     for turn in range(40):
         model["p"] = attention.fit(model, np.tile(windows, (4, 1)), turn, 40)
