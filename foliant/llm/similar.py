@@ -23,6 +23,8 @@ ORDER_SAMPLE, ORDER_LAST = 5_000, 65_536
 SMALL, HUBS = 16, 4
 #: Largest block of a bucket that one task compares.
 BLOCK_ROWS, BLOCK_COLS = 1024, 2048
+#: Bins (powers of two) of a set's histogram; it has about as many as the set has shingles. They steer the cost alone.
+LEAST_BINS, MOST_BINS = 8, 16_384
 #: Pairs from which on those of one document are spread, and over so many tasks.
 HUB_PAIRS, SALTS = 1024, 64
 #: The similarity as integers: |a & b| / |a | b| >= 4/5 is 9 |a & b| >= 4 (|a| + |b|).
@@ -83,8 +85,8 @@ def prefix(h: np.ndarray, last: np.ndarray, places: np.ndarray) -> np.ndarray:
     return h[np.lexsort((h, place))][: len(h) - (4 * len(h) + 4) // 5 + 1]
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """One row ``doc_id, fp, sig, n, prefix`` per row of ``docs``; sig names the set of n shingles."""
+def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """One row ``doc_id, fp, sig, n, prefix`` per row of ``docs``, as a table and its path; sig names the set of n shingles."""
     order = docs.sparkSession.sparkContext.broadcast(_last(docs))
 
     def run(batches: Iterator) -> Iterator:
@@ -105,13 +107,23 @@ def _rows(docs: DataFrame) -> DataFrame:
                 columns = [b.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))], names=["doc_id", "fp", "sig", "n", "prefix"])
 
-    return cut(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, sig binary, n int, prefix array<long>"))
+    return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, sig binary, n int, prefix array<long>"))
 
 
-def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows ``rep, h`` with the sorted shingle hashes of the documents in ``pairs(a, b)``."""
-    wanted = bounded(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
-    rows = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi")
+def histogram(h: np.ndarray) -> bytes:
+    """How many of a set of hashes fall into each bin, a byte a bin; nothing if a bin holds more than a byte can say."""
+    bins = min(MOST_BINS, max(LEAST_BINS, 1 << max(0, len(h).bit_length() - 1)))
+    many = np.bincount((h & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return many.astype(np.uint8).tobytes() if many.max() <= 255 else b""
+
+
+def _wanted(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows ``rep, text`` of the documents in ``reps(rep)``."""
+    return docs.select(F.col("doc_id").alias("rep"), "text").join(bounded(reps.select("rep").distinct()), "rep", "left_semi")
+
+
+def _sets(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, str]:
+    """Rows ``rep, h`` with the sorted shingle hashes of the documents in ``reps(rep)``, as a table and its path."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -122,7 +134,21 @@ def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))], names=["rep", "h"])
 
-    return cut(rows.mapInArrow(run, "rep long, h array<long>"))
+    return written(_wanted(docs, reps).mapInArrow(run, "rep long, h array<long>"))
+
+
+def _histograms(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows ``rep, bins`` with the histograms of the documents in ``reps(rep)``: an eighth of their sets in size."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for b in slices(batch, "text"):
+                own = [histogram(np.unique(hashes(t.as_py()))) for t in b.column("text")]
+                yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(own, pa.binary())], names=["rep", "bins"])
+
+    return _wanted(docs, reps).mapInArrow(run, "rep long, bins binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -138,18 +164,61 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(both.where(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b").distinct())
 
 
+def _partners(g: dict, label: np.ndarray, i: int, cols: np.ndarray) -> np.ndarray:
+    """Those of ``cols`` outside the component of ``i`` that sizes and places let reach the similarity with it."""
+    n, left = g["n"], g["n"] - g["pos"]
+    near = (label[i] != label[cols]) & (5 * np.minimum(n[i], n[cols]) >= 4 * np.maximum(n[i], n[cols]))
+    return cols[near & (9 * np.minimum(left[i], left[cols]) >= 4 * (n[i] + n[cols]))]
+
+
+def _columns(group) -> dict:
+    g = {k: group[k].to_numpy() for k in ("rep", "n", "pos", "component", "is_row", "is_col")}
+    return g | {k: g[k].astype(np.int64) for k in ("n", "pos")}
+
+
+def _possible(group):
+    """The rows of a block that some row of another component may reach by their histograms.
+
+    Two sets share at most the sum of their bins' lesser counts. Documents with only a passage in common share about half
+    of their bins, so few of them are left to be compared by their sets.
+    """
+    g = _columns(group)
+    bins = group["bins"].to_list()
+    width = np.fromiter(map(len, bins), dtype=np.int64, count=len(bins))
+    place, tables = np.zeros(len(bins), dtype=np.int64), {}
+    for w in np.unique(width[width > 0]).tolist():
+        own = np.flatnonzero(width == w)
+        place[own] = np.arange(len(own))
+        full = np.frombuffer(b"".join(bins[x] for x in own.tolist()), dtype=np.uint8).reshape(-1, w)
+        tables[w, w] = full
+        if w // 2 in width:  # sizes within 4 : 5 differ by one power of two at most
+            tables[w, w // 2] = full[:, : w // 2].astype(np.uint16) + full[:, w // 2 :]
+    stay = np.zeros(len(bins), dtype=bool)
+    cols = np.flatnonzero(g["is_col"])
+    for i in np.flatnonzero(g["is_row"]).tolist():
+        some = _partners(g, g["component"], i, cols)
+        hit = some if not width[i] else some[width[some] == 0]
+        for w in (width[i] // 2, width[i], width[i] * 2) if width[i] else ():
+            j = some[width[some] == w]
+            if len(j):
+                at = min(int(w), int(width[i]))
+                both = np.minimum(tables[int(w), at][place[j]], tables[int(width[i]), at][place[i]]).sum(axis=1, dtype=np.int64)
+                hit = np.concatenate([hit, j[9 * both >= 4 * (g["n"][i] + g["n"][j])]])
+        stay[hit] = True
+        stay[i] |= len(hit) > 0
+    return group.loc[stay, [c for c in group.columns if c != "bins"]]
+
+
 def _across(group):
     """A spanning forest of what a block's pairs of a similarity of 0.8 or more join beyond the components known so far."""
     import pandas as pd
 
-    g = {k: group[k].to_numpy() for k in ("rep", "n", "pos", "component", "is_row", "is_col")}
-    sets, n, left = group["h"].to_list(), g["n"].astype(np.int64), (g["n"] - g["pos"]).astype(np.int64)
+    g = _columns(group)
+    sets, n = group["h"].to_list(), g["n"]
     forest, cols = Forest(len(n)), np.flatnonzero(g["is_col"])
     forest.label = np.unique(g["component"], return_inverse=True)[1].ravel()
     for i in np.flatnonzero(g["is_row"]).tolist():
-        near = (forest.label[i] != forest.label[cols]) & (5 * np.minimum(n[i], n[cols]) >= 4 * np.maximum(n[i], n[cols]))
-        near &= 9 * np.minimum(left[i], left[cols]) >= 4 * (n[i] + n[cols])
-        some = cols[near]
+        some = _partners(g, forest.label, i, cols)
         for at in range(0, len(some), 256):
             j = some[at : at + 256]
             j = j[n[j] > 0] if n[i] else j[:0]
@@ -201,17 +270,18 @@ def linked(docs: DataFrame) -> DataFrame:
     shingle among the first fifth of both in any one order, so buckets of these shingles meet all pairs; the order puts
     frequent shingles last to keep buckets small. Small buckets give all pairs that their counts allow. Large ones give
     pairs with few hubs; documents of those whose components still differ are then compared in blocks that return a
-    spanning forest, so no bucket gives all its pairs. Every document's pair with
+    spanning forest, so no bucket gives all its pairs; only sets that histograms leave in question go there. Every document's pair with
     its smallest partner is verified first, other pairs only where that has not joined their ends already.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = _rows(docs)
+    rows, rows_path = _rows(docs)
     classes = cut(rows.groupBy("sig", "n").agg(F.min(F.struct("doc_id", "fp")).alias("c")).select("sig", "n", F.col("c.doc_id").alias("rep"), F.col("c.fp").alias("fp")))
     by_print = cut(classes.groupBy("fp").agg(F.min("rep").alias("rep")))
     equal = classes.join(by_print.withColumnRenamed("rep", "a"), "fp").select("a", F.col("rep").alias("b"))
     own = bounded(classes.select(F.col("rep").alias("doc_id"), "sig"))
     keys = rows.join(own, ["doc_id", "sig"], "left_semi").select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "key"))
     shared, path = written(keys.join(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"))
+    remove(docs.sparkSession, rows_path)
     large = shared.where(F.col("size") > SMALL)
     wide = cut(_telling(large))
     small = shared.where(F.col("size") <= SMALL).join(bounded(large.groupBy("rep").agg(F.count("*").alias("big"))), "rep", "left")
@@ -220,19 +290,24 @@ def linked(docs: DataFrame) -> DataFrame:
     first = wide.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(hubs, "key").where(_LONG_ENOUGH).where(_MAY_REACH).select("a", "b")
     pairs = links(by_print).unionByName(equal).unionByName(_counted(small.fillna(0, "big"))).unionByName(first).where("a <> b")
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    sets = _sets(docs, pairs)
+    ends = lambda found: found.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets, sets_path = _sets(docs, ends(pairs))
     least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     edges = _verified(least, sets)
-    more = _apart(pairs.join(least, ["a", "b"], "left_anti"), edges)
-    edges = cut(edges.unionByName(_verified(more, sets)))
+    more = cut(_apart(pairs.join(least, ["a", "b"], "left_anti"), edges))
+    edges = cut(edges.unionByName(_verified(more, sets.join(bounded(ends(more)), "rep", "left_semi"))))
+    remove(docs.sparkSession, sets_path)
     found = cut(components(edges))
     placed = wide.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "pos", F.coalesce("component", "rep").alias("component"), F.lit(True).alias("resident"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     blocks = block_pairs(placed.join(open_keys, "key", "left_semi"), ["key"], "rep", BLOCK_ROWS, BLOCK_COLS)
     blocks = cut(blocks)
     if not blocks.isEmpty():
-        sets = _sets(docs, blocks.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
-        more = blocks.join(sets, "rep").groupBy("key", "block_r", "block_c").applyInPandas(_across, "a long, b long")
+        by = ["key", "block_r", "block_c"]
+        blocks = cut(blocks.join(_histograms(docs, blocks), "rep").groupBy(*by).applyInPandas(_possible, blocks.schema))
+        sets, sets_path = _sets(docs, blocks)
+        more = cut(blocks.join(sets, "rep").groupBy(*by).applyInPandas(_across, "a long, b long"))
+        remove(docs.sparkSession, sets_path)
         found = cut(components(edges.unionByName(more)))
     remove(docs.sparkSession, path)
     return classes.join(found, classes.rep == found.node, "left").select("rep", F.coalesce("component", "rep").alias("component"))

@@ -205,3 +205,31 @@ def test_kept_equal_brute_force_at_similarity(spark, monkeypatch, bounds):
     want = {i for (i, _), c in zip(own, reach([i for i, _ in own], link)) if i == c} | {None}
     assert sorted(r["doc_id"] or -1 for r in simhash.keep_one(frame(spark, rows)).collect()) == sorted(i or -1 for i in want)
     assert 1 not in want and any(i in want for i in range(1, 20, 2))
+
+
+def test_histograms_keep_every_pair_of_the_similarity():
+    import numpy as np
+    import pandas as pd
+
+    from foliant.llm import similar
+
+    rng = np.random.default_rng(4)
+    sets = []
+    for size in (1, 5, 9, 15, 16, 17, 60, 64, 70, 255, 256, 300, 2000):
+        base = rng.integers(0, 2**63, size, dtype=np.uint64)
+        for share in (0.8, 0.9, 1.0, 1.1, 1.25):
+            own = base[: max(1, int(size * share))]
+            sets.append(np.unique(np.concatenate([own, rng.integers(0, 2**63, max(0, int(size * share) - size), dtype=np.uint64)])))
+        sets.append(np.unique(rng.integers(0, 2**63, size, dtype=np.uint64)))
+    sets.append(np.arange(0, 400 * 2**20, 2**20, dtype=np.uint64))  # one bin holds all
+    bins = [similar.histogram(h) for h in sets]
+    assert bins[-1] == b"" and all(len(b) in (0, 8, 16, 32, 64, 128, 256, 512, 1024, 2048) for b in bins)
+    n = len(sets)
+    group = pd.DataFrame({"key": 1, "rep": range(n), "n": [len(h) for h in sets], "pos": 0, "component": range(n), "block_r": 0, "block_c": 0,
+                          "is_row": True, "is_col": True, "bins": bins})
+    near = [[i != j and 9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    want = {i for i in range(n) if any(near[i])}
+    found = set(similar._possible(group)["rep"])
+    assert want <= found and len(found) < n
+    # of one component there is nothing to compare
+    assert similar._possible(group.assign(component=0)).empty
