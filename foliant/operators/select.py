@@ -49,8 +49,9 @@ def diverse(candidates: DataFrame, limit: int, pool: int = 6000) -> DataFrame:
             venues[best["venue"]] = venues.get(best["venue"], 0) + 1
             own = terms[best["id"]]
             for r in left:
-                union = len(own | terms[r["id"]])
-                most[r["id"]] = max(most[r["id"]], len(own & terms[r["id"]]) / union if union else 0.0)
+                both = len(own & terms[r["id"]])
+                union = len(own) + len(terms[r["id"]]) - both
+                most[r["id"]] = max(most[r["id"]], both / union if union else 0.0)
         return pd.DataFrame(out, columns=["place", "id", "value"]).astype({"place": "int32", "id": "int64", "value": "float64"})
 
     few = candidates.orderBy(F.desc("score"), "id").limit(pool).withColumn("_all", F.lit(0))

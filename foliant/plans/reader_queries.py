@@ -111,7 +111,7 @@ def mode_scores(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def diverse_greedy(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(
-        F.col("doc_id").alias("id"), (F.col("n_chars") % 1000 / 10.0).alias("score"), F.col("lang").alias("topic"), F.col("source").alias("venue"), F.slice(F.array_distinct(S.words(F.col("text"))), 1, 12).alias("terms"))
+        F.col("doc_id").alias("id"), (F.col("n_chars") % 1000 / 10.0).alias("score"), F.col("lang").alias("topic"), F.col("source").alias("venue"), F.array_distinct(S.words(F.col("text"))).alias("terms"))
     return select.diverse(docs, 60)
 
 
