@@ -346,3 +346,30 @@ def test_aside_is_decided_by_all_class_words(marks):
     page = f"<html><body><article><p>First words.</p><div class='{marks}'><p>Not this.</p></div><p>Last words.</p></article></body></html>"
     assert wrappers.extract(page, None) == wrappers.extract(page, json.dumps(wrappers.infer([page]))) == "First words. Last words."
     assert wrappers.extract(page.replace(marks, "a b c d e"), None) == "First words. Not this. Last words."
+
+
+SLOTS = [
+    "<html><body><div class='top'><p>Welcome to {host}.</p></div><article><h1>{h}</h1><p>Log in to read on.</p>{p}<p>Was this helpful?</p></article></body></html>",
+    "<html><body><div class='wrap'><p>All our sites.</p><div class='x1 y2 z3 body'><h2>{h}</h2>{p}<div class='q'><p>Printed by {host}.</p></div></div><p>Write to us.</p></div></body></html>",
+    "<html><body><main><p>Our readers help us.</p><h1>{h}</h1>{p}</main><footer>f</footer></body></html>",
+]
+
+
+@pytest.mark.parametrize("template", SLOTS)
+def test_slots_and_template_texts_decide(spark, template):
+    """Template texts without any marking word are told from the article by the wrapper alone; an independent reading of the
+    planted blocks says what is right."""
+    word = lambda i, k: "".join("bcdfgklmnr"[(i * 7 + k * 3 + j * j) % 10] + "aeiou"[(i + k * j) % 5] for j in range(4))
+    rows, want, whole = [], {}, {}
+    for i in range(40):
+        h, blocks = f"Head {i}", [" ".join(word(i, 10 * k + j) for j in range(30)) for k in range(i % 4 + 1)]
+        page = template.format(host="a site", h=h, p="".join(f"<p>{b}</p>" for b in blocks))
+        rows.append((i, f"http://s.example/{i}", page))
+        want[i] = " ".join([h, *blocks])
+        whole[i] = wrappers.extract(page, json.dumps({"main": None, "wrapper": []}))
+    rows += [(100 + i, "http://copies.example/", rows[5][2].replace("Head 5", f"Head 5{i}")) for i in range(6)]
+    found = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: found[i] for i in want} == want
+    assert all(whole[i] != want[i] for i in want)  # without the expression the template's texts stay
+    # copies of one page say nothing about a template: no text of theirs is lost
+    assert all(want[5].replace("Head 5", f"Head 5{i}") in found[100 + i] or set(want[5].split()[2:]) <= set(found[100 + i].split()) for i in range(6))
