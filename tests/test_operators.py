@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import semantics as S
-from foliant.operators import extract, graph, ingest, measure, ranking, references, relate, resolve, select, state, text
+from foliant.functions import terms
+from foliant.operators import extract, figures, graph, ingest, measure, ranking, references, relate, resolve, select, state, text
 from foliant.sources import tables
 from foliant.streaming import sessions
 
@@ -240,3 +241,49 @@ def test_rebuilt_index_rejects_gaps(spark):
 def test_error_rates(spark):
     df = spark.createDataFrame([("BER < 1e-12",), ("3×10^-6",), ("10-9",), ("none",)], "t string")
     assert [r[0] if r[0] is None else float(f"{r[0]:.3g}") for r in df.select(extract.error_rate(F.col("t"))).collect()] == [1e-12, 3e-6, 1e-9, None]
+
+
+FIGURES = [
+    ("A 4 x 28 Gb/s transceiver in 65-nm CMOS at 1.5 pJ/bit", {"rate_gbps": 28.0, "rate_scope": "lane", "lane_count": 4, "lane_rate_gbps": 28.0, "aggregate_rate_gbps": 112.0, "energy_pj_bit": 1.5, "process_nm": 65.0}),
+    ("From 25 to 10 Gb/s, total power 35 mW", {"rate_min_gbps": 10.0, "rate_max_gbps": 25.0, "rate_scope": "unknown", "power_mw": 35.0}),
+    ("An aggregate 1.12-Tb/s link, 2 mW/Gb/s and 30 dB channel loss", {"rate_gbps": 1120.0, "rate_scope": "aggregate", "aggregate_rate_gbps": 1120.0, "energy_pj_bit": 2.0, "channel_loss_db": 30.0}),
+    ("56 Gb/s/lane, 28 GBaud, BER below 1e-12", {"rate_gbps": 56.0, "rate_scope": "lane", "lane_rate_gbps": 56.0, "symbol_rate_gbaud": 28.0, "ber": 1e-12}),
+    ("25 Gb/s and 32 Gb/s with 500 fJ/bit/dB and 20 uW, then 3 W", {"energy_pj_bit_db": 0.5, "ambiguous": ["rate_gbps", "power_mw"]}),
+    ("1.2 Tb/s/mm with a 1550 nm laser in 0.13 um SiGe and 30 dB of gain", {"density_gbps_mm": 1200.0, "process_nm": 130.0}),
+    ("10 GB/s is no bit rate, 3 mW is 3 mW", {"power_mw": 3.0}),
+    ("", {}),
+]
+
+
+def test_performance_gives_only_what_is_unambiguous(spark):
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(FIGURES)], "i int, x string")
+    for r in df.select("i", figures.performance(F.col("x")).alias("p")).collect():
+        assert {k: v for k, v in r["p"].asDict().items() if v not in (None, [])} == FIGURES[r["i"]][1]
+    none = spark.createDataFrame([(None,)], "x string").select(figures.performance(F.col("x")).alias("p")).first()["p"]
+    assert not any(v for v in none.asDict().values())
+
+
+def test_guards_and_families(spark):
+    rows = ["less than 5 mW", "2 mW/Gb/s", "standby 3 uW", "4 mW/channel", "OMA of 1 mW", "heater power 2 mW", "consumes 3 mW", None, "10 to 28 Gb/s", "up to 56 Gb/s", "bi-CMOS and CMOS", "FinFET chiplet"]
+    df = spark.createDataFrame([(x,) for x in rows], "x string")
+    x = F.col("x")
+    got = [tuple(r) for r in df.select(figures.power_guard(x), figures.rate_guard(x), figures.technology_family(x), figures.link_class(x)).collect()]
+    assert [r[0] for r in got[:8]] == ["bounded_power", "already_normalized_power_per_rate", "inactive_state_power", "per_channel_power_scope", "non_consumption_power", "subblock_power", None, None]
+    assert [r[1] for r in got[8:10]] == ["rate_range_without_operating_point", "bounded_rate"]
+    assert [r[2:] for r in got[10:]] == [("BiCMOS", None), ("CMOS", "die_to_die")] and got[7][2] == "Other / unspecified"
+    scopes = spark.createDataFrame([("12 mW per lane", None), ("the receiver consumes 5 mW", None), ("12 mW per lane", "full link"), ("5 mW", "x"), (None, None)], "x string, s string")
+    assert [r[0] for r in scopes.select(figures.power_scope(x, F.col("s"))).collect()] == ["lane", "aggregate", "aggregate", "unknown", "unknown"]
+
+
+def test_terms_keep_modulation_orders_apart(spark):
+    df = spark.createDataFrame([("A PAM-4 Phase\u2013Locked Loop Receiver for 7nm low-power CMOS",), (None,), ("",)], "x string")
+    x = F.col("x")
+    got = [[sorted(v) if v else v for v in r] for r in df.select(terms.title_terms(x), terms.technical_terms(x), terms.graph_terms(x)).collect()]
+    assert got[0] == [["cmos", "loop", "low-power", "pam", "phase-locked", "receiver"], ["low-power", "pam4", "pll", "receiver"], ["cmos", "locked", "loop", "pam", "phase", "power", "receiver"]]
+    assert got[1] == [None, None, None] and got[2] == [[], [], []]
+
+
+def test_names_of_authors(spark):
+    df = spark.createDataFrame([("Kim, A. B. Lee, and C. Park",), ("Park, A.;\nSmith",), ("",), (None,)], "a string")
+    got = [r[0] for r in df.select(terms.surnames(F.col("a"))).collect()]
+    assert got == [["kim", "lee", "park"], ["a", "smith"], [], None]
