@@ -44,6 +44,29 @@ def retrieve(queries: DataFrame, docs_post: DataFrame, weights: DataFrame, query
     return scored.withColumn("rank", rank).where(F.col("rank") <= most).select(query, ident, "hits", "score", "rank")
 
 
+def similar(docs: DataFrame, ident: str, terms: str, is_seed: Column, documents: int, context: Sequence[str], floor: float = 0.25, most: int = 29) -> DataFrame:
+    """Rows ``seed, ident, hits, score, place``: each seed's ``most`` nearest documents by cosine of term weights.
+
+    ``terms`` holds a document's different terms. Two documents need two shared terms, one of them specific; ``context`` terms
+    weigh 0.3. Only specific terms are join keys: context terms, which a large part of all documents has, are compared as
+    short arrays of the pairs that specific terms gave.
+    """
+    post = docs.select(ident, is_seed.alias("_seed"), F.explode(terms).alias("term"))
+    weighted = post.join(term_weights(post, documents, context, 0.3).select("term", "weight"), "term")
+    wide = F.col("term").isin(list(context))
+    vectors = weighted.groupBy(ident).agg(
+        F.collect_list(F.when(wide, F.struct("term", "weight"))).alias("_wide"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
+    fine = weighted.where(~wide)
+    met = fine.where("_seed").select(F.col(ident).alias("seed"), "term", "weight").join(fine.select(ident, "term"), "term").where(F.col("seed") != F.col(ident))
+    met = met.groupBy("seed", ident).agg(F.count("*").alias("_n"), F.sum(F.col("weight") * F.col("weight")).alias("_dot"))
+    met = met.join(vectors, ident).join(vectors.select(F.col(ident).alias("seed"), F.col("_wide").alias("_wide_s"), F.col("_norm").alias("_norm_s")), "seed")
+    met = met.withColumn("_both", F.array_intersect("_wide", "_wide_s"))
+    dot = F.aggregate("_both", F.col("_dot"), lambda total, x: total + x["weight"] * x["weight"])
+    scored = met.select("seed", ident, (F.col("_n") + F.size("_both")).alias("hits"), F.round(F.least(F.lit(1.0), dot / (F.col("_norm") * F.col("_norm_s"))), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), ident))
+    return scored.where((F.col("hits") >= 2) & (F.col("score") >= floor)).withColumn("place", place).where(F.col("place") <= most)
+
+
 def channels(found: DataFrame, query: str, ident: str, recency: Column, nearest: int = 8, adjacent: int = 4, recent: int = 4) -> DataFrame:
     """Each query's ``nearest`` documents, then ``adjacent`` of the following ranks from other sources, then ``recent`` ones
     by score weighted with recency; a document stands in the first channel that has it. ``found`` has rank, score, source."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..operators import figures as P
+from ..operators import text as T
 from ..sources.tables import table
 from .register import registry
 
@@ -142,3 +143,20 @@ def author_lists(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("x")
     rows = table(spark, d, "customer").select("c_custkey", F.expr(_AUTHORS).alias("x"))
     return rows.select("c_custkey", F.array_join(terms.author_names(x), "; ").alias("names"), F.array_join(terms.surnames(x), " ").alias("surnames"))
+
+
+_CONTEXT = [*terms.GENERIC, "receiver", "link", "widget", "micro-ring"]
+
+
+@query(f"""WITH d AS (SELECT p_partkey, p_size, {_title_sql(f"{_TITLE} || ' ' || p_type || ' ' || p_brand")} AS ts FROM part), p AS (SELECT p_partkey, p_size = 1 AS seed, unnest(ts) AS term FROM d),
+w AS (SELECT term, (1 + ln(((SELECT count(*) FROM part) + 1.0::DOUBLE) / (count(*) + 1))) * CASE WHEN list_contains({_list(_CONTEXT)}, term) THEN 0.3::DOUBLE ELSE 1 END AS weight FROM p GROUP BY 1),
+n AS (SELECT p_partkey, sqrt(sum(weight * weight)) AS norm FROM p JOIN w USING (term) GROUP BY 1),
+m AS (SELECT a.p_partkey AS seed, b.p_partkey, count(*) AS hits, count_if(NOT list_contains({_list(_CONTEXT)}, term)) AS fine, sum(weight * weight) AS dot FROM p a JOIN p b USING (term) JOIN w USING (term) WHERE a.seed AND a.p_partkey <> b.p_partkey GROUP BY 1, 2),
+s AS (SELECT m.seed, m.p_partkey, hits, round(least(1.0::DOUBLE, dot / (x.norm * y.norm)), 6) AS score FROM m JOIN n x ON x.p_partkey = m.seed JOIN n y ON y.p_partkey = m.p_partkey WHERE hits >= 2 AND fine > 0)
+SELECT seed, p_partkey, hits, score, place FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, p_partkey)::INT AS place FROM s WHERE score >= 0.25) WHERE place <= 29""")
+def similarity_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest titles of each seed; generic words alone link nothing."""
+    part = table(spark, d, "part")
+    text = F.concat_ws(" ", F.expr(_TITLE), "p_type", "p_brand")
+    docs = part.select("p_partkey", "p_size", terms.title_terms(text).alias("ts"))
+    return T.similar(docs, "p_partkey", "ts", F.col("p_size") == 1, part.count(), _CONTEXT)

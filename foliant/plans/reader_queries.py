@@ -69,8 +69,10 @@ def venue_pair_gap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT s_suppkey, min(c_custkey) AS c_custkey FROM supplier JOIN customer ON c_nationkey = s_nationkey AND abs(c_acctbal - s_acctbal) <= 100 GROUP BY 1 HAVING count(*) = 1""")
 def unique_identity_match(spark: SparkSession, d: str) -> DataFrame:
-    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
-    met = s.join(c, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.abs(F.col("c_acctbal") - F.col("s_acctbal")) <= 100))
+    # balances within 100 lie in the same or in neighbouring bins of 100, so the join has a fine key besides the nation
+    s = table(spark, d, "supplier").withColumn("near", F.explode(F.array(*[F.floor(F.col("s_acctbal") / 100) + i for i in (-1, 0, 1)])))
+    c = table(spark, d, "customer")
+    met = s.join(c, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.floor(F.col("c_acctbal") / 100) == F.col("near"))).where(F.abs(F.col("c_acctbal") - F.col("s_acctbal")) <= 100)
     return met.groupBy("s_suppkey").agg(F.min("c_custkey").alias("c_custkey"), F.count("*").alias("n")).where("n = 1").select("s_suppkey", "c_custkey")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import semantics as S
 from foliant.functions import terms
-from foliant.operators import extract, figures, graph, ingest, measure, ranking, references, relate, resolve, select, state, text
+from foliant.operators import extract, families, figures, graph, ingest, measure, ranking, references, relate, resolve, select, state, text
 from foliant.sources import tables
 from foliant.streaming import sessions
 
@@ -287,3 +287,34 @@ def test_names_of_authors(spark):
     df = spark.createDataFrame([("Kim, A. B. Lee, and C. Park",), ("Park, A.;\nSmith",), ("",), (None,)], "a string")
     got = [r[0] for r in df.select(terms.surnames(F.col("a"))).collect()]
     assert got == [["kim", "lee", "park"], ["a", "smith"], [], None]
+
+
+def test_fingerprints_of_pairs(spark):
+    cols = "pa double, pb double, la double, ha double, lb double, hb double, ba array<string>, bb array<string>"
+    rows = [(65.0, 65.4, 10.0, 25.0, 25.4, 25.4, ["TX"], ["RX"]), (65.0, 28.0, 10.0, 10.0, 10.4, 10.4, ["TX", "RX"], ["RX"]), (None, 28.0, 10.0, 10.0, 20.0, 20.0, ["PLL"], ["TX"])]
+    c = F.col
+    p = families.fingerprint({"process": families.agree(c("pa"), c("pb"), 0.02, 0.5), "rate": families.spans_agree(c("la"), c("ha"), c("lb"), c("hb")), "block": families.blocks_agree(c("ba"), c("bb"))})
+    got = [(r["p"]["matches"], r["p"]["conflicts"]) for r in spark.createDataFrame(rows, cols).select(p.alias("p")).collect()]
+    assert got == [(["process", "rate"], ["block"]), (["block", "rate"], ["process"]), ([], ["rate"])]
+
+
+def test_violations_of_families(spark):
+    f = spark.createDataFrame([(1, True, 10), (2, False, 20)], "family_id long, active boolean, canonical long")
+    m = spark.createDataFrame([(1, 10, True), (1, 11, False), (9, 12, False)], "family_id long, paper_id long, is_canonical boolean")
+    k = spark.createDataFrame([(100, 1, "ok", 11, 10), (101, 1, "no", 11, 10), (102, 2, "ok", 21, 20), (103, 8, "ok", 1, 2), (104, None, "no", 1, 2), (105, 1, "ok", 10, 11)], "candidate_id long, family_id long, status string, conference_id long, journal_id long")
+    assert values(families.violations(f, m, k, ["ok"]), "rule", "id") == sorted([
+        ("candidate_of_inactive_family", 102), ("candidate_without_family", 103), ("inconsistent_journal_member", 102), ("inconsistent_journal_member", 105),
+        ("ineligible_candidate_in_family", 101), ("member_without_family", 12)], key=repr)
+    assert families.violations(f.where("family_id = 1"), m.where("family_id = 1"), k.where("candidate_id = 100"), ["ok"]).count() == 0
+
+
+def test_tables_give_their_own_column_only(spark):
+    row = lambda *c: "<tr>" + "".join(f"<td>{x}</td>" for x in c) + "</tr>"
+    tables_ = [
+        (row("", "[1]", "This<br>work") + row("Power (mW)", "9", "5") + row("Rate", "1", "2-3"), "ok", ["Power (mW): 5 mW", "Rate: 2-3"]),
+        (row("", "BER", "Loss dB") + row("Proposed", "1e-12", "30") + row("[3]", "1", "2"), "ok", ["BER: 1e-12", "Loss dB: 30 dB"]),
+        (row("", "this work", "this work") + row("a", "b", "c"), "no_unique_label", None), (row("a", "b") + row("c"), "ragged", None),
+        ("<tr><td rowspan=2>this work</td></tr>", "spans", None), ("", "no_cells", None), (None, "no_cells", None), (row("", "prior to this work"), "no_unique_label", None)]
+    df = spark.createDataFrame([(i, t[0]) for i, t in enumerate(tables_)], "i int, h string")
+    for r in df.select("i", families.own_figures(F.col("h")).alias("f")).collect():
+        assert (r["f"]["status"], r["f"]["figures"]) == tables_[r["i"]][1:], r
