@@ -373,3 +373,36 @@ def test_slots_and_template_texts_decide(spark, template):
     assert all(whole[i] != want[i] for i in want)  # without the expression the template's texts stay
     # copies of one page say nothing about a template: no text of theirs is lost
     assert all(want[5].replace("Head 5", f"Head 5{i}") in found[100 + i] or set(want[5].split()[2:]) <= set(found[100 + i].split()) for i in range(6))
+
+
+def test_toxicity_equals_a_plain_chain(spark):
+    """Every document's probabilities and verdict against a plain walk along the chain, and the cutoff against all others."""
+    rows, labels = labelled(spark)
+    odd = [(900, None), (901, ""), (902, rows[0][1]), (902, rows[5][1])]
+    frame = spark.createDataFrame([(r[0], r[1]) for r in rows] + odd, "doc_id long, text string")
+    model = toxicity.train(frame, labels)
+    weight = dict(zip(model["buckets"].tolist(), model["weights"].tolist()))
+    want = {}
+    for doc_id, text in frame.collect():
+        own = {f for w in toxicity.tokens(text) for f in toxicity.features(w) if f in weight}
+        p = []
+        for c in range(len(toxicity.CHAIN)):
+            z = model["bias"][c] + sum(weight[f][c] for f in own) + sum(model["extra"][c][k] * p[k] for k in range(c))
+            p.append(1 / (1 + np.exp(-z)))
+        want.setdefault(doc_id, []).append((p[0], p[1]))
+    found = toxicity.score_documents(frame, labels).collect()
+    assert len(found) == len(rows) + len(odd)
+    for r in found:
+        assert any(abs(r["p_low_quality"] - a) < 2e-6 and abs(r["p_toxic"] - b) < 2e-6 for a, b in want[r["doc_id"]])
+        assert r["toxic"] == (r["p_toxic"] >= model["cutoff"])
+
+
+def test_cutoff_is_the_lowest_that_is_precise_enough():
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 60):
+        p, y = rng.random(n).round(3), rng.integers(0, 2, n).astype(float)
+        p, at = np.unique(p, return_index=True)
+        y = y[at]
+        got = toxicity.cutoff(p, y, 0.7)
+        fine = [x for x, own in zip(p, y) if own > 0 and y[p >= x].mean() >= 0.7]
+        assert got == 1.1 if not fine else (p >= got).tolist() == (p >= min(fine)).tolist()
