@@ -61,7 +61,7 @@ def _has(text: str, pattern: str) -> str:
 
 def _ic(text: str) -> str:
     bare = f"regexp_replace({text}, '(?i)\\b(m?)cmos[- ]compatible', '\\1c_', 'g')"
-    return f"({_has(bare, screening.ic_pattern('cmos'))} OR ({_has(text, screening.IC_SHORT)} AND NOT {_has(text, screening.IC_OPTICAL)}))"
+    return f"({_has(bare, screening.IC)} OR ({_has(text, screening.IC_SHORT)} AND NOT {_has(text, screening.IC_OPTICAL)}))"
 
 
 def _screening_sql() -> str:
