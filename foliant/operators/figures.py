@@ -1,31 +1,16 @@
-"""Performance figures from text, typed and in base units; only what is unambiguous becomes a value."""
+"""What makes a figure unfit for use, what it is of, and the technology and class of a link."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .extract import error_rate, unambiguous
-
-# How rates, energies, powers and sizes are written. In every pattern a number comes before its unit.
-NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
-BITS = r"[TtGg]b(?i:/s|ps|it/s)"
-BAUD = r"(?i:gbaud|gbd)"
-PER = r"(?:\s*/\s*((?i:mm(?:\^?2|²)?|pin|wire|lane)))?"
-LANES = rf"([0-9]{{1,3}})\s*[x×]\s*{NUMBER}\s*(?:-\s*)?({BITS}){PER}"
-RANGE = rf"{NUMBER}\s*(?:-|–|—|to)\s*{NUMBER}\s*(?:-\s*)?({BITS}|{BAUD}){PER}"
-RATE = rf"{NUMBER}\s*(?:-\s*)?({BITS}|{BAUD}){PER}"
-ENERGY = rf"{NUMBER}\s*(?:-\s*)?((?i:[pf]j))\s*/\s*(?i:bit|b)((?i:\s*/\s*dB))?"
-POWER_PER_RATE = rf"{NUMBER}\s*(?:-\s*)?((?i:[µμu]W|mW|W))\s*/\s*\(?\s*(?i:Gb/s|Gbps|Gbit/s|Gb)\s*\)?((?i:\s*/\s*dB))?"
-POWER = rf"{NUMBER}\s*(?:-\s*)?((?i:[µμu]W|mW|W))\b"
-NODE = rf"{NUMBER}\s*(?:-\s*)?((?i:nm|[µμu]m))\b"
-LOSS = rf"{NUMBER}\s*(?:-\s*)?(?i:dB)\b"
-BER = r"(?i:\bBER\b|bit[- ]error rate).{0,45}?((?:[0-9]+(?:\.[0-9]+)?\s*[x×]\s*)?10\s*\^?\s*-\s*[0-9]+|[0-9]+(?:\.[0-9]+)?[eE]-[0-9]+)"
-# Words that must stand near a size or a loss.
-PROCESS_WORDS = r"(?i)cmos|finfet|process|technology|fabricat|bi[- ]?cmos|sige|fd[- ]?soi|\bsoi\b|\bhbt\b|\binp\b|\bgaas\b"
-LOSS_WORDS = r"(?i)loss|channel|insertion"
+from .quantities import occurrences, performance
+
+__all__ = ["occurrences", "performance", "power_guard", "rate_guard", "power_scope", "technology_family", "link_class"]
+
 # What makes a power or a rate no exact operating point, in the order in which it is looked for.
 BOUND = r"(?i)(?:<|>|≤|≥|sub[- ]?|under\s+|below\s+|above\s+|up\s+to\s+|less\s+than\s+|more\s+than\s+|at\s+most\s+|at\s+least\s+)\s*(?:about|approximately|approx\.?|~)?\s*[-+]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)\s*"
 POWER_GUARDS = (
@@ -51,12 +36,11 @@ LINK_CLASSES = (
     ("memory", "(?i)ddr|gddr|hbm|memory interface"),
     ("optical", "(?i)optical|vcsel|silicon photonic|photodiode"),
 )
-#: Stands for text that a wider pattern has taken; no pattern matches it.
-TAKEN = "~"
 
 
 def first_rule(text: Column, rules: Sequence[tuple[str, str]], other: str | None = None) -> Column:
-    """The label of the first pattern that ``text`` matches; ``other`` for none and for null."""
+    """The label of the first pattern that ``text``, white space as one space, matches; ``other`` for none and for null."""
+    text = F.trim(F.regexp_replace(text, r"\s+", " "))
     out = F
     for label, pattern in rules:
         out = out.when(text.rlike(pattern), label)
@@ -87,85 +71,3 @@ def technology_family(text: Column) -> Column:
 
 def link_class(text: Column) -> Column:
     return first_rule(text, LINK_CLASSES)
-
-
-def _all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
-
-def _number(match: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract(match, pattern, group).cast("double")
-
-
-def _unit(match: Column, pattern: str, group: int = 2) -> Column:
-    return F.lower(F.regexp_extract(match, pattern, group))
-
-
-def _giga(match: Column, pattern: str, value: int, unit: int) -> Column:
-    v = _number(match, pattern, value)
-    return F.when(_unit(match, pattern, unit).startswith("t"), v * 1000).otherwise(v)
-
-
-def _milliwatt(match: Column, pattern: str) -> Column:
-    v, u = _number(match, pattern), _unit(match, pattern)
-    return F.when(u == "w", v * 1000).when(u == "mw", v).otherwise(v / 1000)
-
-
-def _near(text: Column, match: Column, signs: int) -> Column:
-    """``match`` where it first stands in ``text``, with ``signs`` characters on both sides."""
-    place = F.instr(text, match)
-    start = F.greatest(place - signs, F.lit(1))
-    return F.substr(text, start, place - start + F.length(match) + signs)
-
-
-def _only(array: Column) -> Column:
-    return F.when(F.size(array) == 1, array[0])
-
-
-def performance(text: Column) -> Column:
-    """A struct of the figures that ``text`` gives, and ``ambiguous``, the names of those that it gives in several ways.
-
-    Rates are looked for as lanes times a rate, then as ranges in what is left, then alone, so no sign belongs to two. A rate
-    needs to be the only one; energies, powers, nodes, losses and error rates may repeat with one value. A node counts near a word
-    for a process (55 signs) and up to 500 nm, a loss near a word for a channel (65 signs). Powers over a rate are energies and no
-    powers. Figures that are missing or ambiguous are null; of a null text all are. Every value comes from built-in functions.
-    """
-    rest = F.regexp_replace(text, LANES, TAKEN)
-    alone = F.regexp_replace(rest, RANGE, TAKEN)
-    is_bits = lambda p, unit, per: lambda m: (~_unit(m, p, unit).rlike("^gb(aud|d)$")) & F.regexp_extract(m, p, per).rlike("(?i)^(wire|lane)?$")
-    lanes, ranges = F.filter(_all(text, LANES), is_bits(LANES, 3, 4)), F.filter(_all(rest, RANGE), is_bits(RANGE, 3, 4))
-    singles = _all(alone, RATE)
-    bits = F.filter(singles, is_bits(RATE, 2, 3))
-    symbols = F.filter(singles, lambda m: _unit(m, RATE).rlike("^gb(aud|d)$"))
-    dense = F.filter(singles, lambda m: F.regexp_extract(m, RATE, 3).rlike("(?i)^mm"))
-    many = _only(lanes)
-    one = F.when((F.size(lanes) == 0) & (F.size(bits) == 1), bits[0])
-    span = F.when(many.isNull() & one.isNull(), _only(ranges))
-    lane_rate, rate = _giga(many, LANES, 2, 3), _giga(one, RATE, 1, 2)
-    low, high = _giga(span, RANGE, 1, 3), _giga(span, RANGE, 2, 3)
-    scope = F.when(many.isNotNull(), "lane").when(F.regexp_extract(one, RATE, 3) != "", "lane").when(_near(alone, one, 35).rlike(r"(?i)\b(?:aggregate|total)\b"), "aggregate")
-    scope = F.when(many.isNotNull() | one.isNotNull() | span.isNotNull(), F.coalesce(scope, F.lit("unknown")))
-
-    def energies(per_db: bool) -> Column:
-        wanted: Callable = lambda p: lambda m: (F.regexp_extract(m, p, 3) != "") == F.lit(per_db)
-        plain = F.transform(F.filter(_all(text, ENERGY), wanted(ENERGY)), lambda m: F.when(_unit(m, ENERGY) == "fj", _number(m, ENERGY) / 1000).otherwise(_number(m, ENERGY)))
-        return F.concat(plain, F.transform(F.filter(_all(text, POWER_PER_RATE), wanted(POWER_PER_RATE)), lambda m: _milliwatt(m, POWER_PER_RATE)))
-
-    powers = F.transform(_all(F.regexp_replace(text, POWER_PER_RATE, TAKEN), POWER), lambda m: _milliwatt(m, POWER))
-    nodes = F.filter(_all(text, NODE), lambda m: _near(text, m, 55).rlike(PROCESS_WORDS))
-    nodes = F.filter(F.transform(nodes, lambda m: F.when(_unit(m, NODE) == "nm", _number(m, NODE)).otherwise(_number(m, NODE) * 1000)), lambda v: v <= 500)
-    losses = F.transform(F.filter(_all(text, LOSS), lambda m: _near(text, m, 65).rlike(LOSS_WORDS)), lambda m: _number(m, LOSS))
-    errors = F.filter(F.transform(F.regexp_extract_all(text, F.lit(BER), F.lit(1)), error_rate), lambda v: (v > 0) & (v <= 1))
-    several = {
-        "rate_gbps": many.isNull() & one.isNull() & span.isNull() & (F.size(lanes) + F.size(bits) + F.size(ranges) > 1),
-        "symbol_rate_gbaud": F.size(symbols) > 1,
-        **{name: F.size(F.array_distinct(v)) > 1 for name, v in (("energy_pj_bit", energies(False)), ("power_mw", powers), ("process_nm", nodes), ("channel_loss_db", losses), ("ber", errors))},
-    }
-    return F.struct(
-        F.coalesce(lane_rate, rate).alias("rate_gbps"), F.least(low, high).alias("rate_min_gbps"), F.greatest(low, high).alias("rate_max_gbps"), scope.alias("rate_scope"),
-        F.regexp_extract(many, LANES, 1).cast("int").alias("lane_count"), F.coalesce(lane_rate, F.when(scope == "lane", rate)).alias("lane_rate_gbps"),
-        F.coalesce(lane_rate * F.regexp_extract(many, LANES, 1).cast("int"), F.when(scope == "aggregate", rate)).alias("aggregate_rate_gbps"),
-        _giga(_only(symbols), RATE, 1, 2).alias("symbol_rate_gbaud"), _giga(_only(dense), RATE, 1, 2).alias("density_gbps_mm"),
-        unambiguous(energies(False)).alias("energy_pj_bit"), _only(energies(True)).alias("energy_pj_bit_db"), unambiguous(powers).alias("power_mw"),
-        unambiguous(nodes).alias("process_nm"), unambiguous(losses).alias("channel_loss_db"), unambiguous(errors).alias("ber"),
-        F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in several.items()]), lambda x: x.isNotNull()).alias("ambiguous"))

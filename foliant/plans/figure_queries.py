@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import terms
 from ..operators import figures as P
 from ..operators import text as T
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .register import registry
+from .screening_queries import SENTENCES, papers
 
 QUERIES, ORACLES, query = registry()
 
@@ -24,53 +25,75 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_TEXT).alias("x"))
 
 
-def _num(m: str, pattern: str, group: int) -> str:
-    return f"CAST(nullif(regexp_extract({m}, '{pattern}', {group}), '') AS DOUBLE)"
+def _ladder(rules: tuple, text: str, other: str = "NULL") -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{p}') THEN '{n}'" for n, p in rules) + f" ELSE {other} END"
 
 
-def _giga(m: str, pattern: str, value: int, unit: int) -> str:
-    return f"CASE WHEN lower(regexp_extract({m}, '{pattern}', {unit})) LIKE 't%' THEN 1000 ELSE 1 END * {_num(m, pattern, value)}"
+#: Sentences with figures of a row (q and n, whole numbers) and what must be read from them, as SQL; the patterns take no part.
+_FIGURES: list[tuple[str, dict[str, str]]] = [
+    ("'A 4 x ' || q || ' Gb/s transceiver in ' || n || '-nm CMOS at 1.5 pJ/bit'", {"rate_gbps": "q", "rate_scope": "'lane'", "lane_count": "4", "lane_rate_gbps": "q", "aggregate_rate_gbps": "4 * q", "energy_pj_bit": "1.5", "process_nm": "n"}),
+    ("'From 10 to ' || q || ' Gb/s, total power ' || n || ' mW'", {"rate_min_gbps": "least(10, q)", "rate_max_gbps": "greatest(10, q)", "rate_scope": "'unknown'", "power_mw": "n"}),
+    ("'An aggregate ' || q || '-Gb/s link, ' || n || ' mW/Gb/s and 30 dB channel loss'", {"rate_gbps": "q", "rate_scope": "'aggregate'", "aggregate_rate_gbps": "q", "energy_pj_bit": "n", "channel_loss_db": "30"}),
+    ("q || ' Gb/s/lane, 28 GBaud, BER below 1e-' || n", {"rate_gbps": "q", "rate_scope": "'lane'", "lane_rate_gbps": "q", "symbol_rate_gbaud": "28", "ber": "CAST('1e-' || n AS DOUBLE)"}),
+    ("'25 Gb/s and ' || q || ' Tb/s with 500 fJ/bit/dB, ' || n || ' uW standby, then 3 W'", {"energy_pj_bit_db": "0.5", "rate_unclear": "true", "power_unclear": "true"}),
+    ("'A 1550 nm laser and ' || n || ' um SiGe at less than ' || q || ' mW per channel'", {"power_mw": "q"}),
+    ("'An optical output power of ' || q || ' W, bi-CMOS chiplet'", {"power_mw": "1000 * q"}),
+    ("'A receiver in ' || n || ' nm'", {"process_nm": "n"}),
+    ("'A CMOS-compatible ' || q || ' nm waveguide filter'", {}),
+    ("'A 4 0nm CMOS driver of ' || q || ' mW'", {"power_mw": "q"}),
+    ("'A ' || q || ' W/(Gb/s) link'", {"energy_pj_bit": "CASE WHEN q <= 10 THEN 1000 * q END"}),
+    ("'PAM4mW and ' || n || '&nbsp;mW'", {"power_mw": "n"}),
+    ("'Insertion  loss of ' || n || ' dB at ' || q || ' GHz'", {"channel_loss_db": "n", "loss_frequency_ghz": "q"}),
+    ("q || ' Gb/s here; ' || n || '-' || q || ' Gb/s/mm and ' || q || '.5 Gbit/s'", {"rate_unclear": "true"}),
+]
+_KEYS = ("l_orderkey", "l_linenumber", "CAST(l_quantity AS INT) AS q", "CAST(l_suppkey % 60 + 2 AS INT) AS n", f"CAST((l_linenumber + 7 * (l_partkey % 2)) % {len(_FIGURES)} AS INT) AS k")
+_ROWS = f"SELECT {', '.join(_KEYS)} FROM lineitem"
 
 
-def _mw(m: str, pattern: str) -> str:
-    unit = f"lower(regexp_extract({m}, '{pattern}', 2))"
-    return f"CASE {unit} WHEN 'w' THEN 1000 * {_num(m, pattern, 1)} WHEN 'mw' THEN {_num(m, pattern, 1)} ELSE {_num(m, pattern, 1)} / 1000 END"
+def _case(fields: dict[int, str], kind: str) -> str:
+    return "CASE k " + " ".join(f"WHEN {k} THEN {v}" for k, v in fields.items()) + (" ELSE false END" if kind == "BOOLEAN" else f" ELSE CAST(NULL AS {kind}) END")
 
 
-def _only(values: str) -> str:
-    return f"CASE WHEN len(list_distinct({values})) = 1 THEN {values}[1] END"
+def _expected(columns: list[str]) -> str:
+    kinds = {"rate_scope": "VARCHAR", "rate_unclear": "BOOLEAN", "power_unclear": "BOOLEAN"}
+    shown = []
+    for c in columns:
+        kind = kinds.get(c, "DOUBLE")
+        shown.append(f"({_case({k: f[c] for k, (_, f) in enumerate(_FIGURES) if c in f}, kind)})::{kind} AS {c}")
+    return f"SELECT l_orderkey, l_linenumber, {', '.join(shown)} FROM ({_ROWS})"
 
 
-def _ladder(rules: tuple, text: str, other: str = "NULL") -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{p}') THEN '{n}'" for n, p in rules) + f" ELSE {other} END"
+def _read(spark: SparkSession, d: str) -> DataFrame:
+    rows = spread(table(spark, d, "lineitem").selectExpr(*_KEYS))
+    text = F.expr("CASE k " + " ".join(f"WHEN {k} THEN {t}" for k, (t, _) in enumerate(_FIGURES)) + " END")
+    return rows.select("l_orderkey", "l_linenumber", P.performance(text).alias("p")).select("l_orderkey", "l_linenumber", "p.*", F.array_contains("p.ambiguous", "rate_gbps").alias("rate_unclear"), F.array_contains("p.ambiguous", "power_mw").alias("power_unclear"))
+
 
+_RATES = "rate_gbps rate_min_gbps rate_max_gbps rate_scope lane_count lane_rate_gbps aggregate_rate_gbps symbol_rate_gbaud rate_unclear".split()
+_POWERS = "energy_pj_bit energy_pj_bit_db power_mw process_nm channel_loss_db loss_frequency_ghz ber power_unclear".split()
 
-@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, {_TEXT} AS x FROM lineitem), a AS (SELECT *, regexp_extract_all(x, '{P.LANES}') AS ls, regexp_replace(x, '{P.LANES}', '~', 'g') AS y FROM t),
-b AS (SELECT *, regexp_extract_all(y, '{P.RANGE}') AS rs, regexp_replace(y, '{P.RANGE}', '~', 'g') AS z FROM a), c AS (SELECT *, regexp_extract_all(z, '{P.RATE}') AS ss FROM b),
-d AS (SELECT *, [m FOR m IN ss IF NOT regexp_matches(m, '{P.BAUD}')] AS bs, [m FOR m IN ss IF regexp_matches(m, '{P.BAUD}')] AS ys FROM c),
-e AS (SELECT *, CASE WHEN len(ls) = 1 THEN ls[1] END AS many, CASE WHEN len(ls) = 0 AND len(bs) = 1 THEN bs[1] END AS one FROM d),
-f AS (SELECT *, CASE WHEN many IS NULL AND one IS NULL AND len(rs) = 1 THEN rs[1] END AS span, {_giga('many', P.LANES, 2, 3)} AS lane, {_giga('one', P.RATE, 1, 2)} AS rate, CAST(nullif(regexp_extract(many, '{P.LANES}', 1), '') AS INT) AS lane_count FROM e),
-g AS (SELECT *, {_giga('span', P.RANGE, 1, 3)} AS low, {_giga('span', P.RANGE, 2, 3)} AS high, CASE WHEN many IS NOT NULL OR regexp_extract(one, '{P.RATE}', 3) <> '' THEN 'lane' WHEN one IS NOT NULL AND contains(x, 'aggregate') THEN 'aggregate'
-WHEN one IS NOT NULL OR span IS NOT NULL THEN 'unknown' END AS rate_scope FROM f)
-SELECT l_orderkey, l_linenumber, coalesce(lane, rate) AS rate_gbps, least(low, high) AS rate_min_gbps, greatest(low, high) AS rate_max_gbps, rate_scope, lane_count::DOUBLE AS lane_count, coalesce(lane, CASE WHEN rate_scope = 'lane' THEN rate END) AS lane_rate_gbps,
-coalesce(lane * lane_count, CASE WHEN rate_scope = 'aggregate' THEN rate END) AS aggregate_rate_gbps, {_giga('ys[1]', P.RATE, 1, 2)} AS symbol_rate_gbaud, len(bs) > 1 AS unclear FROM g""")
+
+@query(_expected(_RATES))
 def extract_rates(spark: SparkSession, d: str) -> DataFrame:
     """Rates as lanes times a rate, as ranges or alone; several rates give none."""
-    p = _texts(spark, d).withColumn("p", P.performance(F.col("x")))
-    names = "rate_gbps rate_min_gbps rate_max_gbps rate_scope lane_rate_gbps aggregate_rate_gbps symbol_rate_gbaud".split()
-    return p.select("l_orderkey", "l_linenumber", *[f"p.{n}" for n in names], F.col("p.lane_count").cast("double").alias("lane_count"), F.array_contains("p.ambiguous", "rate_gbps").alias("unclear"))
+    return _read(spark, d).select("l_orderkey", "l_linenumber", *_RATES).withColumn("lane_count", F.col("lane_count").cast("double"))
 
 
-@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, {_TEXT} AS x FROM lineitem), a AS (SELECT *, regexp_extract_all(x, '{P.ENERGY}') AS es, regexp_extract_all(x, '{P.POWER_PER_RATE}') AS fs,
-regexp_extract_all(regexp_replace(x, '{P.POWER_PER_RATE}', '~', 'g'), '{P.POWER}') AS ps, regexp_extract_all(x, '{P.NODE}') AS ns, regexp_extract_all(x, '{P.LOSS}') AS ds, regexp_extract_all(x, '{P.BER}', 1) AS os FROM t),
-b AS (SELECT *, [{_num('m', P.ENERGY, 1)} FOR m IN es IF NOT contains(m, 'dB')] || [{_mw('m', P.POWER_PER_RATE)} FOR m IN fs] AS ev, [{_num('m', P.ENERGY, 1)} / 1000 FOR m IN es IF contains(m, 'dB')] AS dv, [{_mw('m', P.POWER)} FOR m IN ps] AS pv,
-[v FOR v IN [{_num('m', P.NODE, 1)} * CASE WHEN contains(m, 'nm') THEN 1 ELSE 1000 END FOR m IN ns IF regexp_matches(x, '{P.PROCESS_WORDS}')] IF v <= 500] AS nv, [{_num('m', P.LOSS, 1)} FOR m IN ds IF regexp_matches(x, '{P.LOSS_WORDS}')] AS lv, [CAST(m AS DOUBLE) FOR m IN os] AS bv FROM a)
-SELECT l_orderkey, l_linenumber, {_only('ev')} AS energy_pj_bit, {_only('dv')} AS energy_pj_bit_db, {_only('pv')} AS power_mw, {_only('nv')} AS process_nm, {_only('lv')} AS channel_loss_db, {_only('bv')} AS ber, len(list_distinct(pv)) > 1 AS unclear FROM b""")
+@query(_expected(_POWERS))
 def extract_powers(spark: SparkSession, d: str) -> DataFrame:
     """Energies, powers, nodes, losses and error rates in base units; several values give none."""
-    p = _texts(spark, d).withColumn("p", P.performance(F.col("x")))
-    names = "energy_pj_bit energy_pj_bit_db power_mw process_nm channel_loss_db ber".split()
-    return p.select("l_orderkey", "l_linenumber", *[f"p.{n}" for n in names], F.array_contains("p.ambiguous", "power_mw").alias("unclear"))
+    return _read(spark, d).select("l_orderkey", "l_linenumber", *_POWERS)
+
+
+#: What the sentences of papers say, by place; their documents hold no figures.
+_SAID = {1: ("112", "NULL", "NULL", "7", "NULL"), 4: ("NULL", "40", "NULL", "NULL", "NULL"), 7: ("NULL", "12", "NULL", "NULL", "NULL"), 8: ("NULL", "3", "NULL", "NULL", "NULL"), 9: ("NULL", "NULL", "2", "NULL", "NULL"), 11: ("NULL", "NULL", "4", "NULL", "NULL"), 13: ("NULL", "5", "NULL", "NULL", "NULL"), 16: ("25", "NULL", "NULL", "NULL", "20")}
+_SHOWN = ("rate_gbps", "power_mw", "energy_pj_bit", "process_nm", "channel_loss_db")
+
+
+@query("SELECT doc_id, " + ", ".join(f"(CASE doc_id % {len(SENTENCES)} " + " ".join(f"WHEN {k} THEN {v[i]}" for k, v in _SAID.items()) + f" END)::DOUBLE AS {c}" for i, c in enumerate(_SHOWN)) + " FROM documents")
+def document_figures(spark: SparkSession, d: str) -> DataFrame:
+    """The figures of whole documents."""
+    return papers(spark, d).select("doc_id", P.performance(F.col("abstract")).alias("p")).select("doc_id", *(f"p.{c}" for c in _SHOWN))
 
 
 @query(f"""SELECT {_ladder(P.POWER_GUARDS, 'x')} AS power_guard, {_ladder(P.RATE_GUARDS, 'x')} AS rate_guard, CASE stored WHEN 'Per lane' THEN 'lane' WHEN 'chip' THEN 'aggregate' ELSE {_ladder((('lane', P.LANE_POWER), ('aggregate', P.WHOLE_POWER)), 'x', "'unknown'")} END AS scope,

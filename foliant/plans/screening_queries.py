@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.plain import plain_sql, plain_text
 from ..operators import media, screening
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .register import registry
 
 QUERIES, ORACLES, query = registry()
@@ -44,7 +44,7 @@ PARTS = (LEADS, RATES, SUBJECTS, CONTEXTS, PROCESSES)
 
 
 def papers(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return docs.select(
         "doc_id", F.array_join(F.array(*map(_pick, PARTS)), " ").alias("title"), F.concat_ws(" ", _pick(SENTENCES), F.col("text")).alias("abstract"), _pick(SENTENCES).alias("sentence"),
         _pick(CLASSES, 2).alias("measured"))

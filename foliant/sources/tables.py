@@ -64,3 +64,12 @@ def ris(title: Column, authors: Column, year: Column, venue: Column, doi: Column
 
 def write_lines(records: DataFrame, column: str, path: str) -> None:
     records.select(column).write.text(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a plain scan, dealt to all cores if its files give fewer splits than there are cores; unchanged, without a shuffle, otherwise.
+
+    For costly work by row on small inputs: at scale splits outnumber cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -247,10 +247,22 @@ FIGURES = [
     ("A 4 x 28 Gb/s transceiver in 65-nm CMOS at 1.5 pJ/bit", {"rate_gbps": 28.0, "rate_scope": "lane", "lane_count": 4, "lane_rate_gbps": 28.0, "aggregate_rate_gbps": 112.0, "energy_pj_bit": 1.5, "process_nm": 65.0}),
     ("From 25 to 10 Gb/s, total power 35 mW", {"rate_min_gbps": 10.0, "rate_max_gbps": 25.0, "rate_scope": "unknown", "power_mw": 35.0}),
     ("An aggregate 1.12-Tb/s link, 2 mW/Gb/s and 30 dB channel loss", {"rate_gbps": 1120.0, "rate_scope": "aggregate", "aggregate_rate_gbps": 1120.0, "energy_pj_bit": 2.0, "channel_loss_db": 30.0}),
-    ("56 Gb/s/lane, 28 GBaud, BER below 1e-12", {"rate_gbps": 56.0, "rate_scope": "lane", "lane_rate_gbps": 56.0, "symbol_rate_gbaud": 28.0, "ber": 1e-12}),
+    ("56 Gb/s/lane, 28 GBaud, BER below 1e-12", {"rate_gbps": 56.0, "rate_scope": "lane", "lane_rate_gbps": 56.0, "symbol_rate_gbaud": 28.0, "ber": 1e-12, "ber_scope": "unknown"}),
     ("25 Gb/s and 32 Gb/s with 500 fJ/bit/dB and 20 uW, then 3 W", {"energy_pj_bit_db": 0.5, "ambiguous": ["rate_gbps", "power_mw"]}),
     ("1.2 Tb/s/mm with a 1550 nm laser in 0.13 um SiGe and 30 dB of gain", {"density_gbps_mm": 1200.0, "process_nm": 130.0}),
     ("10 GB/s is no bit rate, 3 mW is 3 mW", {"power_mw": 3.0}),
+    ("A receiver in 28 nm", {"process_nm": 28.0}),
+    ("An optical receiver in 28 nm", {}),
+    ("A CMOS-compatible 300 nm waveguide filter", {}),
+    ("A 4 0nm CMOS driver", {"ambiguous": ["process_nm"]}),
+    ("A 20 W/(Gb/s) link", {"ambiguous": ["energy_pj_bit"]}),
+    ("A 20 W/(Gb/s)/dB link", {"ambiguous": ["energy_pj_bit_db"]}),
+    ("A PAM4mW link", {}),
+    ("5&nbsp;mW and 5\u00a0mW", {"power_mw": 5.0}),
+    ("36 $\\mu$W at 2.5 GBd", {"power_mw": 0.036, "symbol_rate_gbaud": 2.5}),
+    ("Insertion loss of 20 dB at 14 GHz, a pre-FEC bit-error rate of 3 × 10^-6", {"channel_loss_db": 20.0, "loss_frequency_ghz": 14.0, "ber": 3e-6, "ber_scope": "pre_fec"}),
+    ("1.5 pJ/b and 1500 fJ/bit at 32 Gb/s/pin", {"energy_pj_bit": 1.5}),
+    ("10-12 and 20-28 Gb/s, 5 to 6 Gb/s", {"ambiguous": ["rate_gbps"]}),
     ("", {}),
 ]
 
@@ -258,11 +270,19 @@ FIGURES = [
 def test_performance_gives_only_what_is_unambiguous(spark):
     df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(FIGURES)], "i int, x string")
     for r in df.select("i", figures.performance(F.col("x")).alias("p")).collect():
-        assert {k: v for k, v in r["p"].asDict().items() if v not in (None, [])} == FIGURES[r["i"]][1]
+        got = {k: v for k, v in r["p"].asDict().items() if v not in (None, [])}
+        assert got == {k: pytest.approx(v) if isinstance(v, float) else v for k, v in FIGURES[r["i"]][1].items()}, FIGURES[r["i"]]
     none = spark.createDataFrame([(None,)], "x string").select(figures.performance(F.col("x")).alias("p")).first()["p"]
     assert not any(v for v in none.asDict().values())
 
 
+def test_figures_carry_their_clause(spark):
+    df = spark.createDataFrame([("It works. The chip takes 3 mW; it is small. " + "x" * 200_000 + " 4 x 5 Gb/s",)], "x string")
+    found = df.select(figures.occurrences(F.col("x")).alias("f")).first()["f"]
+    assert [(f["kind"], f["raw"], f["value"]) for f in found] == [("bit_rate", "4 x 5 Gb/s", 5.0), ("power", "3 mW", 3.0)]
+    assert found[1]["excerpt"] == "The chip takes 3 mW; it is small." and len(found[0]["excerpt"]) <= 170
+
+
 def test_guards_and_families(spark):
     rows = ["less than 5 mW", "2 mW/Gb/s", "standby 3 uW", "4 mW/channel", "OMA of 1 mW", "heater power 2 mW", "consumes 3 mW", None, "10 to 28 Gb/s", "up to 56 Gb/s", "bi-CMOS and CMOS", "FinFET chiplet"]
     df = spark.createDataFrame([(x,) for x in rows], "x string")
@@ -271,6 +291,9 @@ def test_guards_and_families(spark):
     assert [r[0] for r in got[:8]] == ["bounded_power", "already_normalized_power_per_rate", "inactive_state_power", "per_channel_power_scope", "non_consumption_power", "subblock_power", None, None]
     assert [r[1] for r in got[8:10]] == ["rate_range_without_operating_point", "bounded_rate"]
     assert [r[2:] for r in got[10:]] == [("BiCMOS", None), ("CMOS", "die_to_die")] and got[7][2] == "Other / unspecified"
+    loose = spark.createDataFrame([("sleep  mode 3 mW",), ("5 mW\nper channel",)], "x string")
+    assert [r[0] for r in loose.select(figures.power_guard(x)).collect()] == ["inactive_state_power", "per_channel_power_scope"]
+    assert spark.range(1).select(figures.link_class(F.lit("silicon\nphotonic"))).first()[0] == "optical"
     scopes = spark.createDataFrame([("12 mW per lane", None), ("the receiver consumes 5 mW", None), ("12 mW per lane", "full link"), ("5 mW", "x"), (None, None)], "x string, s string")
     assert [r[0] for r in scopes.select(figures.power_scope(x, F.col("s"))).collect()] == ["lane", "aggregate", "aggregate", "unknown", "unknown"]
 
