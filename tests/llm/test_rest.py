@@ -26,10 +26,10 @@ def docs(spark, rows):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS FROM '{FOLDER}/{t}.parquet'")
     found, want = registry.QUERIES[name](spark, FOLDER).toPandas(), con.sql(registry.ORACLES[name]).df()
-    own = lambda f: sorted(map(tuple, f[sorted(f.columns)].astype(str).to_numpy().tolist()))
+    own = lambda f: sorted(map(tuple, f[sorted(f.columns)].astype(object).where(f[sorted(f.columns)].notna(), "none").map(lambda v: str(int(v)) if isinstance(v, float) and v == int(v) else str(v)).to_numpy().tolist()))
     assert own(found) == own(want)
 
 
