@@ -185,7 +185,7 @@ def plans(convs: DataFrame, gone: Column | None = None) -> DataFrame:
     The digest of a conversation runs over all its texts in order, so its rows come to one task, which must read them
     as a sorted stream: Spark spills the sort, and the task holds four survivors and their audits, never the rows.
 
-    Null roles and texts are one space (so such a text is blank); null turns come first and count for no gap; rows without
+    Null roles and texts are one space (so such a text is blank); an empty role can't be kept; null turns come first and count for no gap; rows without
     a conv_id are one conversation; equal turns are taken by role and text; an empty table gives no rows; a conversation
     without rows has zeros, an empty audit and the digest of nothing. Other columns are ignored.
     """

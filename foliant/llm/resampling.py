@@ -39,11 +39,14 @@ def features(run: int = RUN, buckets: int = BUCKETS) -> Column:
     """The buckets of all runs of 1 to ``run`` words that start in a chunk, repeats included."""
     hashed = lambda gram: (F.crc32(gram.cast("binary")) % buckets).cast("int")
     found = [F.transform(F.slice("words", 1, F.col("own")) if run > 1 else F.col("words"), hashed)]
-    for n in range(2, run + 1):
+
+    def runs(n: int) -> Column:
         # shorter at the text's end, where no carried words follow
         last = F.least(F.col("own"), F.size("words") - n + 1)
         places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        found.append(F.transform(places, lambda i, n=n: hashed(F.array_join(F.slice("words", i, n), " "))))
+        return F.transform(places, lambda i: hashed(F.array_join(F.slice("words", i, n), " ")))
+
+    found += [runs(n) for n in range(2, run + 1)]
     return F.concat(*found) if run > 1 else found[0]
 
 
