@@ -94,7 +94,37 @@ def _nfkc(column: Column) -> Column:
     return run(column)
 
 
-#: Length of the signs' runs that candidate titles share. Titles of up to 8 signs can only be equal at a ratio of 0.94.
+def title_identity(title: Column) -> Column:
+    """A struct of what two titles of one work share: ``t``, its letters and digits, ``part``, its part marks, and ``numbers``."""
+    t = F.regexp_replace(F.regexp_replace(_nfkc(title), r"^\s*\d+\.\d+\s+", ""), r"\s*:\s*publisher['\u2019]s note\s*$", "")
+    t = F.regexp_replace(F.replace(F.replace(t, F.lit("\\mu"), F.lit("u")), F.lit("\u03bc"), F.lit("u")), "[^a-z0-9.]", "")
+    part = F.concat_ws(",", F.regexp_extract_all(F.lower(title), F.lit(r"\bpart\s+([ivx]+|\d+)\b"), F.lit(1)))
+    return F.struct(t.alias("t"), part.alias("part"), F.concat_ws(",", F.regexp_extract_all(t, F.lit(r"\d+(?:\.\d+)?"), F.lit(0))).alias("numbers"))
+
+
+def sequence_ratio(a: Column, b: Column, floor: float) -> Column:
+    """The share of signs in matching runs, as difflib has it; 0.0 where cheap bounds rule ``floor`` out."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        out = []
+        for x, y in zip(a, b):
+            m = SequenceMatcher(None, x or "", y or "", autojunk=False)
+            out.append(m.ratio() if m.real_quick_ratio() >= floor and m.quick_ratio() >= floor else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    return run(a, b)
+
+
+def near_titles(a: Column, b: Column, ratio: float = 0.94) -> Column:
+    """Whether two identities (see ``title_identity``) name one work."""
+    same = (a["part"] == b["part"]) & (a["numbers"] == b["numbers"])
+    return F.coalesce(same & ((a["t"] == b["t"]) | (sequence_ratio(F.when(same, a["t"]), F.when(same, b["t"]), ratio) >= ratio)), F.lit(False))
+
+
+#: Length of the signs' runs that candidate titles share. Titles of up to 7 signs can only be equal at a ratio of 0.94 (8 and 9 signs: 16 / 17).
 GRAM = 4
 
 
@@ -106,27 +136,14 @@ def same_titles(docs: DataFrame, ident: str, title: str, ratio: float = 0.94) ->
     A pair at that ratio differs by (1 - ratio) of all signs at most, and each of these spoils GRAM runs of signs at most.
     So two such titles share many runs, and one among the rarest of each; only titles that meet there are compared.
     """
-    @F.pandas_udf("double")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        out = []
-        for x, y in zip(a, b):
-            m = SequenceMatcher(None, x, y, autojunk=False)
-            out.append(m.ratio() if m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio else 0.0)
-        return pd.Series(out)
-
-    t = F.regexp_replace(F.regexp_replace(_nfkc(F.col(title)), r"^\s*\d+\.\d+\s+", ""), r"\s*:\s*publisher['\u2019]s note\s*$", "")
-    t = F.regexp_replace(F.replace(F.replace(t, F.lit("\\mu"), F.lit("u")), F.lit("\u03bc"), F.lit("u")), "[^a-z0-9.]", "")
-    part = F.concat_ws(",", F.regexp_extract_all(F.lower(title), F.lit(r"\bpart\s+([ivx]+|\d+)\b"), F.lit(1)))
-    rows = docs.select(F.col(ident).alias("id"), t.alias("t"), part.alias("part")).where("t <> ''")
-    rows = rows.withColumn("numbers", F.concat_ws(",", F.regexp_extract_all("t", F.lit(r"\d+(?:\.\d+)?"), F.lit(0))))
+    name = title_identity(F.col(title))
+    rows = docs.select(F.col(ident).alias("id"), name.alias("n")).select("id", "n.*").where("t <> ''")
     classes = rows.groupBy("t").agg(F.min(F.struct("id", "part", "numbers")).alias("c")).select("t", F.col("c.id").alias("rep"), "c.part", "c.numbers")
     members = rows.join(classes.select("t", "rep"), "t").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("ratio"))
     size = F.length("t")
     # with s signs, a partner has s / c signs at most (c the shorter's share of the longer at this ratio)
     room = (1 - ratio) * (1 + (2 - ratio) / ratio)
-    grams = classes.where(size > 8).select("rep", "t", "part", "numbers", F.explode(F.expr(f"transform(sequence(1, length(t) - {GRAM - 1}), i -> substring(t, i, {GRAM}))")).alias("gram"))
+    grams = classes.where(size >= 8).select("rep", "t", "part", "numbers", F.explode(F.expr(f"transform(sequence(1, length(t) - {GRAM - 1}), i -> substring(t, i, {GRAM}))")).alias("gram"))
     grams = grams.groupBy("rep", "part", "numbers", "gram").agg(F.count("*").alias("times"), F.first(size).alias("size"))
     grams = grams.select("rep", "part", "numbers", "size", "gram", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("turn"))
     often = grams.groupBy("gram", "turn").agg(F.count("*").alias("often"))
@@ -139,5 +156,5 @@ def same_titles(docs: DataFrame, ident: str, title: str, ratio: float = 0.94) ->
     near_size = F.least("sa", "sb") * (2 - ratio) >= F.greatest("sa", "sb") * ratio
     met = a.join(b, ["part", "numbers", "gram", "turn"]).where("a < b").where(near_size).select("a", "b").distinct()
     text = lambda x: classes.select(F.col("rep").alias(x), F.col("t").alias("t" + x))
-    pairs = met.join(text("a"), "a").join(text("b"), "b").select("a", "b", near(F.col("ta"), F.col("tb")).alias("ratio")).where(F.col("ratio") >= ratio)
+    pairs = met.join(text("a"), "a").join(text("b"), "b").select("a", "b", sequence_ratio(F.col("ta"), F.col("tb"), ratio).alias("ratio")).where(F.col("ratio") >= ratio)
     return pairs.unionByName(members)

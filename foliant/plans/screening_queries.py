@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.plain import plain_sql, plain_text
-from ..operators import media, screening
+from ..operators import concepts, media, screening
 from ..sources.tables import spread, table
 from .register import registry
 
@@ -165,3 +165,20 @@ def energy_scope(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("m")
     found = rows.select("doc_id", media.energy_scope(F.col("t"), F.col("e"), F.col("s")).alias("m"))
     return found.select("doc_id", m["value"].alias("scope"), m["source"].alias("source"), m["confidence"].alias("confidence"), F.array_join(m["reasons"], ",").alias("reasons"), m["evidence"].alias("evidence"))
+
+
+TAILS = ("", "With Inductive Peaking", "Using a Charge Pump", "With a Ring Oscillator", "and Phase Interpolator", "With Offset Cancellation", "for Silicon Photonics", "With Duty-Cycle Correction", "and an ADC")
+PHRASES = (
+    "We use inductive peaking and a charge pump.", "Unlike prior art, a phase interpolator is used.", "A ring oscillator with duty-cycle correction drives the link.", "It works without inductive peaking.",
+    "Offset cancellation and an ADC follow.", "A silicon photonic chip; the design avoids a charge pump.", "Charge-pump free locking.", "A phase interpolator, an HBM interface and a photodiode.")
+
+
+@query()
+def abstract_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """Titles that the abstracts of favourites (by label) lead to, beyond what another channel (by language) has shown."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source", "lang")
+    stars = table(spark, d, "labels").where("quality = 1 AND toxic = 1").select("doc_id", F.lit(True).alias("star")).distinct()
+    rows = docs.select("doc_id", "source", "lang", F.array_join(F.array(*map(_pick, (*PARTS, TAILS))), " ").alias("title"), F.concat_ws(" ", _pick(PHRASES, 3), F.col("text")).alias("abstract"))
+    rows = rows.join(stars, "doc_id", "left")
+    found = concepts.expanded(rows, "doc_id", "title", "abstract", F.coalesce("star", F.lit(False)), rows.where("lang = 'de' AND star IS NULL").select("doc_id"))
+    return found.select("doc_id", "place", "score", "seed", *(F.array_join(c, ",").alias(c) for c in ("added", "anchors", "context")), "support")
