@@ -6,13 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
-from ..operators import ingest, ranking, relate
+from ..operators import evidence, ingest, ranking, relate
 from ..sources.tables import table
 from .register import registry
 
 QUERIES, ORACLES, query = registry()
 
 
+def _split(columns: str) -> list[str]:
+    """Column texts parted at commas outside brackets."""
+    out, depth = [""], 0
+    for c in columns:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
+
 @query(" UNION ALL ".join(f"""SELECT l_partkey, '{n}' AS field, arg_max({c}, (CASE l_returnflag WHEN 'A' THEN 4 WHEN 'R' THEN 3 ELSE 1 END, l_shipdate, l_orderkey, {c})) AS value
 FROM lineitem WHERE {c} > {v} GROUP BY 1""" for n, c, v in (("rate", "l_quantity", 10), ("loss", "l_discount", 0), ("tax", "l_tax", 0))))
 def best_per_field(spark: SparkSession, d: str) -> DataFrame:
@@ -24,16 +37,35 @@ def best_per_field(spark: SparkSession, d: str) -> DataFrame:
     return ranking.best(rows, ["l_partkey", "field"], rank, ["value"], F.col("value").isNotNull())
 
 
-@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate, CASE WHEN l_returnflag = 'A' THEN 'curated' WHEN l_quantity > 45 AND l_discount > 0.08 THEN 'range_rejected'
-WHEN l_linestatus = 'O' AND l_tax > 0.04 THEN 'aggregate' WHEN l_linenumber > 4 THEN 'multi_lane' WHEN l_quantity > 0 THEN 'lane' ELSE 'none' END AS basis FROM lineitem""")
+_RATES = """l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS reported, CASE WHEN l_suppkey % 3 = 0 THEN l_quantity - 10 END AS lane,
+CASE WHEN l_partkey % 4 = 0 THEN l_quantity * 4 END AS aggregate, CASE WHEN l_partkey % 11 = 0 THEN 1.0 END AS least, CASE WHEN l_partkey % 13 = 0 THEN 2.0 END AS greatest, l_suppkey % 5 AS lanes,
+CASE l_linenumber WHEN 1 THEN ' Aggregate' WHEN 2 THEN 'lane' WHEN 3 THEN 'unknown' END AS scope, CASE WHEN l_returnflag = 'A' AND l_tax > 0.06 THEN 'user_sheet' ELSE 'pdf' END AS source,
+CASE l_linestatus WHEN 'O' THEN CASE WHEN l_tax > 0.04 THEN 'lane' ELSE 'aggregate' END ELSE CASE WHEN l_tax > 0.04 THEN 'unknown' END END AS power"""
+_KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate"
+_NO = lambda reason: f"{{'f': NULL, 'v': NULL::DOUBLE, 'r': '{reason}'}}"
+_YES = lambda field, value, reason: f"{{'f': {field}, 'v': ({value})::DOUBLE, 'r': '{reason}'}}"
+_LANE, _ALL = ("CASE WHEN lane IS NULL THEN 'reported_rate_gbps' ELSE 'lane_rate_gbps' END", "coalesce(nullif(lane, 0), reported)"), ("CASE WHEN aggregate IS NULL THEN 'reported_rate_gbps' ELSE 'aggregate_rate_gbps' END", "coalesce(nullif(aggregate, 0), reported)")
+
+
+@query(f"""SELECT {_KEY}, c.f IS NOT NULL AS eligible, c.f AS field, c.v AS rate, c.r AS reason FROM (SELECT {_KEY}, CASE
+WHEN source = 'user_sheet' THEN CASE WHEN reported IS NOT NULL THEN {_YES("'reported_rate_gbps'", 'reported', 'spreadsheet_speed_column')} WHEN lane IS NOT NULL THEN {_YES("'lane_rate_gbps'", 'lane', 'spreadsheet_speed_column')}
+  WHEN aggregate IS NOT NULL THEN {_YES("'aggregate_rate_gbps'", 'aggregate', 'spreadsheet_speed_column')} ELSE {_NO('missing_fixed_bit_rate')} END
+WHEN least IS NOT NULL OR greatest IS NOT NULL THEN {_NO('rate_range_without_operating_point')}
+WHEN trim(lower(scope)) = 'aggregate' THEN CASE WHEN {_ALL[1]} IS NOT NULL THEN {_YES(*_ALL, 'explicit_aggregate_rate')} ELSE {_NO('missing_aggregate_rate')} END
+WHEN lanes > 1 AND power = 'lane' THEN CASE WHEN {_LANE[1]} IS NOT NULL THEN {_YES(*_LANE, 'per_lane_power')} ELSE {_NO('missing_lane_rate')} END
+WHEN lanes > 1 AND power = 'aggregate' THEN CASE WHEN aggregate IS NOT NULL THEN {_YES("'aggregate_rate_gbps'", 'aggregate', 'total_power_multilane')} ELSE {_NO('missing_aggregate_rate')} END
+WHEN lanes > 1 THEN {_NO('multilane_power_scope_unknown')}
+WHEN power = 'lane' OR scope = 'lane' THEN CASE WHEN {_LANE[1]} IS NOT NULL THEN {_YES(*_LANE, 'single_lane_rate')} ELSE {_NO('missing_lane_rate')} END
+WHEN power = 'aggregate' AND aggregate IS NOT NULL THEN {_YES("'aggregate_rate_gbps'", 'aggregate', 'explicit_total_power')}
+WHEN reported IS NOT NULL THEN {_YES("'reported_rate_gbps'", 'reported', 'single_reported_rate')} WHEN lane IS NOT NULL THEN {_YES("'lane_rate_gbps'", 'lane', 'single_lane_rate')}
+WHEN aggregate IS NOT NULL THEN {_YES("'aggregate_rate_gbps'", 'aggregate', 'only_aggregate_rate')} ELSE {_NO('missing_fixed_bit_rate')} END AS c FROM (SELECT {_RATES} FROM lineitem))""")
 def rate_denominator(spark: SparkSession, d: str) -> DataFrame:
-    from .catalog_queries import LINE
-
-    q = F.col("l_quantity")
-    basis = (
-        F.when(F.col("l_returnflag") == "A", "curated").when((q > 45) & (F.col("l_discount") > 0.08), "range_rejected").when((F.col("l_linestatus") == "O") & (F.col("l_tax") > 0.04), "aggregate")
-        .when(F.col("l_linenumber") > 4, "multi_lane").when(q > 0, "lane").otherwise("none"))
-    return table(spark, d, "lineitem").select(*LINE, basis.alias("basis"))
+    """The rate that each power may be divided by, or why there is none."""
+    rows = table(spark, d, "lineitem").selectExpr(*_split(_RATES))
+    names = "reported lane aggregate least greatest lanes scope source".split()
+    c = F.col("c")
+    found = rows.select(*_split(_KEY), evidence.rate_choice({n: F.col(n) for n in names}, F.col("power")).alias("c"))
+    return found.select(*_split(_KEY), c["eligible"].alias("eligible"), c["field"].alias("field"), c["value"].alias("rate"), c["reason"].alias("reason"))
 
 
 @query("""WITH inc AS (SELECT o_orderkey AS key, 'd' || o_custkey AS doi, o_orderpriority = '1-URGENT' AS uri FROM orders), ex AS (SELECT c_custkey AS key, 'D' || (c_custkey * 2) AS doi FROM customer),
@@ -124,15 +156,27 @@ def confidence_caps(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", confidence.alias("confidence"), cap.alias("capped"))
 
 
-@query("""WITH e AS (SELECT event_id, user_id, event_type, value FROM events WHERE event_type IN ('view', 'click')), p AS (SELECT a.user_id, a.event_id AS power, b.event_id AS rate, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.value - b.value), b.event_id) AS n
-FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND abs(a.value - b.value) <= 0.5) SELECT user_id, power, rate FROM p WHERE n = 1""")
+_SOURCE = "CASE WHEN conv_id % 2 = 0 THEN 'abstract' ELSE 'pdf' END"
+_STATED = f"""conv_id AS measurement, conv_id * 1000 + turn AS id, CASE role WHEN 'user' THEN 'power_mw' WHEN 'assistant' THEN 'reported_rate_gbps' ELSE 'ber' END AS field,
+CASE WHEN turn = 5 THEN 'figure' ELSE {_SOURCE} END AS source, CASE WHEN turn > 3 THEN 'p. ' || CAST(turn % 2 AS STRING) END AS locator, CASE WHEN conv_id % 4 = 0 THEN CASE WHEN turn = 2 THEN -1 ELSE conv_id END END AS abstract,
+CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN 'rejected' END AS review, CASE WHEN turn <> 3 THEN (turn % 3) / 2.0 END AS confidence, text || CASE WHEN conv_id % 3 = 0 THEN '  The LINK runs at 112 Gb/s from a supply of 0.9 V' ELSE '' END AS text"""
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT measurement, id, field, source, coalesce(locator, '') AS place, abstract, coalesce(confidence, 0) AS sure, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text FROM (SELECT {_STATED} FROM conversations) WHERE review IS NULL),
+own AS (SELECT e.* FROM e JOIN (SELECT DISTINCT conv_id, {_SOURCE} AS s FROM conversations) c ON e.measurement = c.conv_id AND e.source = c.s),
+met AS (SELECT p.measurement, p.id AS p, r.id AS r, p.sure, p.text AS a, r.text AS b FROM own p JOIN own r ON p.measurement = r.measurement AND p.place = r.place AND p.abstract IS NOT DISTINCT FROM r.abstract WHERE p.field = 'power_mw' AND r.field = 'reported_rate_gbps'),
+walk AS (SELECT p, r, 0 AS n FROM met UNION ALL SELECT w.p, w.r, w.n + 1 FROM walk w JOIN met USING (p, r) WHERE len(list_filter(range(1, length(a) - n + 1), lambda i: contains(b, substr(a, i::INT, n + 1)))) > 0),
+shared AS (SELECT p, r, max(n) AS n FROM walk GROUP BY 1, 2),
+best AS (SELECT measurement, p, r, n, row_number() OVER (PARTITION BY measurement ORDER BY n DESC, sure DESC, p, r) AS k FROM met JOIN shared USING (p, r)),
+has AS (SELECT measurement, bool_or(field = 'power_mw') AS hp, bool_or(field = 'reported_rate_gbps') AS hr FROM own GROUP BY 1),
+o AS (SELECT c.conv_id AS measurement, CASE WHEN NOT coalesce(hp, false) THEN 'missing_power_evidence' WHEN NOT coalesce(hr, false) THEN 'missing_rate_evidence' WHEN n IS NULL THEN 'cross_source_or_locator'
+WHEN s = 'abstract' AND n < 40 THEN 'abstract_context_not_shared' ELSE 'same_source_locator' END AS reason, n AS shared, p AS power_id, r AS rate_id FROM (SELECT DISTINCT conv_id, {_SOURCE} AS s FROM conversations) c LEFT JOIN has ON has.measurement = c.conv_id LEFT JOIN best ON best.measurement = c.conv_id AND k = 1)
+SELECT measurement, reason = 'same_source_locator' AS eligible, reason, shared, power_id, rate_id FROM o""".replace("AS STRING", "AS VARCHAR"))
 def evidence_pairing(spark: SparkSession, d: str) -> DataFrame:
-    """Power and rate of one source within a tolerance, the nearest one each."""
-    e = table(spark, d, "events")
-    a = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("power"), F.col("value").alias("a"))
-    b = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("rate"), F.col("value").alias("b"))
-    gap = F.abs(F.col("a") - F.col("b"))
-    return ranking.top(a.join(b, "user_id").where(gap <= 0.5), ["power"], [gap, F.col("rate")]).select("user_id", "power", "rate")
+    """The statements of a power and a rate, made in one place, that share the longest run of signs."""
+    convs = table(spark, d, "conversations")
+    measurements = convs.selectExpr("conv_id AS measurement", f"{_SOURCE} AS source").distinct()
+    return evidence.pairs(measurements, convs.selectExpr(*_split(_STATED)), ["power_mw"], evidence.RATE_FIELDS["reported_rate_gbps"])
 
 
 @query("""SELECT c_mktsegment, count(*) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS negative, count(DISTINCT c_nationkey) AS nations FROM customer GROUP BY 1 HAVING count(*) > 1""")
