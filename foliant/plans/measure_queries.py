@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
-from ..operators import extract, graph, measure, ranking
+from ..operators import extract, graph, lineage, measure, ranking
 from ..sources.tables import table
 from .catalog_queries import LINE
 from .register import registry
@@ -177,3 +177,13 @@ a AS (SELECT node, 0 AS level FROM l0 UNION ALL SELECT node, 1 FROM l1 UNION ALL
 def lineage_khop(spark: SparkSession, d: str) -> DataFrame:
     seeds = table(spark, d, "orders").where("o_totalprice > 495000").select(F.col("o_orderkey").alias("node"))
     return graph.lineage(_refs(spark, d), seeds, 2)
+
+
+@query()
+def lineage_selection(spark: SparkSession, d: str) -> DataFrame:
+    """At most thirty prior and derivative works of each seed, by levels in turns, with the paths to them."""
+    refs = _refs(spark, d)
+    edges = refs.select(F.col("cited").alias("source"), F.col("citing").alias("target"))
+    counts = edges.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("cited"))
+    nodes = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct().join(counts, "node", "left")
+    return lineage.explored(edges, nodes, _seeds(spark, d, "root"))

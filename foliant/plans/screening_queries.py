@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.plain import plain_sql, plain_text
-from ..operators import concepts, media, screening
+from ..operators import concepts, matching, media, screening
 from ..sources.tables import spread, table
 from .register import registry
 
@@ -182,3 +182,18 @@ def abstract_expansion(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.join(stars, "doc_id", "left")
     found = concepts.expanded(rows, "doc_id", "title", "abstract", F.coalesce("star", F.lit(False)), rows.where("lang = 'de' AND star IS NULL").select("doc_id"))
     return found.select("doc_id", "place", "score", "seed", *(F.array_join(c, ",").alias(c) for c in ("added", "anchors", "context")), "support")
+
+
+VENUES = ("ISSCC", "VLSI-Circuits", "JSSC", "CICC", "vlsi-tech")
+SAID = ("ISSCC", "VLSI", "JSSC", "cicc", "VLSI")
+CHANGES = ("", "s", " Revisited", "", " With a Longer Name of Its Own", "")
+
+
+@query()
+def staged_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Records (titles as somebody else wrote them, some a year off) matched to papers by year, venue and title, exact ones first."""
+    rows = papers(spark, d).select("doc_id", "title", (2018 + F.col("doc_id") % 5).cast("int").alias("year"))
+    held = rows.select(F.col("doc_id").alias("paper"), "title", "year", _pick(VENUES).alias("venue"))
+    written = F.regexp_replace(F.concat("title", _pick(CHANGES)), "^A ", "The ")
+    records = rows.select(F.col("doc_id").alias("record"), written.alias("title"), F.when(F.col("doc_id") % 7 == 3, F.col("year") + 1).otherwise(F.col("year")).alias("year"), _pick(SAID).alias("venue"))
+    return matching.staged(records, held, {"VLSI": ["VLSI-CIRCUITS", "VLSI-TECH"], "ISSCC": ["ISSCC", "JSSC"]})
