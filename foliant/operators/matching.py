@@ -54,7 +54,7 @@ def _near(wanted: DataFrame, kept: DataFrame, floor: float) -> DataFrame:
 
 
 def staged(
-    records: DataFrame, papers: DataFrame, aliases: Mapping[str, Sequence[str]], threshold: float = 0.94, margin: float = 0.025, slack: int = 1, floor: float = 0.8,
+    records: DataFrame, papers: DataFrame, aliases: Mapping[str, Sequence[str]], threshold: float = 0.94, margin: float = 0.025, slack: int = 1, floor: float = 0.9,
 ) -> DataFrame:
     """Rows ``record, paper, method, score, margin``, one per row of ``records(record, title, year, venue)``, against ``papers(paper, ...)`` alike.
 
