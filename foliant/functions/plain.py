@@ -18,6 +18,27 @@ STEPS = (
 )
 
 
+def compatible(text: Column) -> Column:
+    """A text's compatibility form (NFKC) with character references decoded, nothing else; null for null."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return _decoded(texts)
+
+    return run(text)
+
+
+def _decoded(texts: pa.Array) -> pa.Array:
+    import html
+
+    import pyarrow.compute as pc
+
+    named = pc.fill_null(pc.match_substring(texts, "&"), False)
+    if pc.any(named).as_py():
+        texts = pc.replace_with_mask(texts, named, pa.array([html.unescape(t) for t in texts.filter(named).to_pylist()], texts.type))
+    return pc.utf8_normalize(texts, "NFKC")
+
+
 def plain_text(text: Column) -> Column:
     """A text in compatibility form (NFKC) with character references decoded, without tags, TeX commands and braces, dashes as
     hyphens, words parted by one space; empty for null.
@@ -27,15 +48,9 @@ def plain_text(text: Column) -> Column:
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        import html
-
         import pyarrow.compute as pc
 
-        out = pc.fill_null(texts, "").cast(pa.string())
-        named = pc.match_substring(out, "&")
-        if pc.any(named).as_py():
-            out = pc.replace_with_mask(out, named, pa.array([html.unescape(t) for t in out.filter(named).to_pylist()], pa.string()))
-        out = pc.utf8_normalize(out, "NFKC")
+        out = _decoded(pc.fill_null(texts, "").cast(pa.string()))
         for pattern, new in STEPS:
             out = pc.replace_substring_regex(out, pattern, new)
         return pc.utf8_trim(out, " ")

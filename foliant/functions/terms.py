@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .plain import compatible
+
+# Dashes, and what a word of a title and of a graph is.
 DASHES = "[\u2010-\u2015\u2212]"
 TITLE_WORD = "[A-Za-z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)*"
 GRAPH_WORD = "[a-z][a-z0-9]*|[\uac00-\ud7a3]{2,}"
@@ -17,6 +20,13 @@ STOP = (
     "novel high low performance design analysis study approach method system systems model models paper review under over between as we "
     "propose proposed present presented results result effect effects case characterization fabrication implementation application "
     "applications improved improving efficient publisher author correction editorial erratum per").split()
+# What says nothing in a graph of papers besides; units are among it.
+GRAPH_STOP = STOP + (
+    "all seasons part comments demonstrates demonstrate achieves achieved measured measurement measurements experimental experiments experiment "
+    "first second third also can has have been was were which such than through each used use uses both shown show shows respectively compared "
+    "conventional previous prior work works technique techniques et al fig figure table well total maximum minimum wide small large various different "
+    "development developed includes include including provides provide two three four five one recent existing article "
+    "gbps gb gbits mbps mhz ghz khz nm db ps fs ns uw mw pj fj ms us").split()
 # Generic terms that identify no subject.
 GENERIC = "cmos power bit circuit circuits integrated frequency voltage data digital analog nm ghz mhz khz db gbps".split()
 # Spellings of one concept. The orders of modulation stay apart.
@@ -52,15 +62,15 @@ def title_terms(title: Column) -> Column:
     return _without(F.filter(found, lambda w: F.length(w) >= 3), STOP)
 
 
-def graph_terms(text: Column, stop: Sequence[str] = STOP) -> Column:
+def graph_terms(text: Column, stop: Sequence[str] = GRAPH_STOP) -> Column:
     """Different words of three signs or more, Hangul too, hyphens parting words; stop words out."""
     found = F.regexp_extract_all(F.lower(text), F.lit(GRAPH_WORD), F.lit(0))
     return _without(F.filter(found, lambda w: F.length(w) >= 3), stop)
 
 
 def technical_text(title: Column) -> Column:
-    """Lower case, dashes folded, every spelling of a concept replaced by its short name."""
-    text = F.regexp_replace(F.lower(title), DASHES, "-")
+    """Compatibility form in lower case, dashes folded, every spelling of a concept replaced by its short name."""
+    text = F.regexp_replace(F.lower(compatible(title)), DASHES, "-")
     for name, spellings in CONCEPTS.items():
         text = F.regexp_replace(text, rf"\b(?:{spellings})\b", name)
     return text

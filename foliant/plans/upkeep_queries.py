@@ -32,9 +32,11 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     return ingest.upsert(_old(spark, d), _new(spark, d), "k", replace=["title"], keep=["doi"], most=["pdf"])
 
 
-@query(f"SELECT k FROM ({_OLD_SQL}) WHERE k NOT IN (SELECT k FROM ({_NEW_SQL}))")
+@query("SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def prune_missing(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.missing(_new(spark, d), _old(spark, d), "k")
+    """Customers of the catalogue that a run, the large orders, no longer has."""
+    new = table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("k"))
+    return ingest.missing(new, table(spark, d, "customer").select(F.col("c_custkey").alias("k")), "k")
 
 
 @query("""WITH m AS (SELECT o_custkey, date_trunc('month', o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1, 2),

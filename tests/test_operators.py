@@ -306,6 +306,13 @@ def test_terms_keep_modulation_orders_apart(spark):
     assert got[1] == [None, None, None] and got[2] == [[], [], []]
 
 
+def test_graph_and_technical_terms(spark):
+    df = spark.createDataFrame([("Two measurement techniques shown in a figure: 5 gbps equalizer\uac00\ub098",), (None,)], "x string")
+    assert [r[0] for r in df.select(terms.graph_terms(F.col("x"))).collect()] == [["equalizer"], None]
+    wide = spark.createDataFrame([("\uff30\uff21\uff2d\uff14 &amp; Receiver",)], "x string")
+    assert sorted(wide.select(terms.technical_terms(F.col("x"))).first()[0]) == ["pam4", "receiver"]
+
+
 def test_names_of_authors(spark):
     df = spark.createDataFrame([("Kim, A. B. Lee, and C. Park",), ("Park, A.;\nSmith",), ("",), (None,)], "a string")
     got = [r[0] for r in df.select(terms.surnames(F.col("a"))).collect()]
