@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import excerpts as X
-from ..operators import reference_titles
+from ..operators import reference_lists, reference_titles
 from ..sources.tables import table
 from .register import registry
 from .screening_queries import PAPERS_SQL, papers
@@ -61,3 +61,44 @@ def chunk_excerpts(spark: SparkSession, d: str) -> DataFrame:
     """Excerpts of whole documents for a few questions, within a budget."""
     pages = papers(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("paper"), F.lit(1).alias("page"), "title", "text")
     return X.excerpts(pages, spark.createDataFrame(QUESTIONS, "question int, text string"), 12, 9000).drop("page")
+
+
+_READING = "struct<title:string,journal:string,author:string,year:int,doi:string,warnings:array<string>>"
+
+
+def _reading(title: str = "NULL", journal: str = "NULL", author: str = "NULL", year: str = "NULL", doi: str = "NULL", said: str = "array()") -> str:
+    return f"CAST(named_struct('title', {title}, 'journal', {journal}, 'author', {author}, 'year', {year}, 'doi', {doi}, 'warnings', {said}) AS {_READING})"
+
+
+#: Kinds of entries: text, what rules, the sequence model and a check read, and what the vote must give (title, journal, author, year, doi, check, warnings, url).
+_KINDS = (
+    ("concat('K. Kim, “', p_name, ',” JSSC, 2018.')", _reading("p_name", author="'Kim'", year="2018", doi="'10.1109/1'"), _reading("concat(p_name, 'x')", "'JSSC'", "'Kim'", "2018", "'10.1109/2'"), "NULL", ("p_name", "'JSSC'", "'Kim'", "2018", "'10.1109/1'", "false", "''", "NULL")),
+    ("concat('K. Kim, ', p_name, ', JSSC, 2018.')", _reading(author="'Kim'", year="2018"), _reading("p_name", "'JSSC'", "'Lee'", "2017"), _reading("p_name", "'JSSC'", "'Kim'", "2018", said="array('checked')"), ("p_name", "'JSSC'", "'Kim'", "2018", "NULL", "true", "'unquoted_or_missing_title,author_disagreement,year_disagreement,checked'", "NULL")),
+    ("'K. Kim et al., ISSCC, pp. 12-13, 2018.'", _reading(author="'Kim'", year="2018"), _reading(journal="'ISSCC'", author="'Kim'", year="2018"), "NULL", ("NULL", "'ISSCC'", "'Kim'", "2018", "NULL", "false", "'unquoted_or_missing_title,title_absent_in_short_reference'", "NULL")),
+    ("concat('https://example.org/', p_partkey, '.')", _reading(), _reading("'T'", "'J'", "'A'", "1"), "NULL", ("NULL", "NULL", "NULL", "NULL", "NULL", "false", "''", "concat('https://example.org/', p_partkey)")),
+    ("concat('Roadmap Report ', p_partkey, ', 2018.')", _reading(year="2018"), _reading("'Roadmap'", "'Roadmap'", "'Report'", "2018"), "NULL", ("NULL", "'Roadmap'", "NULL", "2018", "NULL", "true", "'unquoted_or_missing_title,author_disagreement,title_equals_venue_rejected'", "NULL")),
+    ("concat('A. ', p_name, ', ', p_type, ', 2019')", _reading(author="'A'", year="2019", said="array('title_not_in_source')"), _reading("p_name", "p_type", "p_name", "2019"), "NULL", ("p_name", "p_type", "'A'", "2019", "NULL", "true", "'unquoted_or_missing_title,author_disagreement'", "NULL")),
+)
+_VOTED = ("title VARCHAR", "journal VARCHAR", "author VARCHAR", "year INT", "doi VARCHAR", "needs_check BOOLEAN", "warnings VARCHAR", "url VARCHAR")
+
+
+def _kind(texts: list[str]) -> str:
+    return f"CASE p_partkey % {len(texts)} " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(texts)) + " END"
+
+
+@query("SELECT p_partkey, " + ", ".join(f"({_kind([k[4][i] for k in _KINDS])})::{c.split()[1]} AS {c.split()[0]}" for i, c in enumerate(_VOTED)) + " FROM part")
+def reference_votes(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of references that several readings give, voted on."""
+    columns = [f"{_kind([k[i] for k in _KINDS])} AS {n}" for i, n in ((0, "raw"), (1, "rules"), (2, "crf"), (3, "checked"))]
+    rows = table(spark, d, "part").selectExpr("p_size AS paper", "p_partkey AS number", *columns)
+    return reference_lists.consensus(rows).select(F.col("number").alias("p_partkey"), *reference_lists.FIELDS, "needs_check", F.array_join("warnings", ",").alias("warnings"), "url")
+
+
+@query()
+def reference_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Which second readings of passages may stand in for the first (texts are compared by ratio, so no SQL)."""
+    b = table(spark, d, "benchmark").select((F.col("item_id") % 10).alias("paper"), F.col("item_id").alias("number"), "text")
+    first = b.select("paper", "number", F.col("text").alias("raw"), (F.col("number") % 5 == 0).alias("ocr_review"), (F.col("number") % 3 == 0).alias("native"))
+    slip = F.when(F.col("number") % 4 == 1, F.reverse("text")).when(F.col("number") % 4 == 2, F.concat(F.lit("�"), "text")).otherwise(F.regexp_replace("text", "ing", "lng"))
+    second = b.select("paper", "number", slip.alias("raw"), (F.col("number") % 7 == 0).alias("ocr_review"))
+    return reference_lists.aligned(first, second)
