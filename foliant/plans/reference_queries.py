@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import excerpts as X
-from ..operators import reference_lists, reference_titles
+from ..operators import reference_lists, reference_titles, supplement
 from ..sources.tables import table
 from .register import registry
 from .screening_queries import PAPERS_SQL, papers
@@ -102,3 +102,17 @@ def reference_alignment(spark: SparkSession, d: str) -> DataFrame:
     slip = F.when(F.col("number") % 4 == 1, F.reverse("text")).when(F.col("number") % 4 == 2, F.concat(F.lit("�"), "text")).otherwise(F.regexp_replace("text", "ing", "lng"))
     second = b.select("paper", "number", slip.alias("raw"), (F.col("number") % 7 == 0).alias("ocr_review"))
     return reference_lists.aligned(first, second)
+
+
+@query("""WITH e AS (SELECT o_orderkey AS paper, l_linenumber AS number, l_partkey, l_suppkey, l_quantity, l_returnflag FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+m AS (SELECT paper, number, CASE WHEN l_returnflag = 'A' THEN 'registry' ELSE 'file' END AS stage, min(l_partkey) AS work FROM e GROUP BY ALL),
+f AS (SELECT paper, CASE WHEN bool_or(stage = 'registry') THEN 'registry' ELSE 'file' END AS stage FROM m GROUP BY paper),
+r AS (SELECT m.*, row_number() OVER (PARTITION BY paper, work ORDER BY number) AS n FROM m JOIN f USING (paper, stage)) SELECT paper, number::INT AS number, stage, work, 'doi' AS how FROM r WHERE n = 1""")
+def reference_supplement(spark: SparkSession, d: str) -> DataFrame:
+    """References of orders (their parts) from a registry, or from files where the registry has none."""
+    entries = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("number"), (F.col("l_returnflag") == "A").alias("registry")).agg(F.min("l_partkey").alias("part"))
+    entries = entries.withColumn("doi", F.concat(F.lit("HTTPS://doi.org/10.1109/P"), F.col("part").cast("string"))).withColumns({c: F.lit(None).cast("string") for c in ("title", "author")}).withColumn("year", F.lit(None).cast("int"))
+    works = table(spark, d, "part").select((F.col("p_partkey")).alias("work"), F.concat(F.lit("10.1109/p"), F.col("p_partkey").cast("string")).alias("doi"), F.col("p_name").alias("title"), F.lit("Kim").alias("author"), F.lit(2018).alias("year"))
+    papers_ = table(spark, d, "orders").select(F.col("o_orderkey").alias("paper"), F.lit(None).cast("string").alias("doi"))
+    found = supplement.supplemented(papers_, works.withColumn("work", F.col("work") + 1_000_000_000), [("registry", entries.where("registry")), ("file", entries.where("NOT registry"))])
+    return found.withColumn("work", F.col("work") - 1_000_000_000)
