@@ -162,7 +162,7 @@ CASE WHEN turn = 5 THEN 'figure' ELSE {_SOURCE} END AS source, CASE WHEN turn >
 CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN 'rejected' END AS review, CASE WHEN turn <> 3 THEN (turn % 3) / 2.0 END AS confidence, text || CASE WHEN conv_id % 3 = 0 THEN '  The LINK runs at 112 Gb/s from a supply of 0.9 V' ELSE '' END AS text"""
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT measurement, id, field, source, coalesce(locator, '') AS place, abstract, coalesce(confidence, 0) AS sure, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text FROM (SELECT {_STATED} FROM conversations) WHERE review IS NULL),
+@query(f"""WITH RECURSIVE e AS (SELECT measurement, id, field, source, coalesce(locator, '') AS place, abstract, coalesce(confidence, 0) AS sure, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text FROM (SELECT {_STATED} FROM conversations) WHERE review IS NULL),
 own AS (SELECT e.* FROM e JOIN (SELECT DISTINCT conv_id, {_SOURCE} AS s FROM conversations) c ON e.measurement = c.conv_id AND e.source = c.s),
 met AS (SELECT p.measurement, p.id AS p, r.id AS r, p.sure, p.text AS a, r.text AS b FROM own p JOIN own r ON p.measurement = r.measurement AND p.place = r.place AND p.abstract IS NOT DISTINCT FROM r.abstract WHERE p.field = 'power_mw' AND r.field = 'reported_rate_gbps'),
 walk AS (SELECT p, r, 0 AS n FROM met UNION ALL SELECT w.p, w.r, w.n + 1 FROM walk w JOIN met USING (p, r) WHERE len(list_filter(range(1, length(a) - n + 1), lambda i: contains(b, substr(a, i::INT, n + 1)))) > 0),
@@ -171,12 +171,13 @@ best AS (SELECT measurement, p, r, n, row_number() OVER (PARTITION BY measuremen
 has AS (SELECT measurement, bool_or(field = 'power_mw') AS hp, bool_or(field = 'reported_rate_gbps') AS hr FROM own GROUP BY 1),
 o AS (SELECT c.conv_id AS measurement, CASE WHEN NOT coalesce(hp, false) THEN 'missing_power_evidence' WHEN NOT coalesce(hr, false) THEN 'missing_rate_evidence' WHEN n IS NULL THEN 'cross_source_or_locator'
 WHEN s = 'abstract' AND n < 40 THEN 'abstract_context_not_shared' ELSE 'same_source_locator' END AS reason, n AS shared, p AS power_id, r AS rate_id FROM (SELECT DISTINCT conv_id, {_SOURCE} AS s FROM conversations) c LEFT JOIN has ON has.measurement = c.conv_id LEFT JOIN best ON best.measurement = c.conv_id AND k = 1)
-SELECT measurement, reason = 'same_source_locator' AS eligible, reason, shared, power_id, rate_id FROM o""".replace("AS STRING", "AS VARCHAR"))
+SELECT measurement, reason = 'same_source_locator' AS eligible, reason, shared::DOUBLE AS shared, power_id::DOUBLE AS power_id, rate_id::DOUBLE AS rate_id FROM o""".replace("AS STRING", "AS VARCHAR"))
 def evidence_pairing(spark: SparkSession, d: str) -> DataFrame:
     """The statements of a power and a rate, made in one place, that share the longest run of signs."""
     convs = table(spark, d, "conversations")
     measurements = convs.selectExpr("conv_id AS measurement", f"{_SOURCE} AS source").distinct()
-    return evidence.pairs(measurements, convs.selectExpr(*_split(_STATED)), ["power_mw"], evidence.RATE_FIELDS["reported_rate_gbps"])
+    found = evidence.pairs(measurements, convs.selectExpr(*_split(_STATED)), ["power_mw"], evidence.RATE_FIELDS["reported_rate_gbps"])
+    return found.withColumns({c: F.col(c).cast("double") for c in ("shared", "power_id", "rate_id")})
 
 
 @query("""SELECT c_mktsegment, count(*) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS negative, count(DISTINCT c_nationkey) AS nations FROM customer GROUP BY 1 HAVING count(*) > 1""")

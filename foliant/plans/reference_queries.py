@@ -79,7 +79,7 @@ _KINDS = (
     ("concat('Roadmap Report ', p_partkey, ', 2018.')", _reading(year="2018"), _reading("'Roadmap'", "'Roadmap'", "'Report'", "2018"), "NULL", ("NULL", "'Roadmap'", "NULL", "2018", "NULL", "true", "'unquoted_or_missing_title,author_disagreement,title_equals_venue_rejected'", "NULL")),
     ("concat('A. ', p_name, ', ', p_type, ', 2019')", _reading(author="'A'", year="2019", said="array('title_not_in_source')"), _reading("p_name", "p_type", "p_name", "2019"), "NULL", ("p_name", "p_type", "'A'", "2019", "NULL", "true", "'unquoted_or_missing_title,author_disagreement'", "NULL")),
 )
-_VOTED = ("title VARCHAR", "journal VARCHAR", "author VARCHAR", "year INT", "doi VARCHAR", "needs_check BOOLEAN", "warnings VARCHAR", "url VARCHAR")
+_VOTED = ("title VARCHAR", "journal VARCHAR", "author VARCHAR", "year DOUBLE", "doi VARCHAR", "needs_check BOOLEAN", "warnings VARCHAR", "url VARCHAR")
 
 
 def _kind(texts: list[str]) -> str:
@@ -91,7 +91,7 @@ def reference_votes(spark: SparkSession, d: str) -> DataFrame:
     """Fields of references that several readings give, voted on."""
     columns = [f"{_kind([k[i] for k in _KINDS])} AS {n}" for i, n in ((0, "raw"), (1, "rules"), (2, "crf"), (3, "checked"))]
     rows = table(spark, d, "part").selectExpr("p_size AS paper", "p_partkey AS number", *columns)
-    return reference_lists.consensus(rows).select(F.col("number").alias("p_partkey"), *reference_lists.FIELDS, "needs_check", F.array_join("warnings", ",").alias("warnings"), "url")
+    return reference_lists.consensus(rows).select(F.col("number").alias("p_partkey"), *reference_lists.FIELDS, "needs_check", F.array_join("warnings", ",").alias("warnings"), "url").withColumn("year", F.col("year").cast("double"))
 
 
 @query()
