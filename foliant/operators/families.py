@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.plain import plain_text
+from ..functions.terms import article_free_key, surnames, technical_terms
+from .matching import key_similarity
+
 
 def agree(a: Column, b: Column, relative: float, absolute: float = 0.0) -> Column:
     """match, conflict or missing: two figures agree within an absolute or a relative gap of the larger one."""
@@ -104,3 +108,64 @@ def own_figures(markup: Column) -> Column:
     head, own = F.get(rows, F.lit(0)), F.get(rows, at["r"])
     across = F.transform(F.slice(head, 2, F.greatest(F.size(head) - 1, F.lit(0))), lambda h, i: figure(h, F.get(own, i + 1)))
     return F.struct(status.alias("status"), F.when(status == "ok", F.when(at["r"] == 0, down).otherwise(across)).alias("figures"))
+
+
+# Weights of a pair's score and the gates of strict and doubtful pairs.
+SCORE = (("similarity", 0.55), ("authors", 0.15), ("author_jaccard", 0.12), ("token_jaccard", 0.12), ("first_author", 0.06))
+CONFLICT_COST, LEAST_SHARED, LEAST_TOKENS, LATEST = 0.20, 2, 0.25, 3
+ELIGIBLE = ("auto_grouped", "approved")
+
+
+def family_title(title: Column, session_numbers: Column) -> Column:
+    """The key of a title with words and numbers parted (112Gb/s is 112 Gb/s); where ``session_numbers`` holds, "6.1 A ..." loses its number."""
+    text = plain_text(title)
+    text = F.when(session_numbers, F.regexp_replace(text, r"(?i)^\s*\d+(?:\.\d+)?\s+(?=(?:a|an)\b)", "")).otherwise(text)
+    return article_free_key(F.regexp_replace(F.regexp_replace(text, r"(?<=\d)(?=[A-Za-zµμ])", " "), r"(?<=[A-Za-z])(?=\d)", " "))
+
+
+def scored_pairs(papers: DataFrame, venues: dict[str, Sequence[str]], verdicts: Callable[[Column, Column], dict[str, Column]] | None = None) -> DataFrame:
+    """Pairs of a conference paper and a later journal paper that may be one implementation: ``conference, journal, year_gap, similarity,
+    token_jaccard, shared_authors, author_jaccard, first_author, exact_title, matches, conflicts, score, strict``.
+
+    ``papers(id, title, authors, year, venue, ...)``; ``venues`` says which journals a conference's papers go to; ``verdicts`` compares the
+    technical figures of two papers, given as structs of all columns. Pairs lie 0 to 3 years apart, share two surnames and a quarter of their
+    technical terms. Strict ones have no conflict, the first author or most authors in common, and the same title or a close one with a technical
+    match; others stay for review if they are near. Papers meet on pairs of surnames within their venues, so a frequent surname alone is no key. Null years, venues
+    and authors pair with nothing.
+    """
+    spark = papers.sparkSession
+    allowed = spark.createDataFrame([(c, j) for c, js in venues.items() for j in js], "conference_venue string, journal_venue string")
+    rows = papers.select(F.struct("*").alias("p")).select(
+        F.col("p.id").alias("id"), F.col("p.year").cast("int").alias("year"), F.col("p.venue").alias("venue"), family_title(F.col("p.title"), F.col("p.venue").isin(list(venues))).alias("key"),
+        F.array_distinct(surnames(F.col("p.authors"))).alias("names"), F.array_distinct(technical_terms(F.col("p.title"))).alias("terms"), "p")
+    rows = rows.withColumn("lead", F.get("names", F.lit(0))).where("year IS NOT NULL AND venue IS NOT NULL AND size(names) > 1")
+    ordered = F.array_sort("names")
+    two = F.flatten(F.transform(F.sequence(F.lit(1), F.size("names") - 1), lambda i: F.transform(F.slice(ordered, i + 1, F.size("names")), lambda b: F.concat_ws("|", F.element_at(ordered, i), b))))
+    keyed = rows.select("id", "year", "venue", F.explode(F.array_distinct(two)).alias("two"))
+    side = lambda df, name: df.select(*(F.col(c).alias(f"{name}_{c}") for c in df.columns))
+    a = side(keyed, "conference").join(F.broadcast(allowed), "conference_venue").withColumnRenamed("conference_two", "two")
+    b = side(keyed, "journal").withColumnRenamed("journal_two", "two")
+    gap = F.col("journal_year") - F.col("conference_year")
+    met = a.join(b, ["journal_venue", "two"]).where(gap.between(0, LATEST)).select("conference_id", "journal_id").distinct()
+    both = met.join(side(rows, "conference"), "conference_id").join(side(rows, "journal"), "journal_id")
+    l, r = (lambda c: F.col(f"conference_{c}")), (lambda c: F.col(f"journal_{c}"))
+    share = lambda c: F.size(F.array_intersect(l(c), r(c)))
+    jaccard = lambda c: share(c) / F.greatest(F.lit(1), F.size(F.array_union(l(c), r(c))))
+    figures = fingerprint(verdicts(l("p"), r("p"))) if verdicts else F.struct(F.array().cast("array<string>").alias("matches"), F.array().cast("array<string>").alias("conflicts"))
+    pairs = both.where((share("names") >= LEAST_SHARED) & (jaccard("terms") >= LEAST_TOKENS)).select(
+        l("id").alias("conference"), r("id").alias("journal"), (r("year") - l("year")).alias("year_gap"), key_similarity(l("key"), r("key")).alias("similarity"), jaccard("terms").alias("token_jaccard"),
+        share("names").alias("shared_authors"), jaccard("names").alias("author_jaccard"), (l("lead") == r("lead")).alias("first_author"), ((l("key") == r("key")) & (l("key") != "")).alias("exact_title"), figures.alias("f"))
+    pairs = pairs.select("*", "f.*").drop("f")
+    known = F.col("first_author") | ((F.col("shared_authors") >= 4) & (F.col("author_jaccard") >= 0.60))
+    near = (F.col("year_gap") <= 2) & (F.col("similarity") >= 0.82) & (F.col("token_jaccard") >= 0.60) & ((F.size("matches") > 0) | (F.col("similarity") >= 0.93))
+    strict = (F.size("conflicts") == 0) & known & (F.col("exact_title") | near)
+    review = known & (F.col("similarity") >= 0.65) & (F.col("token_jaccard") >= 0.40)
+    value = {"authors": F.least(F.lit(1.0), F.col("shared_authors") / 3), "first_author": F.col("first_author").cast("int")}
+    score = sum((weight * value.get(n, F.col(n)) for n, weight in SCORE), F.lit(0.0)) - F.when(F.size("conflicts") > 0, CONFLICT_COST).otherwise(0.0)
+    return pairs.withColumn("strict", strict).where(F.col("strict") | review).withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 9))
+
+
+def selected(candidates: DataFrame, ident: str, conference: str, status: str, score: str, eligible: Sequence[str] = ELIGIBLE) -> DataFrame:
+    """Eligible ``candidates`` with ``selected``: one family a conference paper, approved ones first, then by score and id; the others conflict with it."""
+    order = F.row_number().over(Window.partitionBy(conference).orderBy((F.col(status) != "approved").cast("int"), F.coalesce(score, F.lit(0.0)).desc(), ident))
+    return candidates.where(F.col(status).isin(list(eligible))).withColumn("selected", order == 1)

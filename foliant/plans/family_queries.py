@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import families as fam
 from ..sources.tables import table
+from . import screening_queries
 from .register import registry
 
 QUERIES, ORACLES, query = registry()
@@ -72,3 +73,31 @@ def own_table_figures(spark: SparkSession, d: str) -> DataFrame:
     """The figures of a comparison table's own row or column. The SQL writes what the tables were made from."""
     rows = table(spark, d, "part").select("p_partkey", fam.own_figures(F.expr(_TABLE)).alias("f"))
     return rows.select("p_partkey", "f.status", F.array_join("f.figures", " | ").alias("figures"))
+
+
+_STATUS = "CASE event_type WHEN 'click' THEN 'auto_grouped' WHEN 'view' THEN 'approved' ELSE 'rejected' END"
+
+
+@query(f"""SELECT event_id, user_id, status, value, row_number() OVER (PARTITION BY user_id ORDER BY (status <> 'approved')::INT, value DESC, event_id) = 1 AS selected
+FROM (SELECT event_id, user_id, {_STATUS} AS status, value FROM events) WHERE status IN ('auto_grouped', 'approved')""")
+def family_selection(spark: SparkSession, d: str) -> DataFrame:
+    """One family a conference paper: approved ones first, then by score."""
+    rows = table(spark, d, "events").selectExpr("event_id", "user_id", f"{_STATUS} AS status", "value")
+    return fam.selected(rows, "event_id", "user_id", "status", "value")
+
+
+NAMES = (
+    ("Kim", "Lee", "Park", "Choi", "Jung", "Kang", "Cho", "Yoon", "Jang", "Lim", "Han", "Oh", "Seo", "Shin", "Kwon", "Hwang", "Ahn", "Song", "Yoo"),
+    ("Smith", "Jones", "Brown", "Miller", "Davis", "Garcia", "Wilson", "Moore", "Taylor", "Thomas", "White", "Harris", "Clark", "Lewis", "Young", "King", "Hall"),
+    ("Chen", "Wang", "Zhang", "Liu", "Yang", "Huang", "Zhao", "Wu", "Zhou", "Xu", "Sun", "Ma", "Zhu"),
+)
+
+
+@query()
+def family_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Conference papers and the journal papers that may be the same work (titles are compared by ratio, so no SQL)."""
+    rows = screening_queries.papers(spark, d).select("doc_id", "title", F.concat_ws(", ", *(F.get(F.array(*map(F.lit, n)), (F.col("doc_id") % len(n)).cast("int")) for n in NAMES)).alias("authors"), (F.col("doc_id") % 5).cast("double").alias("node"))
+    early = rows.select(F.col("doc_id").alias("id"), F.concat(F.lit("6.1 "), "title").alias("title"), "authors", F.lit(2019).alias("year"), F.lit("ISSCC").alias("venue"), "node")
+    late = rows.select((F.col("doc_id") + 1_000_000_000).alias("id"), F.regexp_replace("title", "With", "with a").alias("title"), "authors", (2018 + F.col("doc_id") % 6).cast("int").alias("year"), F.lit("JSSC").alias("venue"), (F.col("node") + (F.col("doc_id") % 3 == 0).cast("int")).alias("node"))
+    found = fam.scored_pairs(early.unionByName(late), {"ISSCC": ["JSSC"]}, lambda a, b: {"process_nm": fam.agree(a["node"], b["node"], 0.02)})
+    return found.withColumns({c: F.array_join(c, ",") for c in ("matches", "conflicts")})
