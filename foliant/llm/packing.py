@@ -19,7 +19,7 @@ PATTERNS, ROUNDS, SEED = 40_000, 200, 5
 #: Pieces that one task ranks, about.
 RANKED = 200_000
 #: Words whose ids a Python worker remembers (about 120 bytes each).
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 
 _words: dict[bytes, bytes] = {}
 _tokenizer: list = []
