@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def weights(refs: DataFrame, seeds: DataFrame, damp: int | None = None) -> DataFrame:
+def weights(refs: DataFrame, seeds: DataFrame) -> DataFrame:
     """Bibliographic coupling and co-citation of each seed with others, from ``refs(citing, cited)`` (distinct rows).
 
     Coupling: shared references over the root of both counts. Co-citation: shared citers likewise, times n / (n + 2).
