@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
-from ..operators import ingest, measure, ranking, state
+from ..operators import ingest, measure, state
 from ..sources.tables import inventory_check, table
 from .register import registry
 
