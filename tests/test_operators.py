@@ -306,6 +306,14 @@ def test_terms_keep_modulation_orders_apart(spark):
     assert got[1] == [None, None, None] and got[2] == [[], [], []]
 
 
+def test_graph_term_counts_leave_out_title_stop_words_alone(spark, tmp_path):
+    from foliant.plans import registry
+
+    spark.createDataFrame([("the first measured figure of 5 gbps",)], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = registry.QUERIES["graph_term_counts"](spark, str(tmp_path))
+    assert values(found, "term", "n") == [("figure", 1), ("first", 1), ("gbps", 1), ("measured", 1)]
+
+
 def test_graph_and_technical_terms(spark):
     df = spark.createDataFrame([("Two measurement techniques shown in a figure: 5 gbps equalizer\uac00\ub098",), (None,)], "x string")
     assert [r[0] for r in df.select(terms.graph_terms(F.col("x"))).collect()] == [["equalizer"], None]
