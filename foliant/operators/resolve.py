@@ -20,10 +20,15 @@ def mutual_best(pairs: DataFrame, left: str, right: str, score: str, margin: flo
     return both.withColumn("mutual", F.col("left_clear") & F.col("right_clear"))
 
 
+def stays(fresh: Column, old: Column, final: tuple[str, ...] = ("manual", "approved", "rejected")) -> Column:
+    """An earlier decision if it is final, else the fresh one."""
+    return F.when(old.isin(*final), old).otherwise(fresh)
+
+
 def sticky(fresh: DataFrame, decided: DataFrame, key: list[str], final: tuple[str, ...] = ("manual", "approved", "rejected")) -> DataFrame:
     """``fresh`` decisions, but earlier final ones stay."""
     old = decided.select(*key, F.col("decision").alias("_old"))
-    return fresh.join(old, key, "left").withColumn("decision", F.when(F.col("_old").isin(*final), F.col("_old")).otherwise(F.col("decision"))).drop("_old")
+    return fresh.join(old, key, "left").withColumn("decision", stays(F.col("decision"), F.col("_old"), final)).drop("_old")
 
 
 def one_to_one(pairs: DataFrame, left: str, right: str, order: list[Column]) -> DataFrame:
@@ -33,8 +38,62 @@ def one_to_one(pairs: DataFrame, left: str, right: str, order: list[Column]) ->
     return pairs
 
 
+def _classes(rows: DataFrame, ident: str, size: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of equal (block, term) sets folded: classes ``ident`` (the smallest), ``keys, size`` and members ``ident, member``."""
+    sets = rows.groupBy(ident).agg(F.array_sort(F.collect_set(F.struct("block", "term"))).alias("keys"))
+    classes = sets.groupBy("keys").agg(F.min(ident).alias("_rep"), F.count("*").alias(size))
+    members = sets.join(classes, "keys").select(F.col("_rep").alias(ident), F.col(ident).alias("member"))
+    return classes.withColumnRenamed("_rep", ident), members
+
+
+def class_pairs(a: DataFrame, b: DataFrame, left: str, right: str, least: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Jaccard of pairs of different sets from ``a(left, block, term)`` and ``b(right, block, term)`` that share a term within a block.
+
+    Pairs ``left, right, shared, score, left_size, right_size`` are between the smallest ids of classes of equal sets; their
+    members, themselves included, come as ``left, member`` and ``right, member``. A pair is met at each shared key and kept at
+    the first one, so pairs are never shuffled to be counted.
+    """
+    (ca, ma), (cb, mb) = _classes(a, left, "left_size"), _classes(b, right, "right_size")
+    keyed = lambda c, name: c.withColumnRenamed("keys", name).withColumn("key", F.explode(name)).where("key.block IS NOT NULL AND key.term IS NOT NULL")
+    known = lambda x: F.filter(x, lambda k: k["block"].isNotNull() & k["term"].isNotNull())
+    ka, kb = keyed(ca, "_ka").withColumn("_a", known("_ka")), keyed(cb, "_kb").withColumn("_b", known("_kb"))
+    met = ka.join(kb, "key").withColumn("_both", F.array_intersect("_a", "_b")).where(F.col("_both")[0] == F.col("key"))
+    shared = F.size("_both").cast("long")
+    score = F.round(shared / (F.size("_ka") + F.size("_kb") - shared), 9)
+    pairs = met.select(left, right, shared.alias("shared"), score.alias("score"), "left_size", "right_size").where(F.col("shared") >= least)
+    return pairs, ma, mb
+
+
+def members_of(pairs: DataFrame, left_members: DataFrame, right_members: DataFrame, left: str, right: str) -> DataFrame:
+    """Pairs of classes as pairs of their members."""
+    for key, members in ((left, left_members), (right, right_members)):
+        pairs = pairs.join(members, key).drop(key).withColumnRenamed("member", key)
+    return pairs
+
+
 def token_pairs(a: DataFrame, b: DataFrame, left: str, right: str, least: int = 1) -> DataFrame:
-    """Jaccard of pairs from ``a(left, block, term)`` and ``b(right, block, term)`` that share a term within a block."""
-    na, nb = a.groupBy(left).agg(F.count("*").alias("_na")), b.groupBy(right).agg(F.count("*").alias("_nb"))
-    shared = a.join(b, ["block", "term"]).groupBy(left, right).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    return shared.join(na, left).join(nb, right).select(left, right, "shared", F.round(F.col("shared") / (F.col("_na") + F.col("_nb") - F.col("shared")), 9).alias("score"))
+    """``class_pairs`` with all members: ``left, right, shared, score``."""
+    pairs, ma, mb = class_pairs(a, b, left, right, least)
+    return members_of(pairs, ma, mb, left, right).select(left, right, "shared", "score")
+
+
+def mutual_classes(pairs: DataFrame, left: str, right: str, margin: float = 0.04) -> DataFrame:
+    """The mutual pairs of ``mutual_best`` among the members of ``class_pairs``, for a margin above 0.
+
+    A member's copy is a runner-up without a margin, so both classes of a mutual pair have one member. Each side needs its best
+    score, how many have it and the next score: sums by score, not all its candidates.
+    """
+    if margin <= 0:
+        raise ValueError("copies are told apart by a margin above 0")
+
+    def clear(one: str, other: str, size: str) -> DataFrame:
+        level = pairs.groupBy(one, "score").agg(F.sum(size).alias("_n"), F.min(F.struct(other, "shared", "left_size", "right_size")).alias("_first"))
+        w = Window.partitionBy(one).orderBy(F.desc("score"))
+        level = level.withColumn("_place", F.row_number().over(w)).where("_place <= 2")
+        top = level.groupBy(one).agg(
+            F.max(F.when(F.col("_place") == 1, F.struct("score", "_n", "_first"))).alias("t"), F.max(F.when(F.col("_place") == 2, F.col("score"))).alias("_next"))
+        alone = (F.col("t._n") == 1) & (F.col("_next").isNull() | (F.round(F.col("t.score") - F.col("_next"), 9) >= margin))
+        return top.where(alone).select(one, f"t._first.{other}", "t._first.shared", "t.score", "t._first.left_size", "t._first.right_size")
+
+    best = clear(left, right, "right_size").where("left_size = 1")
+    return best.join(clear(right, left, "left_size").where("right_size = 1").select(left, right), [left, right]).select(left, right, "shared", "score")

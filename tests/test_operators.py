@@ -102,6 +102,29 @@ def test_mutual_best_needs_a_margin(spark):
     assert values(resolve.mutual_best(df, "l", "r", "score").where("mutual"), "l", "r") == [(2, 12)]
 
 
+def test_pairs_of_classes_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(7)
+    deal = lambda start, n: [(start + i, rng.choice([1, 1, 2, None]) if i % 3 else 1, t) for i in range(n) for t in rng.sample("abcde", rng.randint(1, 3))]
+    left, right = sorted(set(deal(0, 40)), key=repr), sorted(set(deal(100, 25)), key=repr)
+    a, b = spark.createDataFrame(left, "l int, block int, term string"), spark.createDataFrame(right, "r int, block int, term string")
+    own = lambda rows, i: {r[1:] for r in rows if r[0] == i}
+    wanted = []
+    for i in sorted({r[0] for r in left}):
+        for j in sorted({r[0] for r in right}):
+            x, y = own(left, i), own(right, j)
+            if both := {k for k in x & y if k[0] is not None}:
+                wanted.append((i, j, len(both), round(len(both) / (len(x) + len(y) - len(both)), 9)))
+    pairs, left_members, right_members = resolve.class_pairs(a, b, "l", "r")
+    assert pairs.count() < len(wanted)
+    expanded = resolve.members_of(pairs, left_members, right_members, "l", "r")
+    assert values(expanded, "l", "r", "shared", "score") == sorted(wanted, key=repr)
+    for margin in (0.04, 0.2):
+        plain = resolve.mutual_best(spark.createDataFrame(wanted, "l int, r int, shared long, score double"), "l", "r", "score", margin).where("mutual")
+        assert values(resolve.mutual_classes(pairs, "l", "r", margin), "l", "r", "shared", "score") == values(plain, "l", "r", "shared", "score")
+
+
 def test_sticky_decisions_stay(spark):
     fresh = spark.createDataFrame([(1, 1, "auto"), (2, 2, "auto")], "l int, r int, decision string")
     old = spark.createDataFrame([(1, 1, "rejected"), (2, 2, "open")], "l int, r int, decision string")
