@@ -113,6 +113,7 @@ def own_figures(markup: Column) -> Column:
 # Weights of a pair's score and the gates of strict and doubtful pairs.
 SCORE = (("similarity", 0.55), ("authors", 0.15), ("author_jaccard", 0.12), ("token_jaccard", 0.12), ("first_author", 0.06))
 CONFLICT_COST, LEAST_SHARED, LEAST_TOKENS, LATEST = 0.20, 2, 0.25, 3
+MOST_SHARED, MOST_NAMES, REVIEW_SIMILARITY, REVIEW_TOKENS = 4, 0.60, 0.65, 0.40
 ELIGIBLE = ("auto_grouped", "approved")
 
 
@@ -130,8 +131,9 @@ def scored_pairs(papers: DataFrame, venues: dict[str, Sequence[str]], verdicts:
     ``papers(id, title, authors, year, venue, ...)``; ``venues`` says which journals a conference's papers go to; ``verdicts`` compares the
     technical figures of two papers, given as structs of all columns. Pairs lie 0 to 3 years apart, share two surnames and a quarter of their
     technical terms. Strict ones have no conflict, the first author or most authors in common, and the same title or a close one with a technical
-    match; others stay for review if they are near. Papers meet on pairs of surnames within their venues, so a frequent surname alone is no key. Null years, venues
-    and authors pair with nothing.
+    match; others stay for review if they are near. Papers meet on the first author and another surname (of four surnames or more also on any two)
+    within their venues, so a frequent surname alone is no key. What rules a pair out is asked where it is met, bitmaps of the terms first, so
+    pairs are never shuffled. Null years, venues and authors pair with nothing.
     """
     spark = papers.sparkSession
     allowed = spark.createDataFrame([(c, j) for c, js in venues.items() for j in js], "conference_venue string, journal_venue string")
@@ -139,27 +141,37 @@ def scored_pairs(papers: DataFrame, venues: dict[str, Sequence[str]], verdicts:
         F.col("p.id").alias("id"), F.col("p.year").cast("int").alias("year"), F.col("p.venue").alias("venue"), family_title(F.col("p.title"), F.col("p.venue").isin(list(venues))).alias("key"),
         F.array_distinct(surnames(F.col("p.authors"))).alias("names"), F.array_distinct(technical_terms(F.col("p.title"))).alias("terms"), "p")
     rows = rows.withColumn("lead", F.get("names", F.lit(0))).where("year IS NOT NULL AND venue IS NOT NULL AND size(names) > 1")
+    rows = rows.withColumn("sketch", F.aggregate(F.coalesce("terms", F.array().cast("array<string>")), F.lit(0).cast("long"), lambda s, t: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(t), F.lit(64)).cast("int"))))).withColumn("n", F.size("terms"))
+    # first author and another name in common, or, for MOST_SHARED names and more, any two names
     ordered = F.array_sort("names")
     two = F.flatten(F.transform(F.sequence(F.lit(1), F.size("names") - 1), lambda i: F.transform(F.slice(ordered, i + 1, F.size("names")), lambda b: F.concat_ws("|", F.element_at(ordered, i), b))))
-    keyed = rows.select("id", "year", "venue", F.explode(F.array_distinct(two)).alias("two"))
+    led = F.transform(F.array_remove("names", F.col("lead")), lambda b: F.concat_ws(">", "lead", b))
+    keyed = rows.withColumn("two", F.explode(F.array_distinct(F.when(F.size("names") >= MOST_SHARED, F.concat(led, two)).otherwise(led))))
     side = lambda df, name: df.select(*(F.col(c).alias(f"{name}_{c}") for c in df.columns))
-    a = side(keyed, "conference").join(F.broadcast(allowed), "conference_venue").withColumnRenamed("conference_two", "two")
-    b = side(keyed, "journal").withColumnRenamed("journal_two", "two")
-    gap = F.col("journal_year") - F.col("conference_year")
-    met = a.join(b, ["journal_venue", "two"]).where(gap.between(0, LATEST)).select("conference_id", "journal_id").distinct()
-    both = met.join(side(rows, "conference"), "conference_id").join(side(rows, "journal"), "journal_id")
+    a = side(keyed.where(F.col("venue").isin(list(venues))), "conference").join(F.broadcast(allowed), "conference_venue").withColumnRenamed("conference_two", "two")
+    b = side(keyed.where(F.col("venue").isin([j for js in venues.values() for j in js])), "journal").withColumnRenamed("journal_two", "two")
     l, r = (lambda c: F.col(f"conference_{c}")), (lambda c: F.col(f"journal_{c}"))
+    gap = r("year") - l("year")
     share = lambda c: F.size(F.array_intersect(l(c), r(c)))
     jaccard = lambda c: share(c) / F.greatest(F.lit(1), F.size(F.array_union(l(c), r(c))))
+    # each bit that one side alone has is a term that it alone has, so this bounds the shared terms
+    lone = lambda x, y: F.bit_count(x("sketch").bitwiseAND(F.bitwise_not(y("sketch"))))
+    most = F.least(l("n") - lone(l, r), r("n") - lone(r, l))
+    same = (l("key") == r("key")) & (l("key") != "")
+    met = a.join(b, (a["journal_venue"] == b["journal_venue"]) & (a["two"] == b["two"]) & gap.between(0, LATEST) & (same | (most >= REVIEW_TOKENS * (l("n") + r("n") - most)))).drop(a["journal_venue"], b["two"])
+    names = F.array_sort(F.array_intersect(l("names"), r("names")))
+    led_by = l("lead") == r("lead")
+    first = F.when(led_by, F.concat_ws(">", l("lead"), F.get(F.array_remove(names, l("lead")), F.lit(0)))).otherwise(F.concat_ws("|", F.get(names, F.lit(0)), F.get(names, F.lit(1))))
     figures = fingerprint(verdicts(l("p"), r("p"))) if verdicts else F.struct(F.array().cast("array<string>").alias("matches"), F.array().cast("array<string>").alias("conflicts"))
-    pairs = both.where((share("names") >= LEAST_SHARED) & (jaccard("terms") >= LEAST_TOKENS)).select(
-        l("id").alias("conference"), r("id").alias("journal"), (r("year") - l("year")).alias("year_gap"), key_similarity(l("key"), r("key")).alias("similarity"), jaccard("terms").alias("token_jaccard"),
-        share("names").alias("shared_authors"), jaccard("names").alias("author_jaccard"), (l("lead") == r("lead")).alias("first_author"), ((l("key") == r("key")) & (l("key") != "")).alias("exact_title"), figures.alias("f"))
+    both = met.where((F.col("two") == first) & (share("names") >= LEAST_SHARED) & (led_by | ((share("names") >= MOST_SHARED) & (jaccard("names") >= MOST_NAMES))))
+    pairs = both.where((jaccard("terms") >= REVIEW_TOKENS) | (same & (jaccard("terms") >= LEAST_TOKENS))).select(
+        l("id").alias("conference"), r("id").alias("journal"), gap.alias("year_gap"), key_similarity(l("key"), r("key"), REVIEW_SIMILARITY).alias("similarity"), jaccard("terms").alias("token_jaccard"),
+        share("names").alias("shared_authors"), jaccard("names").alias("author_jaccard"), led_by.alias("first_author"), same.alias("exact_title"), figures.alias("f"))
     pairs = pairs.select("*", "f.*").drop("f")
-    known = F.col("first_author") | ((F.col("shared_authors") >= 4) & (F.col("author_jaccard") >= 0.60))
+    known = F.col("first_author") | ((F.col("shared_authors") >= MOST_SHARED) & (F.col("author_jaccard") >= MOST_NAMES))
     near = (F.col("year_gap") <= 2) & (F.col("similarity") >= 0.82) & (F.col("token_jaccard") >= 0.60) & ((F.size("matches") > 0) | (F.col("similarity") >= 0.93))
     strict = (F.size("conflicts") == 0) & known & (F.col("exact_title") | near)
-    review = known & (F.col("similarity") >= 0.65) & (F.col("token_jaccard") >= 0.40)
+    review = known & (F.col("similarity") >= REVIEW_SIMILARITY) & (F.col("token_jaccard") >= REVIEW_TOKENS)
     value = {"authors": F.least(F.lit(1.0), F.col("shared_authors") / 3), "first_author": F.col("first_author").cast("int")}
     score = sum((weight * value.get(n, F.col(n)) for n, weight in SCORE), F.lit(0.0)) - F.when(F.size("conflicts") > 0, CONFLICT_COST).otherwise(0.0)
     return pairs.withColumn("strict", strict).where(F.col("strict") | review).withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 9))

@@ -39,3 +39,28 @@ def test_one_family_a_conference_paper(spark):
     rows = [(1, 10, "auto_grouped", 0.9), (2, 10, "approved", 0.5), (3, 10, "rejected", 1.0), (4, 11, "auto_grouped", 0.7), (5, 11, "auto_grouped", 0.7), (6, 12, None, 1.0), (7, 13, "approved", None)]
     df = spark.createDataFrame(rows, "id int, conference int, status string, score double")
     assert {(r["id"], r["selected"]) for r in families.selected(df, "id", "conference", "status", "score").collect()} == {(1, False), (2, True), (4, True), (5, False), (7, True)}
+
+
+def test_pairs_meet_once_and_are_not_shuffled(spark):
+    import random
+
+    rng = random.Random(5)
+    title = lambda: " ".join(rng.sample("adaptive equalizer transceiver optical memory coherent burst retimer".split(), 4))
+    people = lambda: ", ".join(f"X. {n}" for n in rng.sample("Kim Lee Park Choi Jung Cho".split(), rng.randint(1, 6)))
+    papers = [(i, title(), people(), 2020 + i % 3, "ISSCC" if i % 2 else "JSSC") for i in range(160)]
+    found = families.scored_pairs(spark.createDataFrame(papers, "id int, title string, authors string, year int, venue string"), {"ISSCC": ["JSSC"]})
+    got = {(r["conference"], r["journal"]): (r["token_jaccard"], r["shared_authors"]) for r in found.collect()}
+    assert len(got) == found.count() > 50
+    names = lambda p: [n[3:] for n in p[2].split(", ")]
+    near = {}
+    for a in (p for p in papers if p[4] == "ISSCC"):
+        for b in (p for p in papers if p[4] == "JSSC" and 0 <= p[3] - a[3] <= 3):
+            both, every, x, y = set(names(a)) & set(names(b)), set(names(a)) | set(names(b)), set(a[1].split()), set(b[1].split())
+            known = names(a)[0] == names(b)[0] or (len(both) >= 4 and len(both) / len(every) >= 0.6)
+            if len(both) >= 2 and known and len(x & y) / len(x | y) >= 0.4:
+                near[a[0], b[0]] = (len(x & y) / len(x | y), len(both))
+    assert got.items() <= near.items()
+    exact = {k for k, v in near.items() if papers[k[0]][1] == papers[k[1]][1]}
+    assert exact <= set(got)
+    assert any(papers[a][2].split(", ")[0] != papers[b][2].split(", ")[0] for a, b in got)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
