@@ -20,15 +20,26 @@ def title_key(title: Column) -> Column:
     return article_free_key(plain_text(title))
 
 
+def word_bits(words: Column) -> Column:
+    """A bitmap of 64 bits with one for each word's hash."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
+
+
+def most_shared(n: Column, bits: Column, m: Column, other: Column) -> Column:
+    """How many words two sets of ``n`` and ``m`` share at most: each bit that one alone has is a word that it alone has."""
+    return F.least(n - F.bit_count(bits.bitwiseAND(F.bitwise_not(other))), m - F.bit_count(other.bitwiseAND(F.bitwise_not(bits))))
+
+
 def key_similarity(a: Column, b: Column, floor: float = 0.0) -> Column:
     """0.62 of the sequence ratio of two keys and 0.38 of the Jaccard of their words; 1 for equal keys, 0 for an empty one.
 
-    Pairs that can't reach ``floor`` may get less than their score, so only what reaches it is exact.
+    Pairs that can't reach ``floor`` may get less than their score, so only what reaches it is exact. The more words two keys
+    share, the less their order must add: each pair's ratio has a floor of its own.
     """
     words = [F.array_distinct(F.split(x, " ")) for x in (a, b)]
     jaccard = F.size(F.array_intersect(*words)) / F.size(F.array_union(*words))
     able = (a != b) & (ORDER_SHARE + WORD_SHARE * jaccard >= floor)
-    ratio = sequence_ratio(F.when(able, a), F.when(able, b), max(0.0, (floor - WORD_SHARE) / ORDER_SHARE))
+    ratio = sequence_ratio(F.when(able, a), F.when(able, b), F.greatest(F.lit(0.0), (floor - WORD_SHARE * jaccard) / ORDER_SHARE))
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.when(able, ORDER_SHARE * ratio + WORD_SHARE * jaccard).otherwise(0.0))
 
 
@@ -36,7 +47,7 @@ def _near(wanted: DataFrame, kept: DataFrame, floor: float) -> DataFrame:
     """Pairs ``wanted.key, kept.key`` of a block (year, venue) whose keys may score ``floor`` or more.
 
     Such keys share a Jaccard of (floor - 0.62) / 0.38 of their words, so they meet in one of their rarest words: of n words the
-    n - ceil(share n) + 1 that the fewest kept keys have.
+    n - ceil(share n) + 1 that the fewest kept keys have. Bitmaps of the words rule most others out where they meet, before pairs are shuffled.
     """
     share = (floor - ORDER_SHARE) / WORD_SHARE
     if share <= 0:
@@ -44,13 +55,15 @@ def _near(wanted: DataFrame, kept: DataFrame, floor: float) -> DataFrame:
     often = kept.select(F.explode(F.array_distinct(F.split("key", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("often"))
 
     def rare(keys: DataFrame) -> DataFrame:
-        words = keys.withColumn("n", F.size(F.array_distinct(F.split("key", " ")))).withColumn("word", F.explode(F.array_distinct(F.split("key", " "))))
+        every = F.array_distinct(F.split("key", " "))
+        words = keys.withColumn("n", F.size(every)).withColumn("sketch", word_bits(every)).withColumn("word", F.explode(every))
         placed = words.join(often, "word", "left").withColumn("place", F.row_number().over(Window.partitionBy("year", "venue", "key").orderBy(F.coalesce("often", F.lit(0)), "word")))
-        return placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select("year", "venue", "key", "word", "n")
+        return placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select("year", "venue", "key", "word", "n", "sketch")
 
-    a, b = rare(wanted), rare(kept).withColumnsRenamed({"key": "other", "n": "m"})
-    sizes = F.least("n", "m") >= F.greatest("n", "m") * share
-    return a.join(b, ["year", "venue", "word"]).where(sizes).select("year", "venue", "key", "other").distinct()
+    a, b = rare(wanted), rare(kept).withColumnsRenamed({"key": "other", "n": "m", "sketch": "bits"})
+    most = most_shared(F.col("n"), F.col("sketch"), F.col("m"), F.col("bits"))
+    able = most >= (F.col("n") + F.col("m") - most) * share - 1e-9
+    return a.join(b, ["year", "venue", "word"]).where(able).select("year", "venue", "key", "other").distinct()
 
 
 def staged(

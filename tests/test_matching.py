@@ -78,3 +78,15 @@ def test_similarity(spark):
     df = spark.createDataFrame([("The Fast Link", "fast link"), ("", "x"), ("fast links", "fast link")], "a string, b string")
     found = [r[0] for r in df.select(matching.key_similarity(matching.title_key(F.col("a")), matching.title_key(F.col("b")))).collect()]
     assert found[:2] == [1.0, 0.0] and abs(found[2] - similarity("fast links", "fast link")) < 1e-12
+
+
+def test_words_rule_pairs_out_before_they_are_shuffled(spark):
+    rng = random.Random(9)
+    keys = [(2020, "X", " ".join(rng.sample("abcdefghij", rng.randint(3, 9)))) for _ in range(80)]
+    df = spark.createDataFrame(keys, "year int, venue string, key string").distinct()
+    met = {(r["key"], r["other"]) for r in matching._near(df, df, 0.9).collect()}
+    share = (0.9 - matching.ORDER_SHARE) / matching.WORD_SHARE
+    texts = {k for *_, k in keys}
+    jaccard = lambda x, y: len(set(x) & set(y) - {" "}) / len((set(x) | set(y)) - {" "})
+    near = {(x, y) for x in texts for y in texts if jaccard(x, y) >= share}
+    assert near <= met and len(met) <= 1.5 * len(near)
