@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterable
+from difflib import SequenceMatcher
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import CONCEPTS, DASHES, technical_terms
-from .text import near_titles, term_weights, title_identity
+from ..sources.tables import cut
+from .text import term_weights, title_identity
 
 # Concepts beside those that titles are compared by, with all their spellings.
 MORE_CONCEPTS = {
@@ -130,23 +136,91 @@ def concepts(text: Column, is_abstract: bool = False) -> Column:
     return run(text)
 
 
-def _context(title: Column, added: Column, seed_domains: Column) -> Column:
-    """Domains that a title shares with a seed when the ``added`` concepts are taken out of it."""
+EXTRA, NEAREST, EXTRA_WEIGHT, FLOOR, LEXICAL, MOST = 8, 8, 0.55, 0.18, 0.65, 1500
+#: Titles and seeds of one task's group, and seeds that are compared with its titles at a time.
+TITLES, SEEDS, AT_ONCE = 8192, 4096, 128
+#: Decimals of scores that rank; what lies below is how a sum was rounded.
+PLACES = 12
+FIELDS = tuple(DOMAINS)
 
-    @F.arrow_udf("array<string>")
-    def run(titles: pa.Array, added: pa.Array, domains: pa.Array) -> pa.Array:
-        out = []
-        for t, names, mine in zip(titles.to_pylist(), added.to_pylist(), domains.to_pylist()):
-            rest = ANY_CONCEPT.sub(lambda m, names=names: " " if NAMES[int(m.lastgroup[1:])] in names else m[0], lowered(t))
-            out.append(sorted(domains_of(rest) & set(mine)))
-        return pa.array(out, pa.list_(pa.string()))
 
-    return run(title, added, seed_domains)
+def _flags(lists: Iterable, names: tuple[str, ...], dtype: type = np.float64) -> np.ndarray:
+    """A row for each list: which of ``names`` it holds."""
+    place = {n: i for i, n in enumerate(names)}
+    out = np.zeros((len(lists), len(names)), dtype=dtype)
+    for row, items in zip(out, lists):
+        row[[place[n] for n in items]] = 1
+    return out
 
 
-EXTRA, NEAREST, EXTRA_WEIGHT, FLOOR, LEXICAL, MOST = 8, 8, 0.55, 0.18, 0.65, 1500
-#: Parts that the rows of a concept and the seeds that look for it are dealt to.
-SALTS = 16
+def _near(a: tuple, b: tuple) -> bool:
+    """What ``near_titles`` says of two identities (letters, part marks, numbers)."""
+    size, least = len(a[0]) + len(b[0]), 0.94 - 1e-9
+    if a[1:] != b[1:] or 2 * min(len(a[0]), len(b[0])) < least * size:
+        return False
+    if a[0] == b[0]:
+        return True
+    return 2 * (Counter(a[0]) & Counter(b[0])).total() >= least * size and SequenceMatcher(None, a[0], b[0], autojunk=False).ratio() >= 0.94
+
+
+def _nearest(known: dict[str, float]):
+    """Compare a block of seeds with a block of titles: each seed's NEAREST ones that may stand in its queue, whatever other blocks hold."""
+
+    def run(seeds: pd.DataFrame, titles: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {c: [] for c in ("seed", "id", "score", "added", "anchors", "context")}
+        if not len(seeds) or not len(titles):
+            return pd.DataFrame(out, dtype=object)
+        square = np.array([known.get(n, 1.0) ** 2 for n in NAMES])
+        held, fields = _flags(titles["names"], NAMES), _flags(titles["domains"], FIELDS)
+        held_length = np.sqrt(held @ square)
+        ids, length, names = titles["id"].to_numpy(), titles["length"].to_numpy(), titles["title"].to_list()
+        identities = list(zip(titles["t"], titles["part"], titles["numbers"]))
+        at = np.repeat(np.arange(len(titles)), titles["terms"].map(len))
+        codes, _ = pd.factorize(np.concatenate([*seeds["terms"], *titles["terms"], np.zeros(0, dtype=object)]))
+        own_codes, codes = codes[: len(codes) - len(at)], codes[len(codes) - len(at) :]
+        own_at = np.repeat(np.arange(len(seeds)), seeds["terms"].map(len))
+        own_weights, weights = (np.concatenate([*x["weights"], np.zeros(0)]) for x in (seeds, titles))
+        rests: dict[tuple, set[str]] = {}
+        for first in range(0, len(seeds), AT_ONCE):
+            some = seeds.iloc[first : first + AT_ONCE]
+            mine = (own_at >= first) & (own_at < first + AT_ONCE)
+            used, columns = np.unique(own_codes[mine], return_inverse=True)
+            a, b = np.zeros((len(some), len(used))), np.zeros((len(titles), len(used)))
+            a[own_at[mine] - first, columns] = own_weights[mine]
+            place = np.full(max(own_codes.max(initial=-1), codes.max(initial=-1)) + 1, -1)
+            place[used] = np.arange(len(used))
+            shared = place[codes] >= 0
+            b[at[shared], place[codes[shared]]] = weights[shared]
+            own, extra, domains = _flags(some["own"], NAMES), _flags(some["extra"], NAMES), _flags(some["seed_domains"], FIELDS)
+            asked = np.sqrt(own @ square + EXTRA_WEIGHT**2 * (extra @ square))
+            meant = ((own + EXTRA_WEIGHT * extra) * square) @ held.T
+            score = LEXICAL * (a @ b.T) / np.maximum(1e-9, some["seed_length"].to_numpy()[:, None] * length) + (1 - LEXICAL) * meant / (asked[:, None] * held_length)
+            bare = own @ held.T == 0
+            score = np.where((extra @ held.T > 0) & (~bare | (domains @ fields.T > 0)), np.round(score, PLACES), -1.0)
+            for i, s in enumerate(some.itertuples(index=False)):
+                able, more, kept, looked = np.flatnonzero(score[i] >= FLOOR), set(s.extra), 0, 0
+                identity, size = (s.t, s.part, s.numbers), 4 * NEAREST
+                while looked < len(able) and kept < NEAREST:
+                    part = able if size >= len(able) else able[score[i, able] >= np.partition(score[i, able], len(able) - size)[len(able) - size]]
+                    order = part[np.lexsort((ids[part], -score[i, part]))]
+                    for j in order[looked:]:
+                        added, context = tuple(sorted(more.intersection(titles["names"].iat[j]))), []
+                        if bare[i, j]:
+                            if (j, added) not in rests:
+                                rests[j, added] = domains_of(ANY_CONCEPT.sub(lambda m, added=added: " " if NAMES[int(m.lastgroup[1:])] in added else m[0], lowered(names[j])))
+                            context = sorted(rests[j, added].intersection(s.seed_domains))
+                        if (bare[i, j] and not context) or _near(identities[j], identity):
+                            continue
+                        anchors = sorted(set(s.own).intersection(titles["names"].iat[j]))
+                        for c, v in zip(out, (s.seed, ids[j], score[i, j], list(added), anchors, context)):
+                            out[c].append(v)
+                        kept += 1
+                        if kept == NEAREST:
+                            break
+                    looked, size = len(order), 4 * size
+        return pd.DataFrame(out, dtype=object)
+
+    return run
 
 
 def expanded(papers: DataFrame, ident: str, title: str, abstract: str, is_seed: Column, shown: DataFrame, most: int = MOST) -> DataFrame:
@@ -158,57 +232,54 @@ def expanded(papers: DataFrame, ident: str, title: str, abstract: str, is_seed:
     Each seed's NEAREST candidates are a queue; queues are drained in turns by depth, and a paper or a title comes once. Seeds, papers of ``shown(ident)``
     (what other channels gave) and titles equal or nearly equal to theirs are left out. ``evidence`` are the phrases in the abstract.
 
-    The weights of concepts, as many as there are concepts at most, go with the plan. A concept that many titles have is dealt to SALTS
-    parts by title. Candidates meet on added concepts only; title terms of pairs are compared as arrays. Null titles match nothing.
+    The weights of concepts, as many as there are concepts at most, go with the plan. Seeds and titles are dealt to blocks of bounded size, and
+    every block of seeds meets every block of titles in one task, which multiplies their terms and concepts as matrices and gives each seed's
+    NEAREST ones; the work is that of all pairs, what is shuffled is the blocks and NEAREST rows a seed and block. Null titles match nothing.
     """
     rows = papers.select(F.col(ident).alias("id"), F.col(title).alias("title"), F.col(abstract).alias("abstract"), is_seed.alias("is_seed"))
     mine = F.col("found")
-    base = rows.select("id", "title", "is_seed", concepts(F.col("title")).alias("found"), F.array_sort(technical_terms(F.col("title"))).alias("terms"))
+    cores = papers.sparkSession.sparkContext.defaultParallelism
+    base = rows.select("id", "title", "is_seed").repartition(4 * cores)
+    base = base.select("id", "title", "is_seed", concepts(F.col("title")).alias("found"), F.array_sort(technical_terms(F.col("title"))).alias("terms"))
     base = base.select("id", "title", "is_seed", F.transform(mine["concepts"], lambda c: c["name"]).alias("names"), mine["domains"].alias("domains"), F.explode_outer("terms").alias("term"))
     total = papers.count()
     weights = term_weights(base.where("term IS NOT NULL").select("term"), total).select("term", F.col("weight").alias("w"))
     base = base.join(weights, "term", "left").groupBy("id", "title", "is_seed", "names", "domains").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "w"))).alias("terms"))
     length = lambda terms: F.sqrt(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["w"] * t["w"]))
-    base = base.withColumn("length", length(F.col("terms")))
+    base = cut(base.withColumn("length", length(F.col("terms"))).withColumn("identity", title_identity(F.col("title"))))
 
     known = {r["term"]: r["weight"] for r in term_weights(base.select(F.explode("names").alias("term")), total).collect()}
-    known = F.create_map(*(F.lit(x) for kv in known.items() for x in kv)) if known else F.create_map().cast("map<string,double>")
-    squares = lambda names: F.aggregate(names, F.lit(0.0), lambda s, n: s + known[n] * known[n])
+    weight = F.create_map(*(F.lit(x) for kv in known.items() for x in kv)) if known else F.create_map().cast("map<string,double>")
 
-    seeds = base.where("is_seed").join(rows.select("id", "abstract").where("trim(abstract) <> ''"), "id")
+    seeds = base.where("is_seed").join(rows.select("id", "abstract").where("trim(abstract) <> ''"), "id").repartition(4 * cores)
     said = concepts(F.col("abstract"), is_abstract=True)["concepts"]
-    seeds = seeds.select(F.col("id").alias("seed"), F.col("title").alias("seed_title"), F.col("names").alias("own"), F.col("domains").alias("seed_domains"), F.col("terms").alias("seed_terms"), F.col("length").alias("seed_length"), F.explode(said).alias("said"))
-    seeds = seeds.select(*[c for c in seeds.columns if c != "said"], "said.name", "said.phrase", known[F.col("said.name")].alias("w")).where(F.col("w").isNotNull() & ~F.array_contains("own", F.col("name")))
+    seeds = seeds.select(F.col("id").alias("seed"), F.col("names").alias("own"), F.col("domains").alias("seed_domains"), F.col("terms").alias("seed_terms"), F.col("length").alias("seed_length"), "identity", F.explode(said).alias("said"))
+    seeds = seeds.select(*[c for c in seeds.columns if c != "said"], "said.name", "said.phrase", weight[F.col("said.name")].alias("w")).where(F.col("w").isNotNull() & ~F.array_contains("own", F.col("name")))
     order = Window.partitionBy("seed").orderBy(F.desc("w"), "name")
     seeds = seeds.withColumn("place", F.row_number().over(order)).where(F.col("place") <= EXTRA)
-    plain = ["seed", "seed_title", "own", "seed_domains", "seed_terms", "seed_length"]
-    seeds = seeds.groupBy(*plain).agg(F.collect_list(F.struct("name", "phrase", "w")).alias("extra"))
+    plain = ["seed", "own", "seed_domains", "seed_terms", "seed_length", "identity"]
+    seeds = cut(seeds.groupBy(*plain).agg(F.collect_list(F.struct("name", "phrase")).alias("extra")))
 
     used = base.where("is_seed").select("id").unionByName(shown.select(F.col(ident).alias("id"))).distinct()
-    named = rows.select("id", title_identity(F.col("title")).alias("identity"))
-    used_keys = named.join(used, "id", "left_semi").select(F.col("identity.t").alias("key")).where("key <> ''").distinct()
-    able = base.where(F.size("names") > 0).join(used, "id", "left_anti")
-    able = able.withColumn("concept_length", F.sqrt(squares(F.col("names"))))
-    posted = able.withColumn("name", F.explode("names")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    asking = seeds.withColumn("one", F.explode("extra")).withColumn("name", F.col("one.name")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("one")
-    pairs = posted.join(asking, ["name", "salt"])
-    has = lambda n: F.array_contains("names", n)
-    pairs = pairs.withColumn("added", F.array_sort(F.transform(F.filter("extra", lambda e: has(e["name"])), lambda e: e["name"]))).where(F.col("added")[0] == F.col("name"))
-    pairs = pairs.withColumn("anchors", F.array_sort(F.array_intersect("own", "names"))).where((F.size("anchors") > 0) | F.arrays_overlap("seed_domains", "domains"))
-    bare = F.size("anchors") == 0
-    context = _context(F.when(bare, F.col("title")), F.col("added"), F.col("seed_domains"))
-    pairs = pairs.withColumn("context", F.when(bare, context).otherwise(F.array().cast("array<string>"))).where((F.size("anchors") > 0) | (F.size("context") > 0))
-    weight = lambda n: F.coalesce(known[n], F.lit(1.0))
-    asked = F.aggregate("own", F.lit(0.0), lambda s, n: s + weight(n) * weight(n)) + F.aggregate("extra", F.lit(0.0), lambda s, e: s + (e["w"] * EXTRA_WEIGHT) * (e["w"] * EXTRA_WEIGHT))
-    shared = squares(F.col("anchors")) + EXTRA_WEIGHT * squares(F.col("added"))
-    both = F.aggregate(F.array_intersect("terms", "seed_terms"), F.lit(0.0), lambda s, t: s + t["w"] * t["w"])
-    score = LEXICAL * both / F.greatest(F.lit(1e-9), F.col("length") * F.col("seed_length")) + (1 - LEXICAL) * shared / (F.sqrt(asked) * F.col("concept_length"))
-    scored = pairs.withColumn("score", score).where(F.col("score") >= FLOOR)
-    keyed = scored.join(named, "id").withColumn("key", F.col("identity.t")).join(used_keys, "key", "left_anti")
-    keyed = keyed.where(~near_titles(F.col("identity"), title_identity(F.col("seed_title"))))
-    evidence = F.map_from_entries(F.transform(F.filter("extra", lambda e: F.array_contains("added", e["name"])), lambda e: F.struct(e["name"], e["phrase"])))
+    used_keys = base.select("id", F.col("identity.t").alias("key")).join(used, "id", "left_semi").select("key").where("key <> ''").distinct()
+    asked = seeds.select(F.explode("extra.name").alias("name")).agg(F.collect_set("name")).first()[0]
+    able = base.where(F.arrays_overlap("names", F.array(*map(F.lit, asked)).cast("array<string>"))).withColumn("key", F.col("identity.t"))
+    able = able.join(used, "id", "left_anti").join(used_keys, "key", "left_anti")
+    many, most_seeds = -(-able.count() // TITLES) or 1, -(-seeds.count() // SEEDS) or 1
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    posted = able.select("id", "title", "names", "domains", F.col("terms.term").alias("terms"), F.col("terms.w").alias("weights"), "length", "identity.*", dealt("id", many).alias("block"), blocks(most_seeds).alias("seed_block"))
+    asking = seeds.select(
+        "seed", "own", "seed_domains", F.col("extra.name").alias("extra"), F.col("seed_terms.term").alias("terms"), F.col("seed_terms.w").alias("weights"), "seed_length", "identity.*",
+        blocks(many).alias("block"), dealt("seed", most_seeds).alias("seed_block"))
+    kind = papers.schema[ident].dataType.simpleString()
+    wanted = f"seed {kind}, id {kind}, score double, added array<string>, anchors array<string>, context array<string>"
+    parts = (x.repartition(many * most_seeds, "block", "seed_block").groupBy("block", "seed_block") for x in (asking, posted))
+    scored = next(parts).cogroup(next(parts)).applyInPandas(_nearest(known), wanted)
     depth = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "id"))
-    queues = keyed.select("seed", "id", "key", "score", "added", "anchors", "context", evidence.alias("evidence")).withColumn("depth", depth).where(F.col("depth") <= NEAREST)
+    evidence = F.map_from_entries(F.transform(F.filter("extra", lambda e: F.array_contains("added", e["name"])), lambda e: F.struct(e["name"], e["phrase"])))
+    queues = scored.withColumn("depth", depth).where(F.col("depth") <= NEAREST).join(seeds.select("seed", "extra"), "seed").join(able.select("id", "key"), "id")
+    queues = cut(queues.select("seed", "id", "key", "score", "added", "anchors", "context", evidence.alias("evidence"), "depth"))
     best = F.max_by(F.struct("score", "seed", "added", "anchors", "context", "evidence"), F.struct("score", -F.col("seed")))
     once = queues.groupBy("id", "key").agg(F.min(F.struct("depth", "seed")).alias("turn"), best.alias("best"), F.count("*").alias("support"))
     once = once.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("turn"))).where("nth = 1")

@@ -122,3 +122,15 @@ def test_short_titles_are_near(spark):
     df = spark.createDataFrame([(1, "abcdefgh"), (2, "abcdefghi"), (3, "abcdefg"), (4, "abcdXefgh"), (5, "zzzzzzzz")], "id long, t string")
     found = {(r["a"], r["b"]) for r in T.same_titles(df, "id", "t").collect()}
     assert found == {(1, 2), (1, 4)}
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    bits = ["TIA", "VCSEL", "CDR", "charge pump", "photodiode", "DFE", "optical link", "wireline"]
+    rows = [(i, f"{bits[i % 8]} {bits[i * 3 % 7]} {bits[i % 5]} {i % 6}", f"We use {bits[i % 7]}. There is {bits[i % 4]}.", i % 7 == 0) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, title string, abstract string, seed boolean")
+    found = lambda: [tuple(r) for r in C.expanded(df, "id", "title", "abstract", F.col("seed"), df.select("id").limit(0)).orderBy("place").collect()]
+    whole = found()
+    assert len(whole) > 10
+    for name, value in (("TITLES", 9), ("SEEDS", 5), ("AT_ONCE", 2)):
+        monkeypatch.setattr(C, name, value)
+    assert found() == whole
