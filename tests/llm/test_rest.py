@@ -406,3 +406,18 @@ def test_cutoff_is_the_lowest_that_is_precise_enough():
         got = toxicity.cutoff(p, y, 0.7)
         fine = [x for x, own in zip(p, y) if own > 0 and y[p >= x].mean() >= 0.7]
         assert got == 1.1 if not fine else (p >= got).tolist() == (p >= min(fine)).tolist()
+
+
+def test_all_pages_of_a_host_decide_what_its_template_is(spark):
+    """A text that only the pages whose ids hash lowest share is no template; one that nearly all pages have is."""
+    ids = spark.range(40).withColumn("url", F.concat(F.lit("http://one.example/"), "id")).withColumn("h", F.xxhash64("id", "url"))
+    order = [(r["id"], r["url"]) for r in ids.orderBy("h").collect()]
+    body = "words of page {0} that nobody else has, number {0} of many, and some more of them for the share {0}"
+    rows = []
+    for place, (i, url) in enumerate(order):
+        line = "<p>A line of a dozen</p>" if place < 12 else ""
+        foot = "" if place == 39 else "<p>All the same</p>"
+        rows.append((i, url, f"<html><body><div class=\"x\"><div class=\"y\"><p>{body.format(i)}</p>{line}</div>{foot}</div></body></html>"))
+    found = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    for place, (i, _) in enumerate(order):
+        assert found[i] == body.format(i) + (" A line of a dozen" if place < 12 else "")
