@@ -421,3 +421,27 @@ def test_all_pages_of_a_host_decide_what_its_template_is(spark):
     found = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
     for place, (i, _) in enumerate(order):
         assert found[i] == body.format(i) + (" A line of a dozen" if place < 12 else "")
+
+
+def test_every_id_of_every_text_is_learned_from_once():
+    texts = [np.arange(n) for n in (1, 15, 16, 17, 400)]
+    for t in texts:
+        rows = attention.windows_of(t)
+        targets = rows[:, -attention.SCORED:]
+        assert targets[targets >= 0].tolist() == t.tolist()
+        for row in rows:
+            seen = row[row >= 0]
+            assert (np.diff(seen) == 1).all() and seen[0] == max(0, row[-attention.SCORED] - attention.BEFORE - 1)
+
+
+def test_training_takes_all_windows_of_all_documents(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i + k) % 9}" for k in range(700))) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    weights = []
+    monkeypatch.setattr(scoring, "_merged", lambda parts, wide, real=scoring._merged: weights.append(parts.agg(F.sum("weight")).first()[0]) or real(parts, wide))
+    path = scoring.tokenizer_path("byte_bpe_50k.tiktoken")
+    counts = np.zeros(len(scoring.encoder(path)[1]) + 1)
+    size = [len(list(texts[0])) for texts in scoring._texts_ids(iter(df.select("text").toArrow().to_batches()), path, len(counts) - 1)][0]
+    counts[-1] = len(rows)
+    scoring.trained(df, counts, path, rounds=2)
+    assert sum(weights) == len(rows) * -(-size // attention.SCORED)
