@@ -29,12 +29,14 @@ def _split(columns: str) -> list[str]:
 @query(" UNION ALL ".join(f"""SELECT l_partkey, '{n}' AS field, arg_max({c}, (CASE l_returnflag WHEN 'A' THEN 4 WHEN 'R' THEN 3 ELSE 1 END, l_shipdate, l_orderkey, {c})) AS value
 FROM lineitem WHERE {c} > {v} GROUP BY 1""" for n, c, v in (("rate", "l_quantity", 10), ("loss", "l_discount", 0), ("tax", "l_tax", 0))))
 def best_per_field(spark: SparkSession, d: str) -> DataFrame:
-    """Each field of a part from its best row with that field: rows are unpivoted, one aggregate picks."""
+    """Each field of a part from its best row with that field: one aggregate a part picks all, its row is unpivoted."""
     fields = {"rate": ("l_quantity", 10), "loss": ("l_discount", 0), "tax": ("l_tax", 0)}
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.when(F.col(c) > v, F.col(c)).alias("value")) for n, (c, v) in fields.items()]))
-    rows = table(spark, d, "lineitem").select("l_partkey", "l_returnflag", "l_shipdate", "l_orderkey", each.alias("f")).select("*", "f.*")
-    rank = [S.priority(F.col("l_returnflag"), {"A": 4, "R": 3}, 1), F.col("l_shipdate"), F.col("l_orderkey"), F.col("value")]
-    return ranking.best(rows, ["l_partkey", "field"], rank, ["value"], F.col("value").isNotNull())
+    first = [S.priority(F.col("l_returnflag"), {"A": 4, "R": 3}, 1), F.col("l_shipdate"), F.col("l_orderkey")]
+    # the value is the rank's last part, so the greatest rank holds it
+    best = [F.max(F.when(F.col(c) > v, F.struct(*(x.alias(f"_{i}") for i, x in enumerate(first)), F.col(c).alias("value")))).alias(n) for n, (c, v) in fields.items()]
+    found = table(spark, d, "lineitem").groupBy("l_partkey").agg(*best)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).isNotNull().alias("there"), F.col(f"{n}.value").alias("value")) for n in fields]))
+    return found.select("l_partkey", each.alias("f")).where("f.there").select("l_partkey", "f.field", "f.value")
 
 
 _RATES = """l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS reported, CASE WHEN l_suppkey % 3 = 0 THEN l_quantity - 10 END AS lane,

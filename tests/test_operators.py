@@ -406,3 +406,10 @@ def test_similar_titles_of_copies_equal_all_pairs(spark):
     assert values(found, "seed", "id", "hits", "score", "place") == sorted(wanted, key=repr)
     plan = found._jdf.queryExecution().analyzed().toString()
     assert "_class" in plan  # pairs are of classes, not of copies
+
+
+def test_best_per_field_shuffles_a_row_a_part_before_it_is_unpivoted(spark):
+    from foliant.plans import registry
+
+    plan = registry.QUERIES["best_per_field"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")
