@@ -85,6 +85,11 @@ PRIOR_WORK = r"(?i)\b(?:previous|prior|earlier|reported\s+in|compared\s+with)\b|
 UNITS = r"(?i)([pf]J\s*/\s*(?:bit|b)(?:\s*/\s*dB)?|Gb/s|Gbps|Gbit/s|GBaud|mW|[µμu]W|nm|dB|GHz)"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often and in whatever lambdas ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def own_figures(markup: Column) -> Column:
     """A struct ``status, figures``: the cells of the one row or column that is headed "this work", each after its label.
 
@@ -92,8 +97,11 @@ def own_figures(markup: Column) -> Column:
     several cells), ambiguous_place (neither in the first row nor in the first column). A bare number gets the label's unit
     if the label has exactly one.
     """
-    rows = table_cells(markup)
-    marks = F.flatten(F.transform(rows, lambda r, i: F.filter(F.transform(r, lambda c, j: F.when(c.rlike(THIS_WORK) & ~c.rlike(PRIOR_WORK), F.struct(i.alias("r"), j.alias("c")))), lambda x: x.isNotNull())))
+    marks = lambda rows: F.flatten(F.transform(rows, lambda r, i: F.filter(F.transform(r, lambda c, j: F.when(c.rlike(THIS_WORK) & ~c.rlike(PRIOR_WORK), F.struct(i.alias("r"), j.alias("c")))), lambda x: x.isNotNull())))
+    return _once(table_cells(markup), lambda rows: _once(marks(rows), lambda found: _own_figures(markup, rows, found)))
+
+
+def _own_figures(markup: Column, rows: Column, marks: Column) -> Column:
     at = marks[0]
     status = (
         F.when(F.coalesce(F.size(rows), F.lit(0)) < 1, "no_cells").when(markup.rlike(r"(?i)(?:row|col)span\s*=\s*[\"']?(?:[02-9]|1[0-9])"), "spans")

@@ -413,3 +413,8 @@ def test_best_per_field_shuffles_a_row_a_part_before_it_is_unpivoted(spark):
 
     plan = registry.QUERIES["best_per_field"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.index("Exchange")
+
+
+def test_a_table_is_parsed_once_for_all_its_figures(spark):
+    df = spark.createDataFrame([("<tr><td>a</td></tr>",)], "h string").select(families.own_figures(F.col("h")).alias("f"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("<tr[^>]*>") == 1
