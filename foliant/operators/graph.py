@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import bounded, stored
+
+
+#: Neighbours from which on a node's pairs are dealt to HUB_PARTS tasks, and occurrences of pairs that a task counts. They steer cost alone.
+HUB, HUB_PARTS, COUNTED = 100_000, 16, 1_000_000
+SHARED, CO, DIRECT = 0, 1, 2
+
 
 def weights(refs: DataFrame, seeds: DataFrame) -> DataFrame:
     """Bibliographic coupling and co-citation of each seed with others, from ``refs(citing, cited)`` (distinct rows).
@@ -12,17 +19,35 @@ def weights(refs: DataFrame, seeds: DataFrame) -> DataFrame:
     Coupling: shared references over the root of both counts. Co-citation: shared citers likewise, times n / (n + 2).
     Weight: 0.65 and 0.35 of these, 0.12 more for a direct citation, 1 at most. Only pairs with a seed are formed; a seed
     is compared with what shares a neighbour, never with all nodes.
+
+    A node is sent each neighbour's list of seeds, and its pairs are counted where these lists arrive: pairs, of which there
+    are far more than references, are made after the one shuffle by node. Counts come with the references and, for
+    seeds, by a join of these few. The number of tasks follows the number of occurrences, which is known before they are made.
     """
-    out = refs.groupBy(F.col("citing").alias("node")).agg(F.count("*").alias("out"))
-    inn = refs.groupBy(F.col("cited").alias("node")).agg(F.count("*").alias("inn"))
-    own = refs.join(seeds, refs.citing == seeds.seed).select("seed", "cited")
-    shared = own.join(refs, "cited").where("citing <> seed").groupBy("seed", F.col("citing").alias("node")).agg(F.count("*").alias("shared"))
-    by = refs.join(seeds, refs.cited == seeds.seed).select("seed", "citing")
-    co = by.join(refs, "citing").where("cited <> seed").groupBy("seed", F.col("cited").alias("node")).agg(F.count("*").alias("co"))
-    direct = own.select("seed", F.col("cited").alias("node")).unionByName(by.select("seed", F.col("citing").alias("node"))).distinct().withColumn("direct", F.lit(1))
-    pairs = shared.join(co, ["seed", "node"], "full_outer").join(direct, ["seed", "node"], "full_outer").where("seed <> node").fillna(0, ["shared", "co", "direct"])
-    seed_out, seed_in = out.withColumnsRenamed({"node": "seed", "out": "s_out"}), inn.withColumnsRenamed({"node": "seed", "inn": "s_inn"})
-    pairs = pairs.join(seed_out, "seed", "left").join(seed_in, "seed", "left").join(out, "node", "left").join(inn, "node", "left")
+    refs = stored(refs.select("citing", "cited"))
+    ends = refs.select(F.col("citing").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("inn")).unionByName(refs.select(F.col("cited").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("inn")))
+    counts = ends.groupBy("node").agg(F.struct(F.sum("out").alias("out"), F.sum("inn").alias("inn")).alias("n"))
+    rows = stored(refs.join(counts.withColumnsRenamed({"node": "citing", "n": "citing_n"}), "citing").join(counts.withColumnsRenamed({"node": "cited", "n": "cited_n"}), "cited"))
+    few = bounded(seeds)
+    own = stored(rows.join(few, F.col("citing") == F.col("seed")))
+    by = stored(rows.join(few, F.col("cited") == F.col("seed")))
+    made = own.agg(F.sum("cited_n.inn").alias("n")).unionByName(by.agg(F.sum("citing_n.out").alias("n"))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def sent(df: DataFrame, node: str, met: Column, kind: int) -> DataFrame:
+        n = F.col(f"{node}_n")
+        dealt = F.transform(met, lambda s: F.struct((F.pmod(F.xxhash64(s), F.lit(HUB_PARTS)) + 1).alias("part"), F.array(s).alias("met")))
+        parts = F.when(n["out"] + n["inn"] >= HUB, dealt).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("part"), met.alias("met"))))
+        return df.select(F.col(node).alias("node"), n.alias("n"), F.lit(kind).alias("kind"), F.explode(parts).alias("p")).select("node", "n", "kind", "p.*")
+
+    lists = lambda df, key: df.groupBy(key).agg(F.collect_list("seed").alias("met"))
+    every = sent(rows.join(lists(own, "cited"), "cited"), "citing", F.col("met"), SHARED).unionByName(sent(rows.join(lists(by, "citing"), "citing"), "cited", F.col("met"), CO))
+    every = every.unionByName(sent(own, "cited", F.array("seed"), DIRECT)).unionByName(sent(by, "citing", F.array("seed"), DIRECT))
+    every = every.repartition(max(1, -(-int(made) // COUNTED)), "node", "part")
+    occurrences = every.select("node", "part", "kind", F.col("n.out").alias("out"), F.col("n.inn").alias("inn"), F.explode("met").alias("seed")).where("seed <> node")
+    pairs = occurrences.groupBy("node", "part", "seed").agg(
+        F.count_if(F.col("kind") == SHARED).alias("shared"), F.count_if(F.col("kind") == CO).alias("co"), F.max((F.col("kind") == DIRECT).cast("int")).alias("direct"), F.max("out").alias("out"), F.max("inn").alias("inn"))
+    of_seeds = own.select("seed", F.col("citing_n").alias("n")).unionByName(by.select("seed", F.col("cited_n").alias("n"))).select("seed", F.col("n.out").alias("s_out"), F.col("n.inn").alias("s_inn")).distinct()
+    pairs = pairs.join(bounded(of_seeds), "seed")
     coupling = F.when(F.col("shared") > 0, F.col("shared") / F.sqrt(F.col("s_out") * F.col("out"))).otherwise(0.0)
     cocited = F.when(F.col("co") > 0, F.col("co") / F.sqrt(F.col("s_inn") * F.col("inn")) * F.col("co") / (F.col("co") + 2)).otherwise(0.0)
     weight = F.least(F.lit(1.0), 0.65 * coupling + 0.35 * cocited + 0.12 * F.col("direct"))
