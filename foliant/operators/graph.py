@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..sources.tables import bounded, stored
 
 #: Neighbours from which on a node's pairs are dealt to HUB_PARTS tasks, and occurrences of pairs that a task counts. They steer cost alone.
 HUB, HUB_PARTS, COUNTED = 100_000, 16, 1_000_000
+#: Edges that a task ranks at a time before the shuffle.
+RANKED = 1_000_000
 SHARED, CO, DIRECT = 0, 1, 2
 
 
@@ -55,11 +59,38 @@ def weights(refs: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def strongest(edges: DataFrame, n: int = 3) -> DataFrame:
-    """Edges ``a, b, weight`` among the ``n`` strongest of either end."""
-    ends = edges.select("a", "b", "weight", F.explode(F.array("a", "b")).alias("end"), F.when(F.lit(True), F.lit(0)).alias("_z")).drop("_z")
-    other = F.when(F.col("end") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-    rank = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("weight"), other))
-    return ends.withColumn("_n", rank).where(F.col("_n") <= n).select("a", "b", "weight").distinct()
+    """Edges ``a, b, weight`` (none null) among the ``n`` strongest of either end.
+
+    Tasks first leave out, block by block, what is not among the ``n`` strongest of an end within the block, so that few edges are shuffled and sorted.
+    """
+    schema = edges.select(F.col("a").alias("end"), F.col("b").alias("other"), "weight", F.lit(True).alias("first")).schema
+
+    def near(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def block(held: list) -> pa.RecordBatch:
+            a, b, w = (np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]) for c in ("a", "b", "weight"))
+            end, other, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
+            names, code = np.unique(end, return_inverse=True)
+            order = np.lexsort((other, -w, code))
+            start = np.searchsorted(code[order], np.arange(len(names)))
+            at = order[np.arange(len(order)) - start[code[order]] < n]
+            return pa.RecordBatch.from_arrays([pa.array(end[at]), pa.array(other[at]), pa.array(w[at]), pa.array(at < len(a))], names=schema.names)
+
+        held: list = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= RANKED:
+                yield block(held)
+                held = []
+        if held:
+            yield block(held)
+
+    ends = edges.select("a", "b", "weight").mapInArrow(near, schema)
+    rank = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("weight"), "other"))
+    one, two = F.col("end"), F.col("other")
+    return ends.withColumn("_n", rank).where(F.col("_n") <= n).select(F.when(F.col("first"), one).otherwise(two).alias("a"), F.when(F.col("first"), two).otherwise(one).alias("b"), "weight").distinct()
 
 
 def prior_and_derivative(refs: DataFrame, selected: DataFrame, most: int = 60) -> DataFrame:

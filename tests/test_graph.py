@@ -39,3 +39,18 @@ def test_weights_equal_a_plain_version_and_pairs_are_shuffled_once(spark, monkey
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "FullOuter" not in plan and plan.count("RepartitionByExpression") == 1  # (before: two full joins and four more by pair)
     assert graph.weights(spark.createDataFrame([], "citing long, cited long"), spark.createDataFrame([(1,)], "seed long")).count() == 0
+
+
+def test_strongest_edges_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "RANKED", 50, raising=False)
+    rng = random.Random(4)
+    edges = list({(rng.randrange(30), 100 + rng.randrange(30)): rng.randrange(20) / 20 for _ in range(500)}.items())
+    want = set()
+    for end in {x for (a, b), _ in edges for x in (a, b)}:
+        mine = sorted(((-w, b if a == end else a), (a, b, w)) for (a, b), w in edges if end in (a, b))
+        want |= {e for _, e in mine[:3]}
+    found = graph.strongest(spark.createDataFrame([(a, b, w) for (a, b), w in edges], "a long, b long, weight double").repartition(3))
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()  # edges are left out before they are sorted by end
+    named = graph.strongest(spark.createDataFrame([("x", "y", 0.5), ("x", "z", 0.7)], "a string, b string, weight double"), 1)
+    assert {tuple(r) for r in named.collect()} == {("x", "y", 0.5), ("x", "z", 0.7)}
