@@ -2,43 +2,54 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..sources.tables import cut
+from ..sources.tables import bounded, cut
 
 PRIOR, DERIVATIVE = "prior", "derivative"
 #: Parts that the edges of a node are dealt to, so that a hub is no single task.
 SALTS = 16
+#: Roots whose selection a task makes.
+CHOSEN = 500
+
+
+def among(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """``rows`` whose ``column`` is in ``keys``, a frame of one column of that type: without a shuffle of ``rows`` if the keys are few."""
+    keys = bounded(keys.toDF(column).distinct())
+    return rows.join(keys, column, "left_semi")
 
 
 def reached(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 3, directions: tuple[str, ...] = (PRIOR, DERIVATIVE)) -> DataFrame:
     """Rows ``root, tree, node, level, path``: nodes of ``nodes(node)`` within ``depth`` citations of each of ``roots(root)``.
 
-    ``edges(source, target)`` go from the cited to the citing work; the prior tree follows them backwards. A level's frontier is joined
-    with the edges of its nodes, dealt to SALTS parts; ``path`` holds the nodes below the root up to this one, and of several ways of
+    ``edges(source, target)`` go from the cited to the citing work; the prior tree follows them backwards. A level reads the edges once and
+    keeps those of its frontier's nodes; these are joined with it, dealt to SALTS parts, and only what they reach is looked up in ``nodes``.
+    So edges and nodes, which are read at every level, had better be stored. ``path`` holds the nodes below the root up to this one, and of several ways of
     one length the least path is kept, which is what a breadth-first walk that visits neighbours in order finds. Cycles, loops, repeated edges and edges
     to unknown nodes add nothing. Each level is an aggregate with map-side combine and an
-    anti-join with the levels before, and is written, so that plans stay short and a lost executor costs a level.
+    anti-join with the levels before, and is written, so that plans stay short and a lost executor costs a level. A tree ends where a level is empty.
     """
-    known = cut(nodes.select("node").distinct())
-    real = edges.select("source", "target").where("source <> target").distinct()
-    real = real.join(known.withColumnRenamed("node", "source"), "source", "left_semi").join(known.withColumnRenamed("node", "target"), "target", "left_semi")
-    real = cut(real)
+    real = edges.select("source", "target").where("source <> target")
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
     ways = {PRIOR: real.select(F.col("target").alias("at"), F.col("source").alias("next"), part("source")), DERIVATIVE: real.select(F.col("source").alias("at"), F.col("target").alias("next"), part("target"))}
-    start = roots.select("root").distinct().join(known.withColumnRenamed("node", "root"), "root", "left_semi")
+    start = cut(among(nodes.select(F.col("node").alias("root")), "root", roots.select("root")).distinct())
     kind = nodes.schema["node"].dataType.simpleString()
     trees = []
     for tree in directions:
         seen = start.select("root", F.col("root").alias("node"), F.lit(0).alias("level"), F.array().cast(f"array<{kind}>").alias("path"))
         front = seen
         for level in range(1, depth + 1):
+            own = among(ways[tree], "at", front.select("node"))
             dealt = front.select("root", F.col("node").alias("at"), "path", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-            new = dealt.join(ways[tree], ["at", "salt"]).groupBy("root", F.col("next").alias("node")).agg(F.min("path").alias("path"))
+            new = cut(dealt.join(own, ["at", "salt"]).groupBy("root", F.col("next").alias("node")).agg(F.min("path").alias("path")))
+            new = new.join(among(nodes.select("node"), "node", new.select("node")).distinct(), "node", "left_semi")
             front = cut(new.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(level).alias("level"), F.concat("path", F.array("node")).alias("path")))
+            if front.isEmpty():
+                break
             seen = seen.unionByName(front)
         trees.append(seen.withColumn("tree", F.lit(tree)))
     out = trees[0]
@@ -47,25 +58,27 @@ def reached(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 3
     return out.select("root", "tree", "node", "level", "path")
 
 
-def _chosen(limit: int, depth: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+def _chosen(limit: int, depth: int, schema: pa.Schema):
+    def run(rows: pa.Table) -> pa.Table:
         """Queues of a root in turns by level and tree; a candidate comes with the missing part of its path, or not at all."""
-        rows = rows.sort_values(["nearest", "cited", "node"], ascending=[True, False, True])
-        queues = [list(rows[(rows["level"] == level) & (rows["tree"] == tree)][["node", "needs"]].itertuples(index=False)) for level in range(1, depth + 1) for tree in (PRIOR, DERIVATIVE)]
-        places, kept = [0] * len(queues), {rows["root"].iloc[0]}
+        root, tree, level, node, nearest, cited, needs = (rows.column(c).to_pylist() for c in ("root", "tree", "level", "node", "nearest", "cited", "needs"))
+        queues: dict[tuple, list] = {(at, t): [] for at in range(1, depth + 1) for t in (PRIOR, DERIVATIVE)}
+        for i in sorted(range(len(node)), key=lambda i: (nearest[i], -cited[i], node[i])):
+            queues[level[i], tree[i]].append((node[i], needs[i]))
+        places, kept = [0] * len(queues), {root[0]: None}
         moved = True
         while len(kept) < limit and moved:
             moved = False
-            for q, queue in enumerate(queues):
+            for q, queue in enumerate(queues.values()):
                 while places[q] < len(queue) and len(kept) < limit:
-                    node, needs = queue[places[q]]
+                    own, before = queue[places[q]]
                     places[q] += 1
-                    path = [n for n in (*needs, node) if n not in kept]
-                    if node not in kept and len(kept) + len(path) <= limit:
-                        kept.update(path)
+                    path = [n for n in (*before, own) if n not in kept]
+                    if own not in kept and len(kept) + len(path) <= limit:
+                        kept.update(dict.fromkeys(path))
                         moved = True
                         break
-        return pd.DataFrame({"root": [rows["root"].iloc[0]] * len(kept), "node": list(kept)})
+        return pa.Table.from_pydict({"root": [root[0]] * len(kept), "node": list(kept)}, schema)
 
     return run
 
@@ -84,8 +97,9 @@ def explored(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int =
     if not 1 <= depth <= 3:
         raise ValueError("the bounds hold for one to three levels")
     keep = 2 * limit
-    usable = nodes.withColumn("_wanted", F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))).select("node", F.coalesce(F.col("cited"), F.lit(0)).alias("cited"), "_wanted")
     all_rows = reached(edges, nodes, roots, depth, directions)
+    usable = nodes.withColumn("_wanted", F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))).select("node", F.coalesce(F.col("cited"), F.lit(0)).alias("cited"), "_wanted")
+    usable = cut(among(usable, "node", all_rows.select("node")))
     levels = all_rows.groupBy("root", "node").agg(*(F.min(F.when((F.col("tree") == t) | (F.col("level") == 0), F.col("level"))).alias(f"{t}_level") for t in (PRIOR, DERIVATIVE)), F.min("level").alias("nearest"))
     ok = usable.where("_wanted").select("node")
     steps = all_rows.where("level > 0").select("root", "tree", F.col("node").alias("end"), "level", F.posexplode("path").alias("at", "node")).where("at < level - 1")
@@ -119,8 +133,10 @@ def explored(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int =
     last = reachable(by_all, nodes_of(later).unionByName(have).distinct(), 0)
     candidates = early.unionByName(later).unionByName(last).dropDuplicates([*queue, "node"])
     schema = T.StructType([T.StructField("root", nodes.schema["node"].dataType), T.StructField("node", nodes.schema["node"].dataType)])
-    chosen = candidates.select("root", "tree", "level", "node", "nearest", "cited", "needs").groupBy("root").applyInPandas(_chosen(limit, depth), schema)
-    alone = roots.select("root").distinct().join(nodes.select(F.col("node").alias("root")), "root", "left_semi").select("root", F.col("root").alias("node"))
+    tasks = -(-roots.count() // CHOSEN) or 1  # the rows are few bytes, which would give few tasks
+    dealt = candidates.select("root", "tree", "level", "node", "nearest", "cited", "needs").repartition(tasks, "root")
+    chosen = dealt.groupBy("root").applyInArrow(_chosen(limit, depth, to_arrow_schema(schema)), schema)
+    alone = all_rows.where("level = 0").select("root", "node")
     return chosen.unionByName(alone).distinct().join(levels, ["root", "node"]).select("root", "node", F.col("nearest").alias("lineage_level"), "prior_level", "derivative_level")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import semantics as S
 from ..operators import extract, graph, lineage, measure, ranking
-from ..sources.tables import table
+from ..sources.tables import stored, table
 from .catalog_queries import LINE
 from .register import registry
 
@@ -182,8 +182,6 @@ def lineage_khop(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def lineage_selection(spark: SparkSession, d: str) -> DataFrame:
     """At most thirty prior and derivative works of each seed, by levels in turns, with the paths to them."""
-    refs = _refs(spark, d)
-    edges = refs.select(F.col("cited").alias("source"), F.col("citing").alias("target"))
-    counts = edges.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("cited"))
-    nodes = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct().join(counts, "node", "left")
-    return lineage.explored(edges, nodes, _seeds(spark, d, "root"))
+    edges = stored(_refs(spark, d).select(F.col("cited").alias("source"), F.col("citing").alias("target")))
+    ends = edges.select(F.col("source").alias("node"), F.lit(1).alias("n")).unionByName(edges.select(F.col("target").alias("node"), F.lit(0).alias("n")))
+    return lineage.explored(edges, stored(ends.groupBy("node").agg(F.sum("n").alias("cited"))), _seeds(spark, d, "root"))

@@ -75,3 +75,15 @@ def test_edges_between_the_chosen(spark):
     assert {tuple(r) for r in lineage.between(e, chosen).collect()} == {(0, 0, 1), (0, 1, 2), (0, 2, 0)}
     assert [tuple(r) for r in lineage.explored(e.limit(0), df, roots).collect()] == [(0, 0, 0, 0, 0)]
     assert lineage.explored(e, df, roots.limit(0)).count() == 0
+
+
+def test_levels_that_reach_nothing_end_a_tree(spark, monkeypatch):
+    asked = []
+    real = lineage.bounded
+    monkeypatch.setattr(lineage, "bounded", lambda keys: asked.append(keys.columns[0]) or real(keys))
+    e = spark.createDataFrame([(1, 0), (2, 0), (2, 0), (0, 3)], "source long, target long")
+    nodes = spark.createDataFrame([(i, None) for i in range(3)], "node long, cited int")
+    found = lineage.reached(e, nodes, spark.createDataFrame([(0,), (0,), (8,)], "root long"))
+    assert sorted((r.tree, r.node, r.level, r.path) for r in found.collect()) == [("derivative", 0, 0, []), ("prior", 0, 0, []), ("prior", 1, 1, [1]), ("prior", 2, 1, [2])]
+    # the prior tree reads its edges for two levels, the derivative one, whose only edge leads to an unknown node, for one
+    assert asked.count("at") == 3
