@@ -18,11 +18,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go."""
+    common.small_batches(spark)
     return toxicity.drop_toxic(docs, common.table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that pairs of a similarity of 0.8 or more link, the document with the smallest id stays."""
+    common.small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -38,6 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their places in sequences of 2048 tokens."""
+    common.small_batches(spark)
     return packing.pack_documents(docs)
 
 

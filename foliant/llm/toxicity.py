@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, slices, table
+from .common import bounded, claim, cut, slices, table
 
 #: Labelled rows that the models are fitted on at most (the ones whose id hashes lowest), hash buckets, folds.
 SAMPLE, BUCKETS, FOLDS = 8000, 1 << 20, 3
@@ -187,6 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        claim("toxicity", lambda: None)
         for whole in batches:
             for batch in slices(whole, "text"):
                 idx = []
@@ -203,6 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     def fit(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        claim("toxicity", lambda: None)
         own = [b.to_pydict() for b in batches]
         column = lambda c: [x for b in own for x in b[c]]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_model(column("doc_id"), np.array([column(c) for c in CHAIN]).T, column("idx")))], pa.binary())], names=["model"])
@@ -269,6 +271,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        claim("toxicity", lambda: None)
         score = scorer(model.value)
         for batch in batches:
             for b in slices(batch, "text"):
@@ -289,6 +292,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        claim("toxicity", lambda: None)
         score = scorer(model.value)
         for batch in batches:
             for b in slices(batch, "text"):
