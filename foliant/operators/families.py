@@ -47,7 +47,7 @@ def fingerprint(verdicts: dict[str, Column]) -> Column:
 
 
 def violations(families: DataFrame, members: DataFrame, candidates: DataFrame, eligible: Sequence[str]) -> DataFrame:
-    """Rows ``rule, id`` of what is broken; none if all holds. Every rule is one anti join or aggregate.
+    """Rows ``rule, id`` of what is broken; none if all holds. Rules are anti joins and aggregates.
 
     ``families(family_id, active, canonical)``, ``members(family_id, paper_id, is_canonical)``, ``candidates(candidate_id,
     family_id, status, conference_id, journal_id)``. Rows whose keys are null break nothing but a member's missing family.
@@ -59,15 +59,21 @@ def violations(families: DataFrame, members: DataFrame, candidates: DataFrame, e
     held = candidates.where(F.col("family_id").isNotNull())
     fit = F.coalesce(F.col("status").isin(list(eligible)), F.lit(False))
     refused = rule(held.where(~fit), "ineligible_candidate_in_family", "candidate_id")
-    with_family = held.where(fit).join(known.withColumn("_there", F.lit(True)), "family_id", "left")
-    orphan = rule(with_family.where("_there is null"), "candidate_without_family", "candidate_id")
-    asleep = rule(with_family.where("_there and not active"), "candidate_of_inactive_family", "candidate_id")
-    own = members.select("family_id", F.col("paper_id").alias("journal_id"), F.lit(True).alias("_canonical")).where("is_canonical").distinct()
-    journal = rule(with_family.where("_there").join(own, ["family_id", "journal_id"], "left").where("_canonical is null or journal_id <> canonical"), "inconsistent_journal_member", "candidate_id")
-    per = members.groupBy("family_id").agg(F.count_if("is_canonical").alias("n"), F.count("*").alias("size"))
-    lone = known.where("active").join(per, "family_id", "left").where("coalesce(n, 0) <> 1 or coalesce(size, 0) < 2")
+    eligible_ = held.where(fit).select("candidate_id", "family_id", "journal_id")
+    with_family = eligible_.join(known.withColumn("_there", F.lit(True)), "family_id", "left").withColumn("_other", F.coalesce(F.col("journal_id") != F.col("canonical"), F.lit(False)))
+    # what the family alone tells is told where it is met; only journals that are its canonical paper are looked up among its members
+    told = [F.when(F.col("_there").isNull(), "candidate_without_family"), F.when(F.col("_there") & ~F.col("active"), "candidate_of_inactive_family"), F.when(F.col("_there") & F.col("_other"), "inconsistent_journal_member")]
+    broken = with_family.select(F.explode(F.array_compact(F.array(*told))).alias("rule"), F.col("candidate_id").cast("long").alias("id"))
+    own = members.where("is_canonical").select("family_id", F.col("paper_id").alias("journal_id"))
+    journal = rule(with_family.where("_there and not _other").join(own, ["family_id", "journal_id"], "left_anti"), "inconsistent_journal_member", "candidate_id")
+    # families and members are folded by one aggregate, which sends sums on, and never sorted
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    per = known.where("active").select("family_id", one.alias("f"), zero.alias("n"), zero.alias("size")).unionByName(
+        members.where("family_id IS NOT NULL").select("family_id", zero.alias("f"), F.when(F.col("is_canonical"), one).otherwise(zero).alias("n"), one.alias("size")))
+    per = per.groupBy("family_id").agg(*(F.sum(c).alias(c) for c in ("f", "n", "size")))
+    lone = per.where("f > 0 AND (n <> 1 OR size < 2)").select(F.explode(F.array_repeat("family_id", F.col("f").cast("int"))).alias("family_id"))
     out = lost
-    for part in (twice, refused, orphan, asleep, journal, rule(lone, "active_family_without_one_canonical", "family_id")):
+    for part in (twice, refused, broken, journal, rule(lone, "active_family_without_one_canonical", "family_id")):
         out = out.unionByName(part)
     return out
 

@@ -369,6 +369,17 @@ def test_violations_of_families(spark):
     assert families.violations(f.where("family_id = 1"), m.where("family_id = 1"), k.where("candidate_id = 100"), ["ok"]).count() == 0
 
 
+def test_violations_join_candidates_once_and_sort_no_families(spark):
+    f = spark.createDataFrame([(1, True, 10), (1, True, 10), (None, True, 3), (2, False, 20)], "family_id int, active boolean, canonical int")
+    m = spark.createDataFrame([(1, 10, True), (2, 20, True), (None, 3, True)], "family_id int, paper_id int, is_canonical boolean")
+    k = spark.createDataFrame([(100, 1, "ok", 1, 10), (101, 2, "ok", 1, 20), (102, 1, "ok", 1, None)], "candidate_id int, family_id int, status string, conference_id int, journal_id int")
+    found = families.violations(f, m, k, ["ok"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") <= 2, plan
+    assert sorted((r["rule"], r["id"] or 0) for r in found.collect()) == sorted([("active_family_without_one_canonical", 0), ("active_family_without_one_canonical", 1), ("active_family_without_one_canonical", 1), ("candidate_of_inactive_family", 101),
+        ("inconsistent_journal_member", 102), ("inconsistent_journal_member", 102), ("member_without_family", 3)])
+
+
 def test_tables_give_their_own_column_only(spark):
     row = lambda *c: "<tr>" + "".join(f"<td>{x}</td>" for x in c) + "</tr>"
     tables_ = [
