@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import normal_doi
@@ -29,32 +29,46 @@ def supplemented(papers: DataFrame, works: DataFrame, stages: Sequence[tuple[str
     entries of one paper that resolve to one work the first counts.
 
     Choosing the stage is one map-side combined minimum by paper. Works are met by equi-joins on the DOI, then, for what is left, on title and
-    surname, with the candidates of an entry folded to a count. Works that share a DOI are one, the least. Null years match no identity.
+    surname. Entries and what they meet are folded by hash aggregates of fixed-width buffers, so a task holds few sorters at a time. Works that share
+    a DOI are one, the least. Null years match no identity.
     """
     names = [n for n, _ in stages]
     if len(set(names)) < len(names):
         raise ValueError("stages need names of their own")
     fields = ("paper", "number", "doi", "title", "author", "year")
     given = [df.select(*fields, F.lit(i).alias("rank")) for i, (_, df) in enumerate(stages)]
-    entries = _identity(reduce(DataFrame.unionByName, given)).join(papers.select("paper", normal_doi(F.col("doi")).alias("paper_doi")).dropDuplicates(["paper"]), "paper")
-    usable = F.col("own").isNotNull() | F.col("key").isNotNull()
-    first = entries.where(usable).groupBy("paper").agg(F.min("rank").alias("rank"))
-    entries = entries.join(first, ["paper", "rank"], "left_semi")
+    entries = reduce(DataFrame.unionByName, given).where("paper IS NOT NULL")
+    text = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
+    # a minimum by paper needs no join; only entries with some text are read
+    said = _identity(entries.where(text("doi") | text("title"))).where(F.col("own").isNotNull() | F.col("key").isNotNull())
+    first = said.groupBy("paper").agg(F.min("rank").alias("rank"))
+    held = papers.select("paper", normal_doi(F.col("doi")).alias("paper_doi")).dropDuplicates(["paper"])
+    entries = _identity(entries.join(first.join(held, "paper"), ["paper", "rank"]))
     known = _identity(works.select("work", "doi", "title", "author", "year"))
-    by_doi = known.where("own IS NOT NULL").groupBy("own").agg(F.min("work").alias("work"))
+    doi_of = known.select("work", F.col("own").alias("work_doi")).dropDuplicates(["work"])
     at = ["paper", "rank", "number"]
-    sure = entries.where("own IS NOT NULL").join(by_doi, "own").groupBy(*at).agg(F.min("work").alias("work")).withColumn("how", F.lit("doi"))
-    left = entries.join(sure, at, "left_anti").where("key IS NOT NULL AND name IS NOT NULL AND year IS NOT NULL")
+    own_one = F.coalesce((F.col("work") == F.col("paper")) | (F.col("work_doi") == F.col("paper_doi")), F.lit(False)).alias("self")
+    by_doi = known.where("own IS NOT NULL").groupBy("own").agg(F.min("work").alias("work")).join(doi_of, "work", "left")
+    # a DOI holds no space, so entries without one meet nothing, each in a place of its own
+    nowhere = F.concat(F.lit(" "), F.xxhash64(*at).cast("string"))
+    met = entries.withColumn("meet", F.coalesce("own", nowhere)).join(by_doi.withColumnRenamed("own", "meet"), "meet", "left")
+    sure = F.when(F.col("number").isNotNull(), F.col("work"))
+    named = "key IS NOT NULL AND name IS NOT NULL AND year IS NOT NULL AND number IS NOT NULL"
+    left = met.where(named).where("work IS NULL").select(*at, "paper_doi", "key", "name", "year")
     # copies of a work with one DOI are one candidate
     titled = known.where("key IS NOT NULL AND name IS NOT NULL").groupBy("key", "name", "year", F.coalesce("own", F.col("work").cast("string")).alias("same")).agg(F.min("work").alias("work"))
-    years = left.withColumn("near", F.explode(F.sequence(F.col("year") - slack, F.col("year") + slack)))
-    met = years.join(titled.withColumnRenamed("year", "near"), ["key", "name", "near"]).groupBy(*at).agg(F.min("work").alias("work"), F.count_distinct("same").alias("n"))
-    likely = met.where("n = 1").drop("n").withColumn("how", F.lit("identity"))
-    found = sure.unionByName(likely).join(known.select("work", F.col("own").alias("work_doi")).dropDuplicates(["work"]), "work", "left")
-    asked = entries.select(*at, "paper_doi").dropDuplicates(at)
-    out = asked.join(found, at, "left")
-    self_cited = F.coalesce((F.col("work") == F.col("paper")) | (F.col("work_doi") == F.col("paper_doi")), F.lit(False))
-    out = out.withColumn("work", F.when(~self_cited, F.col("work"))).withColumn("how", F.when(F.col("work").isNotNull(), F.col("how")).otherwise("unresolved"))
-    again = F.row_number().over(Window.partitionBy("paper", "work").orderBy("number"))
-    out = out.withColumn("_n", F.when(F.col("work").isNotNull(), again).otherwise(1)).where("_n = 1")
+    titled = titled.join(doi_of, "work", "left").withColumnRenamed("year", "near")
+    years = left.withColumn("near", F.explode(F.sequence(F.col("year") - slack, F.col("year") + slack))).drop("year")
+    likely = years.join(titled, ["key", "name", "near"]).groupBy(*at).agg(F.min("work").alias("work"), F.min_by(own_one, "work").alias("self"), F.min("same").alias("a"), F.max("same").alias("z")).where("a = z")
+    # an entry's rows are folded by hash: what its DOI and what its title says, the DOI first
+    nothing = lambda names: [F.lit(None).cast(t).alias(n) for n, t in zip(names, (works.schema["work"].dataType, "boolean"))]
+    rows = met.select(*at, sure.alias("sure"), own_one.alias("sure_self"), *nothing(("likely", "likely_self")))
+    rows = rows.unionByName(likely.select(*at, *nothing(("sure", "sure_self")), F.col("work").alias("likely"), F.col("self").alias("likely_self")))
+    one = rows.groupBy(*at).agg(F.min("sure").alias("sure"), F.min_by("sure_self", "sure").alias("sure_self"), F.min("likely").alias("likely"), F.min_by("likely_self", "likely").alias("likely_self"))
+    told = F.col("sure").isNotNull()
+    work = F.when(told & ~F.col("sure_self"), F.col("sure")).when(~told & ~F.col("likely_self"), F.col("likely"))
+    out = one.select(*at, work.alias("work"), told.alias("by_doi"))
+    # of entries that are one work the first; those that are none stay, each by its number
+    out = out.groupBy("paper", "rank", "work", F.when(F.col("work").isNull(), F.col("number")).alias("_n")).agg(F.min("number").alias("number"), F.min_by("by_doi", "number").alias("by_doi"))
+    out = out.withColumn("how", F.when(F.col("work").isNull(), "unresolved").when(F.col("by_doi"), "doi").otherwise("identity"))
     return out.select("paper", "number", F.element_at(F.array(*map(F.lit, names)), F.col("rank") + 1).alias("stage"), "work", "how")

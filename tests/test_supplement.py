@@ -63,3 +63,12 @@ def test_supplement_equals_a_plain_version(spark):
     assert len({(r["stage"], r["how"]) for r in found}) >= 6
     none = spark.createDataFrame([], entry)
     assert supplement.supplemented(spark.createDataFrame(papers, "paper long, doi string"), spark.createDataFrame(works, "work long, doi string, title string, author string, year int"), [("s", none)]).count() == 0
+
+
+def test_tasks_hold_few_sorters(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    entries = frame([(1, 1, "10.1109/a", "T", "Kim", 2018), (1, 2, None, "T", "Kim", 2018)], "paper int, number int, doi string, title string, author string, year int")
+    found = supplement.supplemented(frame([(1, None)], "paper int, doi string"), frame([(7, "10.1109/a", "T", "Kim", 2018)], "work int, doi string, title string, author string, year int"), [("registry", entries), ("file", entries)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and len(re.findall(r"\bJoin ", plan)) <= 11, plan
+    assert [tuple(r) for r in found.collect()] == [(1, 1, "registry", 7, "doi")]
