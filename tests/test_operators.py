@@ -125,6 +125,28 @@ def test_pairs_of_classes_equal_all_pairs(spark):
         assert values(resolve.mutual_classes(pairs, "l", "r", margin), "l", "r", "shared", "score") == values(plain, "l", "r", "shared", "score")
 
 
+def test_mutual_pairs_meet_in_cells_and_equal_all_pairs(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(resolve, "CELL", 4)  # several cells a block; slices and products of matrices are cut in the workers by their own sizes
+    rng = random.Random(11)
+    deal = lambda start, n: [(start + i, rng.choice([1, 1, 2, None]) if i % 3 else 1, t) for i in range(n) for t in rng.sample("abcdefg", rng.randint(1, 5))]
+    left, right = sorted(set(deal(0, 60)), key=repr), sorted(set(deal(100, 50)), key=repr)
+    a, b = spark.createDataFrame(left, "l int, block int, term string"), spark.createDataFrame(right, "r int, block int, term string")
+    own = lambda rows, i: {r[1:] for r in rows if r[0] == i}
+    wanted = []
+    for i in sorted({r[0] for r in left}):
+        for j in sorted({r[0] for r in right}):
+            x, y = own(left, i), own(right, j)
+            if both := {k for k in x & y if k[0] is not None}:
+                wanted.append((i, j, len(both), round(len(both) / (len(x) + len(y) - len(both)), 9)))
+    assert len({r[0] for r in left}) > 3 * resolve.CELL
+    for margin in (0.01, 0.04, 0.2):
+        plain = resolve.mutual_best(spark.createDataFrame(wanted, "l int, r int, shared long, score double"), "l", "r", "score", margin).where("mutual")
+        assert values(resolve.mutual_pairs(a, b, "l", "r", margin), "l", "r", "shared", "score") == values(plain, "l", "r", "shared", "score")
+    assert resolve.mutual_pairs(a.limit(0), b, "l", "r").count() == 0
+
+
 def test_sticky_decisions_stay(spark):
     fresh = spark.createDataFrame([(1, 1, "auto"), (2, 2, "auto")], "l int, r int, decision string")
     old = spark.createDataFrame([(1, 1, "rejected"), (2, 2, "open")], "l int, r int, decision string")
