@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.plain import plain_text
 from ..functions.terms import article_free_key, surnames, technical_terms
-from .matching import key_similarity
+from ..sources.tables import cut
+from .matching import ORDER_SHARE, WORD_SHARE
+from .resolve import encoded, listed, met, overlap
+from .text import ratios
 
 
 def agree(a: Column, b: Column, relative: float, absolute: float = 0.0) -> Column:
@@ -138,6 +145,71 @@ def family_title(title: Column, session_numbers: Column) -> Column:
     return article_free_key(F.regexp_replace(F.regexp_replace(text, r"(?<=\d)(?=[A-Za-zµμ])", " "), r"(?<=[A-Za-z])(?=\d)", " "))
 
 
+#: Rows of a cell's conference papers that are compared with its journal papers at a time.
+AT_ONCE = 256
+
+
+def _cell(columns: Sequence[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Compare a cell's conference papers with its journal papers: those that may be one work, figures aside."""
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b = a.combine_chunks(), b.combine_chunks()
+        sizes = len(a), len(b)
+        years = [x["year"].to_numpy() for x in (a, b)]
+        many = {c: [pc.list_value_length(x[c]).to_numpy() for x in (a, b)] for c in ("names", "terms", "words")}
+        (key_a, key_b), keys = encoded(a["key"], b["key"])
+        keys = keys.to_pylist()
+        some = np.array([k != "" for k in keys], dtype=bool)
+        lead_a, lead_b = encoded(a["lead"], b["lead"])[0]
+        lists = {c: listed(a[c], b[c]) for c in many}
+        found = []
+        if all(sizes):
+            one, two = a["one"][0].as_py(), a["two"][0].as_py()
+            # a name in common that comes before the cell's, so another cell has the pair
+            sooner = np.array([n < two and n != one for n in lists["names"][1].to_pylist()], dtype=bool)
+        for first in range(0, sizes[0] if sizes[1] else 0, AT_ONCE):
+            rows = slice(first, min(first + AT_ONCE, sizes[0]))
+
+            def shared(c: str, use: np.ndarray | None = None) -> np.ndarray:
+                (at, codes), (other_at, other) = lists[c][0]
+                mine, yours = (at >= rows.start) & (at < rows.stop), np.ones(len(other), dtype=bool)
+                if use is not None:
+                    mine, yours = mine & use[codes], use[other]
+                return overlap(rows.stop - rows.start, at[mine] - rows.start, codes[mine], sizes[1], other_at[yours], other[yours])
+
+            def jaccard(c: str, both: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                return both / np.maximum(1, many[c][0][i] + many[c][1][j] - both)
+
+            gap = years[1].astype(np.int64) - years[0][rows, None]
+            same = (key_a[rows, None] == key_b) & some[key_a[rows], None]
+            led = lead_a[rows, None] == lead_b
+            names, terms = shared("names"), shared("terms")
+            able = (gap >= 0) & (gap <= LATEST) & (names >= LEAST_SHARED) & (led | (names >= MOST_SHARED)) & (led == a["led"][0].as_py())
+            # the least share of terms that any pair needs, in single precision and with room for it
+            able &= terms >= (LEAST_TOKENS - 1e-3) * (many["terms"][0][rows, None] + many["terms"][1] - terms)
+            if sooner.any():
+                able &= shared("names", sooner) == 0
+            i, j = np.nonzero(able)
+            names, terms, same, led, gap = (x[i, j] for x in (names.astype(np.float64), terms.astype(np.float64), same, led, gap))
+            at = i + first
+            tokens, people = jaccard("terms", terms, at, j), jaccard("names", names, at, j)
+            keep = (led | (people >= MOST_NAMES)) & ((tokens >= REVIEW_TOKENS) | (same & (tokens >= LEAST_TOKENS)))
+            if keep.any():
+                words = jaccard("words", shared("words")[i, j].astype(np.float64), at, j)
+                x, y = key_a[at], key_b[j]
+                similarity = np.where(some[x] & some[y] & (x == y), 1.0, 0.0)
+                ask = np.flatnonzero(keep & some[x] & some[y] & (x != y) & (ORDER_SHARE + WORD_SHARE * words >= REVIEW_SIMILARITY))
+                order = ratios([keys[k] for k in x[ask]], [keys[k] for k in y[ask]], np.maximum(0.0, (REVIEW_SIMILARITY - WORD_SHARE * words[ask]) / ORDER_SHARE))
+                similarity[ask] = ORDER_SHARE * order + WORD_SHARE * words[ask]
+                keep &= same | (similarity >= REVIEW_SIMILARITY)
+                found.append([v[keep] for v in (at, j, gap, similarity, tokens, names, people, led, same)])
+        at, j, gap, similarity, tokens, names, people, led, same = (np.concatenate(v) for v in zip(*found)) if found else [np.zeros(0, dtype=np.int64)] * 9
+        figures = (gap.astype(np.int32), similarity.astype(float), tokens.astype(float), names.astype(np.int32), people.astype(float), led.astype(bool), same.astype(bool))
+        return pa.table([a["p"].take(at), b["p"].take(j), *map(pa.array, figures)], names=["l", "r", *columns])
+
+    return run
+
+
 def scored_pairs(papers: DataFrame, venues: dict[str, Sequence[str]], verdicts: Callable[[Column, Column], dict[str, Column]] | None = None) -> DataFrame:
     """Pairs of a conference paper and a later journal paper that may be one implementation: ``conference, journal, year_gap, similarity,
     token_jaccard, shared_authors, author_jaccard, first_author, exact_title, matches, conflicts, score, strict``.
@@ -146,42 +218,32 @@ def scored_pairs(papers: DataFrame, venues: dict[str, Sequence[str]], verdicts:
     technical figures of two papers, given as structs of all columns. Pairs lie 0 to 3 years apart, share two surnames and a quarter of their
     technical terms. Strict ones have no conflict, the first author or most authors in common, and the same title or a close one with a technical
     match; others stay for review if they are near. Papers meet on the first author and another surname (of four surnames or more also on any two)
-    within their venues, so a frequent surname alone is no key. What rules a pair out is asked where it is met, bitmaps of the terms first, so
-    pairs are never shuffled. Null years, venues and authors pair with nothing.
+    within their venues, so a frequent surname alone is no key. They meet in cells of bounded size, where products of matrices count what all
+    pairs share and only titles of what is left are compared, so pairs are never shuffled. Null years, venues, titles and authors pair with nothing.
     """
     spark = papers.sparkSession
-    allowed = spark.createDataFrame([(c, j) for c, js in venues.items() for j in js], "conference_venue string, journal_venue string")
-    rows = papers.select(F.struct("*").alias("p")).select(
+    allowed = spark.createDataFrame([(c, j) for c, js in venues.items() for j in js], "venue string, journal_venue string")
+    rows = papers.select(F.struct("*").alias("p")).where(F.col("p.title").isNotNull())
+    rows = rows.select(
         F.col("p.id").alias("id"), F.col("p.year").cast("int").alias("year"), F.col("p.venue").alias("venue"), family_title(F.col("p.title"), F.col("p.venue").isin(list(venues))).alias("key"),
         F.array_distinct(surnames(F.col("p.authors"))).alias("names"), F.array_distinct(technical_terms(F.col("p.title"))).alias("terms"), "p")
-    rows = rows.withColumn("lead", F.get("names", F.lit(0))).where("year IS NOT NULL AND venue IS NOT NULL AND size(names) > 1")
-    rows = rows.withColumn("sketch", F.aggregate(F.coalesce("terms", F.array().cast("array<string>")), F.lit(0).cast("long"), lambda s, t: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(t), F.lit(64)).cast("int"))))).withColumn("n", F.size("terms"))
+    rows = rows.withColumn("lead", F.get("names", F.lit(0))).where("year IS NOT NULL AND venue IS NOT NULL AND size(names) > 1").withColumn("words", F.array_distinct(F.split("key", " ")))
     # first author and another name in common, or, for MOST_SHARED names and more, any two names
     ordered = F.array_sort("names")
-    two = F.flatten(F.transform(F.sequence(F.lit(1), F.size("names") - 1), lambda i: F.transform(F.slice(ordered, i + 1, F.size("names")), lambda b: F.concat_ws("|", F.element_at(ordered, i), b))))
-    led = F.transform(F.array_remove("names", F.col("lead")), lambda b: F.concat_ws(">", "lead", b))
-    keyed = rows.withColumn("two", F.explode(F.array_distinct(F.when(F.size("names") >= MOST_SHARED, F.concat(led, two)).otherwise(led))))
-    side = lambda df, name: df.select(*(F.col(c).alias(f"{name}_{c}") for c in df.columns))
-    a = side(keyed.where(F.col("venue").isin(list(venues))), "conference").join(F.broadcast(allowed), "conference_venue").withColumnRenamed("conference_two", "two")
-    b = side(keyed.where(F.col("venue").isin([j for js in venues.values() for j in js])), "journal").withColumnRenamed("journal_two", "two")
-    l, r = (lambda c: F.col(f"conference_{c}")), (lambda c: F.col(f"journal_{c}"))
-    gap = r("year") - l("year")
-    share = lambda c: F.size(F.array_intersect(l(c), r(c)))
-    jaccard = lambda c: share(c) / F.greatest(F.lit(1), F.size(F.array_union(l(c), r(c))))
-    # each bit that one side alone has is a term that it alone has, so this bounds the shared terms
-    lone = lambda x, y: F.bit_count(x("sketch").bitwiseAND(F.bitwise_not(y("sketch"))))
-    most = F.least(l("n") - lone(l, r), r("n") - lone(r, l))
-    same = (l("key") == r("key")) & (l("key") != "")
-    met = a.join(b, (a["journal_venue"] == b["journal_venue"]) & (a["two"] == b["two"]) & gap.between(0, LATEST) & (same | (most >= REVIEW_TOKENS * (l("n") + r("n") - most)))).drop(a["journal_venue"], b["two"])
-    names = F.array_sort(F.array_intersect(l("names"), r("names")))
-    led_by = l("lead") == r("lead")
-    first = F.when(led_by, F.concat_ws(">", l("lead"), F.get(F.array_remove(names, l("lead")), F.lit(0)))).otherwise(F.concat_ws("|", F.get(names, F.lit(0)), F.get(names, F.lit(1))))
-    figures = fingerprint(verdicts(l("p"), r("p"))) if verdicts else F.struct(F.array().cast("array<string>").alias("matches"), F.array().cast("array<string>").alias("conflicts"))
-    both = met.where((F.col("two") == first) & (share("names") >= LEAST_SHARED) & (led_by | ((share("names") >= MOST_SHARED) & (jaccard("names") >= MOST_NAMES))))
-    pairs = both.where((jaccard("terms") >= REVIEW_TOKENS) | (same & (jaccard("terms") >= LEAST_TOKENS))).select(
-        l("id").alias("conference"), r("id").alias("journal"), gap.alias("year_gap"), key_similarity(l("key"), r("key"), REVIEW_SIMILARITY).alias("similarity"), jaccard("terms").alias("token_jaccard"),
-        share("names").alias("shared_authors"), jaccard("names").alias("author_jaccard"), led_by.alias("first_author"), same.alias("exact_title"), figures.alias("f"))
-    pairs = pairs.select("*", "f.*").drop("f")
+    key = lambda one, two, led: F.struct(one.alias("one"), two.alias("two"), F.lit(led).alias("led"))
+    two = F.flatten(F.transform(F.sequence(F.lit(1), F.size("names") - 1), lambda i: F.transform(F.slice(ordered, i + 1, F.size("names")), lambda b: key(F.element_at(ordered, i), b, False))))
+    led = F.transform(F.array_remove("names", F.col("lead")), lambda b: key(F.col("lead"), b, True))
+    keyed = rows.withColumn("_met", F.explode(F.when(F.size("names") >= MOST_SHARED, F.concat(led, two)).otherwise(led))).select("*", "_met.*").drop("_met")
+    a = keyed.join(F.broadcast(allowed), "venue").drop("venue")
+    b = keyed.where(F.col("venue").isin([j for js in venues.values() for j in js])).withColumnRenamed("venue", "journal_venue")
+    columns = ("year_gap", "similarity", "token_jaccard", "shared_authors", "author_jaccard", "first_author", "exact_title")
+    kind = StructType([StructField(c, papers.select(F.struct("*").alias("p")).schema["p"].dataType) for c in "lr"])
+    for c, t in zip(columns, ("integer", "double", "double", "integer", "double", "boolean", "boolean")):
+        kind = kind.add(c, t)
+    fields = ["one", "two", "led", "journal_venue", "id", "year", "key", "lead", "names", "terms", "words", "p"]
+    found = met((a.select(fields), b.select(fields)), fields[:4], _cell(columns), kind, cut)
+    figures = fingerprint(verdicts(F.col("l"), F.col("r"))) if verdicts else F.struct(F.array().cast("array<string>").alias("matches"), F.array().cast("array<string>").alias("conflicts"))
+    pairs = found.select(F.col("l.id").alias("conference"), F.col("r.id").alias("journal"), *columns, figures.alias("f")).select("*", "f.*").drop("f")
     known = F.col("first_author") | ((F.col("shared_authors") >= MOST_SHARED) & (F.col("author_jaccard") >= MOST_NAMES))
     near = (F.col("year_gap") <= 2) & (F.col("similarity") >= 0.82) & (F.col("token_jaccard") >= 0.60) & ((F.size("matches") > 0) | (F.col("similarity") >= 0.93))
     strict = (F.size("conflicts") == 0) & known & (F.col("exact_title") | near)

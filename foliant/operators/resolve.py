@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def mutual_best(pairs: DataFrame, left: str, right: str, score: str, margin: float = 0.04) -> DataFrame:
@@ -55,9 +56,23 @@ def _classes(rows: DataFrame, ident: str, size: str) -> tuple[DataFrame, DataFra
 CELL, AT_ONCE, KEYS = 2048, 256, 4096
 
 
+def met(sides: Sequence[DataFrame], keys: list[str], run: Callable, schema: str | StructType, settled: Callable[[DataFrame], DataFrame] = lambda grid: grid) -> DataFrame:
+    """``run`` of every cell: up to about CELL rows ``keys, id`` of each of two ``sides`` that have equal keys, as Arrow tables. Keys of more rows
+    are dealt to several cells, in which each row of one side meets each of the other once. ``settled`` may store how many cells each key has."""
+    sides = [x.toDF(*x.columns) for x in sides]  # columns of their own, if both come from one frame
+    parts = [x.groupBy(*keys).agg(F.ceil(F.count("*") / CELL).cast("int").alias(n)) for x, n in zip(sides, ("_rows", "_columns"))]
+    grid = settled(parts[0].join(parts[1], keys))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    tasks = 4 * sides[0].sparkSession.sparkContext.defaultParallelism
+    cells = [
+        x.join(grid, keys).withColumn(mine, dealt(mine)).withColumn(other, every(other)).repartition(tasks, *keys, "_rows", "_columns").groupBy(*keys, "_rows", "_columns")
+        for x, mine, other in ((sides[0], "_rows", "_columns"), (sides[1], "_columns", "_rows"))]
+    return cells[0].cogroup(cells[1]).applyInArrow(run, schema)
+
+
 def _cells(a: DataFrame, b: DataFrame, left: str, right: str, run: Callable, schema: str) -> DataFrame:
-    """``run`` of every cell: up to about CELL classes of each side that have keys in one block. A block of more classes is dealt to
-    several cells, in which each class of one side meets each class of the other once."""
+    """``run`` of the cells of classes that have keys in one block."""
     known = F.filter("keys", lambda k: k["block"].isNotNull() & k["term"].isNotNull())
     sides = []
     for classes, ident, size in ((a, left, "left_size"), (b, right, "right_size")):
@@ -66,15 +81,36 @@ def _cells(a: DataFrame, b: DataFrame, left: str, right: str, run: Callable, sch
         count = lambda test: F.size(F.filter("keys", test))
         before, within = count(lambda k: k["block"] < F.col("block")), count(lambda k: k["block"] == F.col("block"))
         sides.append(rows.select("block", F.col(ident).alias("id"), "many", "n", before.alias("before"), within.alias("within"), F.col("keys.block").alias("blocks"), F.col("keys.term").alias("terms")))
-    parts = [x.groupBy("block").agg(F.ceil(F.count("*") / CELL).cast("int").alias(n)) for x, n in zip(sides, ("rows", "columns"))]
-    grid = parts[0].join(parts[1], "block")
-    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    tasks = 4 * a.sparkSession.sparkContext.defaultParallelism
-    met = [
-        x.join(grid, "block").withColumn(mine, dealt(mine)).withColumn(other, every(other)).repartition(tasks, "block", "rows", "columns").groupBy("block", "rows", "columns")
-        for x, mine, other in ((sides[0], "rows", "columns"), (sides[1], "columns", "rows"))]
-    return met[0].cogroup(met[1]).applyInArrow(run, schema)
+    return met(sides, ["block"], run, schema)
+
+
+def overlap(size: int, at: np.ndarray, codes: np.ndarray, other_size: int, other_at: np.ndarray, other_codes: np.ndarray) -> np.ndarray:
+    """How many codes each of ``size`` rows shares with each of ``other_size``; row ``at[i]`` holds ``codes[i]``, each once."""
+    out = np.zeros((size, other_size), dtype=np.float32)
+    used = np.intersect1d(codes, other_codes)
+    for first in range(0, len(used), KEYS):
+        columns = used[first : first + KEYS]
+        flags = []
+        for n, rows, held in ((size, at, codes), (other_size, other_at, other_codes)):
+            place = np.searchsorted(columns, held)
+            there = columns[np.minimum(place, len(columns) - 1)] == held
+            flag = np.zeros((n, len(columns)), dtype=np.float32)
+            flag[rows[there], place[there]] = 1
+            flags.append(flag)
+        out += flags[0] @ flags[1].T
+    return out
+
+
+def encoded(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[list[np.ndarray], pa.Array]:
+    """Codes of the values of two columns, equal for equal values, and the values in order of code."""
+    both = pa.chunked_array([*a.chunks, *b.chunks], type=a.type).combine_chunks().dictionary_encode()
+    return np.split(np.asarray(both.indices, dtype=np.int64), [len(a)]), both.dictionary
+
+
+def listed(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[list[tuple[np.ndarray, np.ndarray]], pa.Array]:
+    """``encoded`` for columns of lists: for each column the row of every value and its code."""
+    codes, values = encoded(pc.list_flatten(a), pc.list_flatten(b))
+    return [(np.repeat(np.arange(len(x)), pc.list_value_length(x).to_numpy()), c) for x, c in zip((a, b), codes)], values
 
 
 def _side(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,28 +126,13 @@ def _side(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]
 def _shared(a: pa.Table, b: pa.Table):
     """Both sides of a cell by id, and slices of the first one with how many keys each of their pairs shares: 0 where the cell's block is
     not the first one that the pair shares a key in, for that block's cell has it."""
-    sides = [_side(x) for x in (a, b)]
-    flat = lambda c: pa.chunked_array([pc.list_flatten(x[c]).combine_chunks() for x, *_ in sides]).combine_chunks().dictionary_encode()
-    blocks, terms = flat("blocks"), flat("terms")
-    codes = np.asarray(blocks.indices, dtype=np.int64) * max(1, len(terms.dictionary)) + np.asarray(terms.indices)
-    (a, at_a, own_a, early_a), (b, at_b, own_b, early_b) = sides
-    codes_a, codes_b = codes[: len(at_a)], codes[len(at_a) :]
-    used = np.intersect1d(codes_a, codes_b)
+    (a, at_a, own_a, early_a), (b, at_b, own_b, early_b) = (_side(x) for x in (a, b))
+    blocks, terms = (listed(a[c], b[c]) for c in ("blocks", "terms"))
+    codes_a, codes_b = (x * max(1, len(terms[1])) + y for (_, x), (_, y) in zip(blocks[0], terms[0]))
 
     def product(rows: slice, mine: np.ndarray, yours: np.ndarray) -> np.ndarray:
-        out = np.zeros((rows.stop - rows.start, len(b)), dtype=np.float32)
         mine = mine & (at_a >= rows.start) & (at_a < rows.stop)
-        for first in range(0, len(used), KEYS):
-            columns = used[first : first + KEYS]
-            flags = []
-            for size, at, c in ((len(out), at_a[mine] - rows.start, codes_a[mine]), (len(b), at_b[yours], codes_b[yours])):
-                place = np.searchsorted(columns, c)
-                held = columns[np.minimum(place, len(columns) - 1)] == c
-                flag = np.zeros((size, len(columns)), dtype=np.float32)
-                flag[at[held], place[held]] = 1
-                flags.append(flag)
-            out += flags[0] @ flags[1].T
-        return out
+        return overlap(rows.stop - rows.start, at_a[mine] - rows.start, codes_a[mine], len(b), at_b[yours], codes_b[yours])
 
     def slices():
         for first in range(0, len(a), AT_ONCE):

@@ -64,3 +64,26 @@ def test_pairs_meet_once_and_are_not_shuffled(spark):
     assert exact <= set(got)
     assert any(papers[a][2].split(", ")[0] != papers[b][2].split(", ")[0] for a, b in got)
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_are_scored_in_cells_alike(spark, monkeypatch):
+    import random
+
+    from foliant.operators import resolve
+
+    rng = random.Random(9)
+    parts = ("A", "A Low-Power", "Adaptive"), ("112-Gb/s", "60-GHz"), ("PAM-4 Receiver", "Optical Receiver", "Retimer", "VCSEL Driver"), ("for Links", "With a Temperature Sensor"), ("", "in 28-nm CMOS")
+    people = ["Kim", "Lee", "Park", "Choi", "Jung"]
+    papers = [(i, " ".join(rng.choice(p) for p in parts), ", ".join(f"X. {n}" for n in rng.sample(people, rng.randint(2, 5))), 2019 + i % 5, "ISSCC" if i % 2 else "JSSC", float(i % 3)) for i in range(120)]
+    df = spark.createDataFrame(papers, "id int, title string, authors string, year int, venue string, node double")
+    score = lambda: sorted(map(tuple, families.scored_pairs(df, {"ISSCC": ["JSSC"]}, lambda a, b: {"node": families.agree(a["node"], b["node"], 0.1)}).collect()), key=repr)
+    whole = score()
+    monkeypatch.setattr(resolve, "CELL", 3)  # the same pairs, once each, of cells of some three papers
+    assert score() == whole and len({r[:2] for r in whole}) == len(whole) > 20
+    keys = {r["id"]: r["k"] for r in df.select("id", families.family_title(F.col("title"), F.col("venue") == "ISSCC").alias("k")).collect()}
+    from difflib import SequenceMatcher
+    for conference, journal, _, similarity, *_ in whole:
+        a, b = keys[conference], keys[journal]
+        words = len(set(a.split(" ")) & set(b.split(" "))) / len(set(a.split(" ")) | set(b.split(" ")))
+        plain = 1.0 if a == b else 0.62 * SequenceMatcher(None, a, b, autojunk=False).ratio() + 0.38 * words
+        assert similarity == pytest.approx(plain, abs=1e-12) or (similarity < 0.65 and a == b)

@@ -164,6 +164,24 @@ def test_sticky_decisions_stay(spark):
     assert values(resolve.sticky(fresh, old, ["l", "r"]), "l", "decision") == [(1, "rejected"), (2, "auto")]
 
 
+def test_sequence_ratios_of_batches_equal_difflib():
+    import random
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    from foliant.operators.text import ratios
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 14))) for _ in range(40)] + ["".join(rng.choice("abcdefgh \uac00\u00e9") for _ in range(rng.randint(0, 60))) for _ in range(20)]
+    texts += ["", "x" * 249, "x" * 250, "x" * 300, "ab" * 140, "\U0001f600ab"] + ["".join(chr(rng.randint(40, 900)) for _ in range(80)) for _ in range(3)]
+    a, b = [x for x in texts for _ in texts], [y for _ in texts for y in texts]
+    wanted = np.array([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])
+    assert (ratios(a, b, np.zeros(len(a))) == wanted).all() and len(ratios([], [], np.zeros(0))) == 0
+    found = ratios(a, b, np.full(len(a), 0.6))
+    assert ((found == wanted) | ((found == 0) & (wanted < 0.6))).all() and (found == 0).any()
+
+
 def test_near_titles_equal_brute_force(spark):
     import random
     import re
