@@ -145,8 +145,8 @@ def family_title(title: Column, session_numbers: Column) -> Column:
     return article_free_key(F.regexp_replace(F.regexp_replace(text, r"(?<=\d)(?=[A-Za-zµμ])", " "), r"(?<=[A-Za-z])(?=\d)", " "))
 
 
-#: Rows of a cell's conference papers that are compared with its journal papers at a time.
-AT_ONCE = 256
+#: Rows of a cell's conference papers that are compared with its journal papers at a time, and pairs whose titles wait to be compared together.
+AT_ONCE, WAITING = 256, 65_536
 
 
 def _cell(columns: Sequence[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -162,7 +162,7 @@ def _cell(columns: Sequence[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
         some = np.array([k != "" for k in keys], dtype=bool)
         lead_a, lead_b = encoded(a["lead"], b["lead"])[0]
         lists = {c: listed(a[c], b[c]) for c in many}
-        found = []
+        found, waiting = [], []
         if all(sizes):
             one, two = a["one"][0].as_py(), a["two"][0].as_py()
             # a name in common that comes before the cell's, so another cell has the pair
@@ -196,13 +196,17 @@ def _cell(columns: Sequence[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
             keep = (led | (people >= MOST_NAMES)) & ((tokens >= REVIEW_TOKENS) | (same & (tokens >= LEAST_TOKENS)))
             if keep.any():
                 words = jaccard("words", shared("words")[i, j].astype(np.float64), at, j)
+                waiting.append([v[keep] for v in (at, j, gap, words, tokens, names, people, led, same)])
+            if waiting and (rows.stop == sizes[0] or sum(len(v[0]) for v in waiting) >= WAITING):
+                at, j, gap, words, *rest = (np.concatenate(v) for v in zip(*waiting))
+                waiting.clear()
                 x, y = key_a[at], key_b[j]
                 similarity = np.where(some[x] & some[y] & (x == y), 1.0, 0.0)
-                ask = np.flatnonzero(keep & some[x] & some[y] & (x != y) & (ORDER_SHARE + WORD_SHARE * words >= REVIEW_SIMILARITY))
+                ask = np.flatnonzero(some[x] & some[y] & (x != y) & (ORDER_SHARE + WORD_SHARE * words >= REVIEW_SIMILARITY))
                 order = ratios([keys[k] for k in x[ask]], [keys[k] for k in y[ask]], np.maximum(0.0, (REVIEW_SIMILARITY - WORD_SHARE * words[ask]) / ORDER_SHARE))
                 similarity[ask] = ORDER_SHARE * order + WORD_SHARE * words[ask]
-                keep &= same | (similarity >= REVIEW_SIMILARITY)
-                found.append([v[keep] for v in (at, j, gap, similarity, tokens, names, people, led, same)])
+                keep = rest[-1] | (similarity >= REVIEW_SIMILARITY)
+                found.append([v[keep] for v in (at, j, gap, similarity, *rest)])
         at, j, gap, similarity, tokens, names, people, led, same = (np.concatenate(v) for v in zip(*found)) if found else [np.zeros(0, dtype=np.int64)] * 9
         figures = (gap.astype(np.int32), similarity.astype(float), tokens.astype(float), names.astype(np.int32), people.astype(float), led.astype(bool), same.astype(bool))
         return pa.table([a["p"].take(at), b["p"].take(j), *map(pa.array, figures)], names=["l", "r", *columns])
